@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
+from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_mixing": op6_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op4_line_dedup": OP4_SQL,
