@@ -18,9 +18,9 @@ def line_key(line: Column) -> Column:
 
 
 def _hashed(line: Column, min_chars: int) -> Column:
-    """32 bytes that stand for the key, null for a key too short to count."""
+    """A digest that stands for the key, null for a key too short to count."""
     key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.unhex(F.sha2(key, 256)))
+    return F.when(F.length(key) >= min_chars, F.sha2(key, 256))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -38,15 +38,15 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     lines = docs.select(*names, F.split(whole(F.col("text")), "\n", -1).alias("_lines"))
     keys = lines.select(
         "doc_id",
-        F.explode(F.array_distinct(F.array_compact(F.transform("_lines", lambda x: _hashed(x, min_chars))))).alias("_key"),
-    )
+        F.explode(F.array_distinct(F.array_compact(F.transform("_lines", lambda x: _hashed(x, min_chars))))).alias("_hex"),
+    ).select("doc_id", F.unhex("_hex").alias("_key"))
     frequent = cut(
         keys.groupBy("_key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper"))
         .where(F.col("_n") >= min_docs).select("_key", "_keeper")
     )
     lost = (
         keys.join(frequent, "_key").where(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("_key").alias("_lost"))
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.lower(F.hex("_key"))).alias("_lost"))
     )
     drops = lambda x: F.coalesce(F.array_contains("_lost", _hashed(x, min_chars)), F.lit(False))
     kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~drops(x)))
