@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
+from quern.llm.packing import op5_packing
+from quern.llm.token_index import op9_token_index
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op9_token_index": op9_token_index,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
