@@ -17,6 +17,8 @@ from quern.llm.shared import new_path
 from quern.llm.tokens import WordEncoder, public
 from quern.llm.words import mixed
 
+#: A shard file: this, four counts (documents, buckets, ids, bytes of an id), the bucket displacements, then by slot the
+#: fingerprints, offsets and lengths, then the ids as they are. All numbers are little-endian.
 MAGIC = b"QUERNTK1"
 #: A shard is closed at this many ids or documents.
 SHARD_IDS, SHARD_DOCS = 8_000_000, 65_536
@@ -69,10 +71,10 @@ class Shard:
     def __init__(self, path: str):
         system, name = fs.FileSystem.from_uri(path)
         self.file = system.open_input_file(name)
-        head = self.file.read(32)
+        head = self.file.read(40)
         if head[:8] != MAGIC:
             raise ValueError(f"{path} is no token shard")
-        self.n, self.n_buckets, self.n_ids = (int(x) for x in np.frombuffer(head[8:], "<u8"))
+        self.n, self.n_buckets, self.n_ids, self.width = (int(x) for x in np.frombuffer(head[8:], "<u8"))
         read = lambda kind, n: np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
         self.shift, self.print = read("<i4", self.n_buckets), read("<u4", self.n)
         self.offset, self.length = read("<u8", self.n), read("<u4", self.n)
@@ -88,8 +90,8 @@ class Shard:
         return self.print[slot] == (h >> np.uint64(32)), self.offset[slot].astype(np.int64), self.length[slot].astype(np.int64)
 
     def ids(self, start: int, n: int) -> np.ndarray:
-        self.file.seek(self.payload + 4 * start)
-        return np.frombuffer(self.file.read(4 * n), "<u4")
+        self.file.seek(self.payload + self.width * start)
+        return np.frombuffer(self.file.read(self.width * n), f"<u{self.width}").astype("<u4")
 
 
 def _write(folder: str, h: np.ndarray, parts: list[np.ndarray]) -> str:
@@ -97,14 +99,15 @@ def _write(folder: str, h: np.ndarray, parts: list[np.ndarray]) -> str:
     length = np.array([len(x) for x in parts])
     offset = np.cumsum(length) - length
     put = lambda x, kind: (out := np.zeros(len(h), kind), out.__setitem__(slots, x))[0]
+    width = 2 if max((int(x.max()) for x in parts if len(x)), default=0) < 1 << 16 else 4
     path = f"{folder}/{uuid.uuid4().hex}.tokens"
     system, name = fs.FileSystem.from_uri(path)
     with system.open_output_stream(name) as out:
-        out.write(MAGIC + np.array([len(h), len(shift), length.sum()], "<u8").tobytes() + shift.astype("<i4").tobytes())
+        out.write(MAGIC + np.array([len(h), len(shift), length.sum(), width], "<u8").tobytes() + shift.astype("<i4").tobytes())
         for x, kind in ((h >> np.uint64(32), "<u4"), (offset, "<u8"), (length, "<u4")):
             out.write(put(x, kind).tobytes())
         for x in parts:
-            out.write(x.tobytes())
+            out.write(x.astype(f"<u{width}").tobytes())
     return path
 
 
@@ -135,8 +138,8 @@ def write_index(
             )
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
                 encoded = encoder([x or "" for x in some.column("text").to_pylist()])
                 for doc_id, own in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
                     if end_id is not None:

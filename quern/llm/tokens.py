@@ -9,7 +9,7 @@ from functools import cache
 import numpy as np
 
 #: Words of at most this many characters are kept between batches, at most so many of them in a Python worker.
-CACHED_CHARS, CACHED_WORDS = 40, 300_000
+CACHED_CHARS, CACHED_WORDS = 40, 800_000
 
 
 def public(name: str) -> str:
@@ -38,26 +38,44 @@ def _ranks(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: What Python workers keep between tasks: by path, the ids of words as bytes.
+_known: dict[str, dict[str, bytes]] = {}
+#: A word of its own in any text, to encode many words at once.
+_MARK = "\x01"
+
+
 class WordEncoder:
     """Ids of a tokenizer that drops white space: each distinct word between spaces is encoded once, then looked up."""
 
     def __init__(self, path: str):
-        self.path, self.known = path, {}
+        self.path = path
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = _tokenizer(self.path).encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        tokenizer, found = _tokenizer(self.path), {}
+        (mark,) = tokenizer.encode(_MARK, add_special_tokens=False).ids
+        odd = [x for x in words if _MARK in x]
+        found |= {x: np.array(e.ids, "<u4").tobytes() for x, e in zip(odd, tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True)}
+        plain = [x for x in words if _MARK not in x]
+        parts = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        encoded = tokenizer.encode_batch_fast([f" {_MARK} ".join(x) for x in parts], add_special_tokens=False)
+        for part, e in zip(parts, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark).tolist()
+            data = ids.tobytes()
+            for word, start, end in zip(part, [-1, *cuts], [*cuts, len(ids)], strict=True):
+                found[word] = data[4 * start + 4 : 4 * end]
+        return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        seen = set().union(*split)
-        if len(self.known) + len(seen) > CACHED_WORDS:
-            self.known = {}
-        new = list(seen - self.known.keys())
-        now = dict(zip(new, self._ids(new), strict=True))
-        self.known |= {k: v for k, v in now.items() if len(k) <= CACHED_CHARS}
-        now = {k: v for k, v in now.items() if len(k) > CACHED_CHARS}
-        get = self.known.__getitem__ if not now else (self.known | now).__getitem__
+        seen, known = set().union(*split), _known.get(self.path, {})
+        if len(known) + len(seen) > CACHED_WORDS:
+            known = {x: known[x] for x in seen if x in known}
+        new = self._ids(list(seen - known.keys()))
+        known |= {k: v for k, v in new.items() if len(k) <= CACHED_CHARS}
+        _known[self.path] = known
+        long = {k: v for k, v in new.items() if len(k) > CACHED_CHARS}
+        get = known.__getitem__ if not long else lambda x: known[x] if x in known else long[x]
         return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
 
 
