@@ -166,7 +166,7 @@ def pack(docs: DataFrame, encoder: Callable[[list[str]], list[np.ndarray]], end_
     for row in every.groupBy("length").count().collect():
         demand[row["length"]] = row["count"]
     sent = spark.sparkContext.broadcast(places(solve(demand, capacity), capacity))
-    blocks = int(min(1 << 12, max(1, demand.sum() // 50_000)))
+    blocks = int(min(1 << 12, max(64, demand.sum() // 50_000)))
     every = every.withColumn("_block", F.col("_salt") % blocks)
     by_block = Window.partitionBy("length").orderBy("_block")
     firsts = every.groupBy("length", "_block").count().withColumn("_first", F.sum("count").over(by_block) - F.col("count")).drop("count")
