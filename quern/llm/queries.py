@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.fingerprints import op1_fingerprints
+from quern.llm.html_text import op3_html_text
 from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
 from quern.llm.packing import op5_packing
@@ -11,6 +12,7 @@ from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
