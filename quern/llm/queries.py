@@ -6,6 +6,7 @@ from quern.llm.fingerprints import op1_fingerprints
 from quern.llm.html_text import op3_html_text
 from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
+from quern.llm.nearest import op7_nearest
 from quern.llm.packing import op5_packing
 from quern.llm.token_index import op9_token_index
 from quern.llm.toxicity import op10_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_nearest": op7_nearest,
     "op9_token_index": op9_token_index,
     "op10_toxicity": op10_toxicity,
 }
