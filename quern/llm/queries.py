@@ -8,11 +8,13 @@ from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
 from quern.llm.nearest import op7_nearest
 from quern.llm.packing import op5_packing
+from quern.llm.substrings import OP2_SQL, op2_substring_dedup
 from quern.llm.token_index import op9_token_index
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_html_text": op3_html_text,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
@@ -22,6 +24,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op2_substring_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_mixing": OP6_SQL,
 }
