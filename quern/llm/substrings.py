@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.shared import cut, whole
-from quern.llm.words import hashes, slices, spans, windows
+from quern.llm.words import hashes, mixed, slices, spans, windows
 
 #: Words of a window, and of the phrase that stands for it: of its phrases the one with the smallest hash.
 WINDOW, PHRASE = 35, 16
@@ -55,19 +55,22 @@ class Words:
         return smallest(self.phrases, window - phrase + 1)[self.windows] if len(self.windows) else self.windows
 
     def codes(self) -> np.ndarray:
-        """A character for each word; different words may share one."""
-        code = self.h % np.uint64(0x10F000) + np.uint64(1)
-        return (code + (code >= np.uint64(0xD800)) * np.uint64(0x800)).astype("<u4")
+        """(words, 3) bytes: each word as three characters, each of its own 64; different words may share them.
+
+        Few characters keep the automaton's nodes narrow, own ones keep words in step.
+        """
+        parts = [(self.h >> np.uint64(58 - 6 * k)) & np.uint64(63) for k in range(3)]
+        return (np.stack(parts, axis=1) + np.array([1, 65, 129], np.uint64)).astype(np.uint8)
 
 
 def _sent(shard: np.ndarray, h: np.ndarray, ranges: int) -> pa.RecordBatch:
     """(range, shard, hashes) rows: each shard's hashes in order, those found several times twice."""
-    order = np.lexsort((h, shard))
-    shard, h = shard[order], h[order]
+    part = ((mixed(h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)  # chosen hashes are small ones
+    order = np.lexsort((h, part, shard))
+    part, shard, h = part[order], shard[order], h[order]
     keep = np.ones(len(h), bool)
     keep[2:] = (h[2:] != h[:-2]) | (shard[2:] != shard[:-2])
-    shard, h = shard[keep], h[keep]
-    part = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    part, shard, h = part[keep], shard[keep], h[keep]
     edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(shard) != 0)) + 1
     firsts = np.concatenate([[0], edges]) if len(h) else np.zeros(0, np.int64)
     parts = [x.tobytes() for x in np.split(h, edges)] if len(h) else []
@@ -107,7 +110,7 @@ def automaton(words: Words, phrases: np.ndarray, found: dict[int, str], phrase:
     _, firsts = np.unique(words.phrases[places], return_index=True)
     codes = words.codes()
     for place in places[firsts].tolist():
-        found.setdefault(int(words.phrases[place]), codes[place : place + phrase].tobytes().decode("utf-32-le"))
+        found.setdefault(int(words.phrases[place]), codes[place : place + phrase].tobytes().decode("latin-1"))
 
 
 def kept_words(data: np.ndarray, words: Words, covered: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +120,11 @@ def kept_words(data: np.ndarray, words: Words, covered: np.ndarray, rows: int) -
     last[:-1] = words.row[keep[1:]] != words.row[keep[:-1]]
     change = np.zeros(len(data) + 1, np.int8)
     change[words.starts[keep]] += 1
-    np.subtract.at(change, words.ends[keep], 1)
+    change[words.ends[keep]] -= 1
     mask = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     out, spaces = data.copy(), words.ends[keep[~last]]
     out[spaces], mask[spaces] = 32, True
-    sizes = np.zeros(rows, np.int64)
-    np.add.at(sizes, words.row[keep], words.ends[keep] - words.starts[keep] + ~last)
+    sizes = np.bincount(words.row[keep], words.ends[keep] - words.starts[keep] + ~last, rows).astype(np.int64)
     return out[mask], np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -199,9 +201,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                 shown = words.codes()
                 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
                     if b - a >= window:
-                        for end, _ in machine.iter(shown[a:b].tobytes().decode("utf-32-le")):
-                            near[max(a, a + end - window + 1)] += 1
-                            near[a + end - phrase + 2] -= 1
+                        for end, _ in machine.iter(shown[a:b].tobytes().decode("latin-1")):
+                            last = a + end // 3
+                            near[max(a, last - window + 1)] += 1
+                            near[last - phrase + 2] -= 1
                 spots = words.windows[np.cumsum(near[:-1])[words.windows] > 0]
                 if len(spots):
                     spots = spots[within(windows(words.h, window)[spots], confirmed)]
@@ -210,7 +213,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
                     np.subtract.at(cover, spots + window, 1)
                     covered = np.cumsum(cover[:-1]) > 0
             counts[i:j] = np.diff(words.first)
-            np.add.at(gone, i + words.row[covered], 1)
+            gone[i:j] = np.bincount(words.row[covered], minlength=j - i)
             out, bounds = kept_words(data, words, covered, j - i)
             texts.append(pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())).cast(pa.string()))
         kept = pa.chunked_array(texts, pa.string()) if texts else pa.chunked_array([pa.array([], pa.string())])
