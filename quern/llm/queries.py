@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.fingerprints import op1_fingerprints
 from quern.llm.html_text import op3_html_text
+from quern.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
 from quern.llm.nearest import op7_nearest
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_nearest": op7_nearest,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_token_index": op9_token_index,
     "op10_toxicity": op10_toxicity,
 }
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_mixing": OP6_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
