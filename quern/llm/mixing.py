@@ -50,12 +50,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: tuple[int,
     return t.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), at_most: int = 2
-) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) for each row of ``docs``.
+def mix_plan(sizes: DataFrame, weights: Sequence[int], budget: tuple[int, int], at_most: int) -> DataFrame:
+    """(_s, source_size, target, _full, _below): how often each source is taken whole, and up to which place once more.
 
-    The mix takes ``budget[0] / budget[1]`` times all words. A source with a target of q sizes and a rest takes all its
+    ``sizes`` is (source, size, _u), materialised. The mix takes ``budget[0] / budget[1]`` times all words. A source with a target of q sizes and a rest takes all its
     documents q times and, for the rest, once more those whose place is up to a threshold: the prefix of the order
     whose sum comes nearest to it (the shorter if two are as near). Documents of one place (repeated doc_ids) go
     together. Size counts words, 0 for a null text; a null source is a source of its own, the last one.
@@ -63,7 +61,6 @@ def mix(
     Histograms of 2^12 buckets a level find the threshold: each level sums sizes by source and bucket, keeps the
     bucket in which the rest ends, and only that bucket's rows reach the next. Nothing is sorted.
     """
-    sizes = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("_u")))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = cut(
         source_targets(sizes, weights, budget, at_most)
@@ -84,19 +81,41 @@ def mix(
         )
     nearer = F.col("_last") - F.col("_rest") < F.col("_rest")
     limit = edge.select("_s", F.when(nearer, F.col("_at") + 1).otherwise(F.col("_at")).alias("_below"))
-    plan = cut(
+    return cut(
         targets.join(small(limit), F.col("source").eqNullSafe(F.col("_s")), "left")
         .select(F.col("source").alias("_s"), "source_size", "target", "_full",
                 F.coalesce("_below", F.lit(1 << BITS)).alias("_below"))
     )
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, at_most: int) -> DataFrame:
     more = (F.col("_full") < at_most) & (F.col("target") > F.col("_full") * F.col("source_size")) & (F.col("_u") < F.col("_below"))
-    return (
-        sizes.join(small(plan), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("copies", F.col("_full") + more.cast("int"))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.join(small(plan), F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("_full") + more.cast("int"))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), place(F.col("doc_id")).alias("_u")))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), at_most: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) for each row of ``docs``, by ``mix_plan``.
+
+    Repeated rows each get the copies of their doc_id and source; an empty table gives an empty table.
+    """
+    sizes = _sizes(docs)
+    return _with_copies(sizes, mix_plan(sizes, weights, budget, at_most), at_most).select(
+        "doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), at_most: int = 2) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    plan = mix_plan(_sizes(docs), weights, budget, at_most)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", place(F.col("doc_id")).alias("_u"))
+    taken = _with_copies(rows, plan, at_most).where(F.col("copies") > 0)
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
