@@ -298,7 +298,8 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
                 column_ += x
         return pa.table([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["digest", "id", "root", "links"])
 
-    met = members.join(rows.select("id", "digest", "text"), ["id", "digest"]).withColumn("_task", _task(docs, "family", "one", "other"))
+    # one plan at every size: members grow with the input, so they are never broadcast
+    met = members.hint("merge").join(rows.select("id", "digest", "text"), ["id", "digest"]).withColumn("_task", _task(docs, "family", "one", "other"))
     verified = cut(met.groupBy("_task").applyInArrow(meet, shape))
     classes = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counted = verified.groupBy("digest").agg(F.sum("links").alias("links"))
