@@ -102,7 +102,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str |
         out = [[], [], []]
         for start in range(0, len(q) if len(v) else 0, 256):
             some = q[start : start + 256]
-            distance = np.round(1 - unit[some] @ unit[v].T, 6)
+            distance = np.round(1 - unit[some] @ unit[v].T, 6) + 0.0  # no negative zero
             distance[kinds[some][:, None] != kinds[v][None, :]] = np.inf
             for i in range(len(some)):
                 near = np.lexsort((ids[v], distance[i]))[:k]

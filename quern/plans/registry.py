@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import curation, retrieval
+from quern.plans import curation, graphs, measures, retrieval
 
-_PARTS = (retrieval, curation)
+_PARTS = (retrieval, curation, graphs, measures)
 QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}

@@ -85,7 +85,7 @@ def _vector_sql(where: str) -> str:
     return f"""
 WITH scored AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(1 - list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])
-    / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) AS distance
+    / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))), 6) + 0.0 AS distance
   FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 {where})
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM scored) WHERE rank <= 10"""
 
