@@ -5,11 +5,12 @@ from __future__ import annotations
 import base64
 import os
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
 #: Words of at most this many characters are kept between batches, at most so many of them in a Python worker.
-CACHED_CHARS, CACHED_WORDS = 40, 800_000
+CACHED_CHARS, CACHED_WORDS = 40, 1_200_000
 
 
 def public(name: str) -> str:
@@ -69,8 +70,8 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         seen, known = set().union(*split), _known.get(self.path, {})
-        if len(known) + len(seen) > CACHED_WORDS:
-            known = {x: known[x] for x in seen if x in known}
+        if len(known) + len(seen) > CACHED_WORDS:  # words that came first are the common ones
+            known = dict(islice(known.items(), CACHED_WORDS // 2)) | {x: known[x] for x in seen if x in known}
         new = self._ids(list(seen - known.keys()))
         known |= {k: v for k, v in new.items() if len(k) <= CACHED_CHARS}
         _known[self.path] = known
