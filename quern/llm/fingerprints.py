@@ -107,7 +107,8 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     doc_id has no next document: its text stays unedited and its next document is empty. Texts are shuffled once, by
     doc_id, for both joins; what a document gives to its neighbour is the prefix it needs and the sketch.
     """
-    docs = with_sketch(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whole(F.col("text")).alias("text")))
+    every = with_sketch(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whole(F.col("text")).alias("text")))
+    docs = every.where(F.col("doc_id").isNotNull())  # the same rows for both joins: one exchange serves them
     sizes = (
         spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(F.floor(F.length(whole(F.col("text"))) / 3)).cast("int").alias("_need"))
@@ -119,14 +120,14 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
         .groupBy("_to").agg(F.max("_given").alias("_given"))
     )
     n, need = F.length("text"), F.floor(F.length("text") / 3).cast("int")
-    edited = F.when(F.col("_to").isNull(), F.col("text")).otherwise(
-        F.concat(F.substring("text", F.lit(1), n - need), F.substring(F.col("_given.start"), F.lit(1), need))
+    edited = F.concat(F.substring("text", F.lit(1), n - need), F.substring(F.col("_given.start"), F.lit(1), need))
+    joined = docs.join(given, F.col("doc_id") == F.col("_to")).select(
+        "doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sketch", F.col("_given.sketch").alias("_next_sketch"),
     )
-    joined = docs.join(given, F.col("doc_id") == F.col("_to"), "left").select(
-        "doc_id", n.cast("long").alias("n_chars"), edited.alias("_edited"), "sketch",
-        F.coalesce(F.col("_given.sketch"), F.array().cast("array<bigint>")).alias("_next_sketch"),
+    alone = every.where(F.col("doc_id").isNull()).select(
+        "doc_id", n.cast("long").alias("n_chars"), F.col("text").alias("_edited"), "sketch", F.array().cast("array<bigint>").alias("_next_sketch"),
     )
-    both = with_sketch(joined, "_edited", "_edited_sketch")
+    both = with_sketch(joined.unionByName(alone), "_edited", "_edited_sketch")
     return both.select(
         "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"),
         spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("_edited_sketch")).alias("edited_fingerprint"),
