@@ -171,10 +171,13 @@ def sanitise_prompt(text: Column, most: int = 1000) -> Column:
 
 
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of ``n`` characters, lower-case; a shorter text is its own."""
-    low = F.lower(text)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1))), lambda i: F.substring(low, i, F.lit(n))))
-    return F.when(F.length(low) < n, F.array(low)).otherwise(runs)
+    """Distinct runs of ``n`` characters, lower-case; a shorter text is its own. The characters are split once a text."""
+
+    def runs(chars: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - (n - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), "")))
+
+    return F.element_at(F.transform(F.array(F.split(F.lower(text), "")), runs), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -89,8 +89,8 @@ def canonical_documents(spark, sf_dir):
 
 
 def near_duplicates_blocked(spark, sf_dir):
-    """Documents whose first 200 characters are alike, in blocks of one language."""
-    return C.near_duplicates(documents(spark, sf_dir).select("doc_id", "lang", F.left("text", F.lit(200)).alias("text")), "lang")
+    """Documents whose whole texts are alike, in blocks of one title: the slug of the first six words."""
+    return C.near_duplicates(documents(spark, sf_dir).select("doc_id", X.slugify(X.first_words(F.col("text"), 6)).alias("stem"), "text"), "stem")
 
 
 def catalogue(spark, sf_dir):
@@ -261,7 +261,8 @@ WHERE chunk_date IS NOT NULL AND EXISTS (SELECT 1 FROM documents x WHERE x.lang
     "temporal_window_paths": f"{_CHUNKS} SELECT DISTINCT path FROM chunks JOIN docs USING (hash) WHERE chunk_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'",
     "exact_duplicates": f"WITH {DOCS} SELECT hash, count(*) AS n, min(path) AS first_path FROM docs GROUP BY hash HAVING count(*) > 1",
     "canonical_documents": f"WITH {DOCS} SELECT hash, arg_min(doc_id, path) AS doc_id, min(path) AS path, count(*) AS n FROM docs GROUP BY hash",
-    "near_duplicates_blocked": """WITH one AS (SELECT lang AS role, lower(text[1:200]) AS t, min(doc_id) AS id FROM documents GROUP BY 1, 2),
+    "near_duplicates_blocked": f"""WITH heads AS (SELECT doc_id, text, {_HEAD} AS head FROM documents),
+one AS (SELECT {_SLUG} AS role, lower(text) AS t, min(doc_id) AS id FROM heads GROUP BY 1, 2),
 runs AS (SELECT DISTINCT role, id, CASE WHEN length(t) < 3 THEN t ELSE t[i:i + 2] END AS run FROM (SELECT *, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM one)),
 sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
 met AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM runs a JOIN runs b ON a.role = b.role AND a.run = b.run AND a.id < b.id GROUP BY 1, 2)
