@@ -245,10 +245,10 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
     null, empty or white text has no shingle, is linked with nothing and is its own class. Rows of one doc_id (null is
     one too, below every other) share a class. Other columns play no part; an empty table gives an empty table.
 
-    Equal texts become one first. The forest then matches its longest prefixes; how alike the found links are tells
-    the recall at any length, and prefixes are shortened until it reaches ``target``. Links between signatures join
-    documents to families; inside families all pairs are verified on whole shingle sets, in blocks, where only counts
-    and spanning links leave a task.
+    Equal texts become one first. The forest then matches the longest prefixes that find a lone pair just alike enough
+    with a chance of ``target``, whatever other links there are. Links between signatures join documents to families;
+    inside families all pairs are verified on whole shingle sets, in blocks, where only counts and spanning links leave
+    a task.
     """
     digest = F.unhex(F.md5(whole(F.col("text"))))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), whole(F.col("text")).alias("text"), digest.alias("digest"))
@@ -267,11 +267,8 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
     signed = rows.select("id", "digest", "text").mapInArrow(sign, "id long, digest binary, signature binary")
     texts = cut(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("signature").alias("signature")))
     forest = texts.select("id", "signature")
-    longest = cut(candidates(forest, DEPTH))
-    found = {r["s"]: r["n"] for r in longest.groupBy(F.col("likeness").alias("s")).agg(F.count("*").alias("n")).collect()}
-    length = prefix_length(found, target, least)
-    links = longest if length == DEPTH else cut(candidates(forest, length))
-    families = components(links).withColumnRenamed("root", "family")
+    # no found links are given: many close ones must not lengthen prefixes for the rest
+    families = components(cut(candidates(forest, prefix_length({}, target, least)))).withColumnRenamed("root", "family")
     members = cut(in_blocks(texts.select("id", "digest", "copies").join(families, "id"), "family", BLOCK, "digest"))
     shape = "digest binary, id long, root long, links long"
 

@@ -5,11 +5,13 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import jaccard_join
-from quern.llm.jaccard_join import LEAST, components, jaccard_classes, one_of_each, op8_jaccard_join, prefix_length, recall_at
+from quern.llm.jaccard_join import LEAST, components, jaccard_classes, one_of_each, op8_jaccard_join, prefix_length, prefixes, recall_at, shingles, signatures
 from quern.llm.queries import ORACLE_SQL
+from quern.llm.words import slices
 from tests.oracle import same_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,3 +83,20 @@ def test_prefixes_shorten_to_the_target():
     assert recall_at(prefix_length({}), LEAST) >= 0.9999
     sure, near = prefix_length({0.99: 10_000}), prefix_length({0.81: 10_000})
     assert sure > near and recall_at(near, np.array([0.81]))[0] >= 0.9999
+
+
+def test_lone_pairs_beside_many_close_links(spark):
+    """Pairs of likeness 0.8 that share no prefix of 7 steps in any trie, beside 150 pairs of likeness 0.95."""
+
+    def pairs(name, count, at):
+        words = [[f"{name}{k}_{i}" for i in range(40)] for k in range(count)]
+        return [[" ".join(w), " ".join([*w[:at], "other", *w[at + 1 :]])] for w in words]
+
+    lone = pairs("lone", 3000, 36)
+    keys = [prefixes(signatures(*shingles(data, at)), 7) for _, _, data, at in slices(pa.array(sum(lone, [])))]
+    shared = np.concatenate(keys).reshape(len(lone), 2, -1)
+    hard = [p for p, k in zip(lone, shared, strict=True) if not (k[0] == k[1]).any()]
+    assert len(hard) > 10
+    rows = list(enumerate(sum(hard + pairs("close", 150, 39), [])))
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute(rows)
