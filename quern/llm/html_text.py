@@ -24,6 +24,9 @@ RAW = frozenset("script style textarea title noscript template iframe".split())
 #: Starts of these end what an author left open.
 _SITE = frozenset("nav header footer aside form menu".split())
 _HOLDERS = frozenset("article main section div td".split())
+_STORY = frozenset({"article", "main"})
+#: Features that alone reject no block inside an article or main element, where text may be linked or speak of copyright.
+_LOOSE = frozenset({"links most", "begins with a copyright sign"})
 _LABEL = "data-label"
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -214,22 +217,26 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(html: str) -> str:
     """The text of the best region's own blocks, joined by one space.
 
-    The region is widened to the article or division that holds it, so that a short end after an advert stays.
+    The region is widened to the article or main element, else the division, that holds it, so that a short end after
+    an advert stays. Inside an article or main element all blocks stay but those that their tags or names reject.
     """
     learned, penalties = weights()
     found = blocks(parse(html))
     total = sum(b["n"] for b in found)
-    odds, scores = [], []
+    odds, scores, free = [], [], []
     for b in found:
-        logit = learned[""] + sum(learned.get(f, 0.0) for f in block_features(b, total))
+        features = block_features(b, total)
+        logit = learned[""] + sum(learned.get(f, 0.0) for f in features)
         odds.append(logit)
+        free.append(any(e.tag in _STORY for e in b["open"]) and all(learned.get(f, 0.0) > -1 for f in features - _LOOSE))
         cost = sum(penalties.get(t, 0.1) for t in b["tags"])
         scores.append(b["n"] * math.tanh(logit / 2) - cost)
     # a run of sums over blocks: tags before a block and its words are one step of the scan
     start, end = best_region(scores)
     shared = [e for e in found[start]["open"] if e.tag in _HOLDERS and all(e in b["open"] for b in found[start:end])] if end else []
-    inside = lambda k, b: start <= k < end or (shared and shared[-1] in b["open"])
-    return " ".join(b["text"] for k, (b, logit) in enumerate(zip(found, odds, strict=True)) if logit > 0 and inside(k, b))
+    holder = next((e for e in reversed(shared) if e.tag in _STORY), shared[-1] if shared else None)
+    inside = lambda k, b: start <= k < end or (holder is not None and holder in b["open"])
+    return " ".join(b["text"] for k, b in enumerate(found) if (odds[k] > 0 or free[k]) and inside(k, b))
 
 
 def extract(pages: DataFrame) -> DataFrame:

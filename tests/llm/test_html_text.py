@@ -52,3 +52,14 @@ def test_edge_cases(spark):
     got = {(r.page_id, r.n_chars) for r in extract(frame).collect()}
     assert {(1, 0), (2, 0), (None, 5), (3, 500_000 - 1)} <= got and extract(frame).count() == 6
     assert extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_linked_blocks_and_copyright_inside_the_story(tag):
+    prose = "Body text long enough to count and to be read by all who come."
+    page = (
+        f"<body><nav><ul><li><a href=a>One</a></li></ul></nav><{tag}><h1><a href=t>Linked title</a></h1><div class=body><p>{prose}</p><h2><a href=h>A linked headline</a></h2>"
+        f"<p><a href=p>A paragraph of one link</a></p><p>Copyright law is a hard subject.</p><p>{prose}</p></div><ul><li><a href=r>Reference one</a></li><li><a href=s>Two</a></li></ul>"
+        f"<div class=share><p><a href=x>Share this</a></p></div><aside><a href=o>Other</a></aside></{tag}><div><a href=/>Home</a> <a href=b>Back</a></div><footer>Copyright 2024</footer></body>"
+    )
+    assert main_text(page) == f"Linked title {prose} A linked headline A paragraph of one link Copyright law is a hard subject. {prose} Reference one Two"
