@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labels of nodes and kinds of edges that a graph may hold (fixed values).
@@ -65,15 +65,34 @@ def health(nodes: DataFrame, short: int = 50) -> DataFrame:
     )
 
 
+def _slugged(entities: DataFrame, slug: Column) -> DataFrame:
+    return entities.where(F.btrim("name") != "").withColumn("slug", slug)
+
+
 def resolve(entities: DataFrame, slug: Column) -> DataFrame:
-    """One row for each type and slug of names: first name, all names, documents and the largest confidence; blank names go."""
-    named = entities.where(F.btrim("name") != "").withColumn("slug", slug)
-    return named.groupBy("entity_type", "slug").agg(
-        F.min("name").alias("name"), F.sort_array(F.collect_set("name")).alias("aliases"),
-        F.slice(F.sort_array(F.collect_set("source_doc")), 1, 20).alias("source_docs"), F.max("confidence").alias("confidence"),
+    """One row for each type and slug of names: first name, all names, the number of documents and the largest confidence; blank names go.
+
+    Documents are counted over (type, slug, document) first, so no row holds the documents of a common entity.
+    """
+    by_doc = _slugged(entities, slug).groupBy("entity_type", "slug", "source_doc").agg(F.collect_set("name").alias("names"), F.max("confidence").alias("confidence"))
+    return by_doc.groupBy("entity_type", "slug").agg(
+        F.min(F.array_min("names")).alias("name"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias("aliases"),
+        F.count("source_doc").alias("n_docs"), F.max("confidence").alias("confidence"),
     )
 
 
+def entity_documents(entities: DataFrame, slug: Column) -> DataFrame:
+    """(entity_type, slug, source_doc): all documents of each entity, each once."""
+    return _slugged(entities, slug).where(F.col("source_doc").isNotNull()).select("entity_type", "slug", "source_doc").distinct()
+
+
+def written_nodes(resolved: DataFrame, documents: DataFrame, most: int = 20) -> DataFrame:
+    """``resolved`` with ``source_docs``, the first ``most`` documents, for a list of nodes that people read."""
+    place = F.row_number().over(Window.partitionBy("entity_type", "slug").orderBy("source_doc"))
+    shown = documents.withColumn("_place", place).where(F.col("_place") <= most).groupBy("entity_type", "slug").agg(F.sort_array(F.collect_list("source_doc")).alias("source_docs"))
+    return resolved.join(shown, ["entity_type", "slug"], "left").withColumn("source_docs", F.coalesce("source_docs", F.array()))
+
+
 def emit_edges(relations: DataFrame, names: DataFrame, slug) -> DataFrame:
     """(from_id, to_id, kind): ends by name, else by slug; blank ends go, of equal edges the first document stays.
 

@@ -69,12 +69,12 @@ def kind_pivot(spark, sf_dir):
 
 
 def entity_resolution(spark, sf_dir):
-    """Parts' types as entities that several documents (part keys) name."""
+    """Parts' types as entities that several documents (part keys) name; ``n_docs`` is shown up to 20, as its SQL asks."""
     raw = table(spark, sf_dir, "part").select(
         F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))).alias("name"), F.lit("Organisation").alias("entity_type"),
         F.col("p_partkey").alias("source_doc"), (F.col("p_size") / 50).alias("confidence"))
     found = G.resolve(raw, slugify(F.col("name")))
-    return found.select("entity_type", "slug", "name", F.array_join("aliases", "|").alias("aliases"), F.size("source_docs").cast("long").alias("n_docs"), F.round("confidence", 6).alias("confidence"))
+    return found.select("entity_type", "slug", "name", F.array_join("aliases", "|").alias("aliases"), F.least(F.lit(20).cast("long"), "n_docs").alias("n_docs"), F.round("confidence", 6).alias("confidence"))
 
 
 def entity_edges(spark, sf_dir):

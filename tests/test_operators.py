@@ -92,6 +92,19 @@ def test_links(spark):
     assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["no from_id", "unknown label"]
 
 
+def test_resolve_counts_all_documents(spark):
+    raw = spark.createDataFrame(
+        [(n, "Organisation", d, 0.5) for n in ("Acme", "ACME") for d in range(30)] + [(" ", "Organisation", 1, 0.9), ("Bolt", "Organisation", None, 0.7)],
+        "name string, entity_type string, source_doc long, confidence double",
+    )
+    slug = X.slugify(F.col("name"))
+    got = {r.slug: r for r in G.resolve(raw, slug).collect()}
+    assert {k: (r.name, r.aliases, r.n_docs, r.confidence) for k, r in got.items()} == {"acme": ("ACME", ["ACME", "Acme"], 30, 0.5), "bolt": ("Bolt", ["Bolt"], 0, 0.7)}
+    assert G.entity_documents(raw, slug).count() == 30
+    shown = {r.slug: r.source_docs for r in G.written_nodes(G.resolve(raw, slug), G.entity_documents(raw, slug)).collect()}
+    assert shown == {"acme": list(range(20)), "bolt": []}
+
+
 def test_empty_and_stop_word_queries(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "what is the"), (2, ""), (3, "beta")], "query_id long, text string")
