@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.jaccard_join import components
+
+#: Edits in 100 letters that similar slugs may differ in, and the letters from which slugs are compared by length alone.
+EDITS, LONG = 15, 200
 #: Labels of nodes and kinds of edges that a graph may hold (fixed values).
 LABELS = "Document Organisation Person Outcome Concept Framework Technology Publication".split()
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
@@ -65,19 +71,83 @@ def health(nodes: DataFrame, short: int = 50) -> DataFrame:
     )
 
 
+def _pieces(slug: str) -> Iterator[tuple[bool, str]]:
+    """(of the longer, key): a slug and any longer one as similar share a key, once of each side.
+
+    A longer slug of n letters is cut into one piece more than the edits it may have, so one piece is left whole; the
+    shorter one offers its parts wherever such a piece can lie. Slugs of more than LONG letters meet by length alone.
+    """
+    m, step = len(slug), math.log(100 / (100 - EDITS))
+    if m > LONG:
+        yield True, f"{int(math.log(m) / step)}"
+    n = m
+    while n - n * EDITS // 100 <= m and n <= LONG:
+        edits, less = n * EDITS // 100, n - m
+        slack = (edits - less) // 2
+        for k in range(edits + 1 if edits else 0):
+            start, end = k * n // (edits + 1), (k + 1) * n // (edits + 1)
+            if n == m:
+                yield True, f"{n} {k} {slug[start:end]}"
+            for at in range(max(0, start - less - slack), min(start + slack, m - (end - start)) + 1):
+                yield False, f"{n} {k} {slug[at : at + end - start]}"
+        n += 1
+    if n > LONG:
+        for more in range(3):
+            yield False, f"{int(math.log(m) / step) + more}"
+
+
+def similar_slugs(slugs: DataFrame) -> DataFrame:
+    """(entity_type, slug, root) of slugs with similar ones in their type: the smallest slug over any number of steps.
+
+    Similar slugs differ in at most EDITS edits of 100 letters of the longer one and hold the same numbers, as names that
+    count (``iso-27001``, ``iso-27002``) are not one entity.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entity_type, slug, numbers in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "slug", "numbers")), strict=True):
+                found = sorted(set(_pieces(slug)))
+                n = len(found)
+                columns = [[entity_type] * n, [slug] * n, [numbers] * n]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in columns), pa.array([x[0] for x in found], pa.bool_()), pa.array([x[1] for x in found], pa.string())],
+                                                 ["entity_type", "slug", "numbers", "longer", "key"])
+
+    known = slugs.where(F.col("entity_type").isNotNull() & (F.col("slug") != "")).distinct()
+    numbers = F.array_join(F.regexp_extract_all("slug", F.lit("[0-9]+"), F.lit(0)), " ")
+    pieces = known.select("entity_type", "slug", numbers.alias("numbers")).mapInArrow(keys, "entity_type string, slug string, numbers string, longer boolean, key string")
+    longer = pieces.where("longer").drop("longer")
+    shorter = pieces.where(~F.col("longer")).drop("longer").withColumnRenamed("slug", "other")
+    pairs = longer.join(shorter, ["entity_type", "numbers", "key"]).where(F.col("slug") != F.col("other")).select("entity_type", "slug", "other").distinct()
+    near = F.levenshtein("slug", "other") <= F.floor(F.greatest(F.length("slug"), F.length("other")) * F.lit(EDITS) / 100)
+    number = lambda c: F.xxhash64("entity_type", c)
+    linked = components(pairs.where(near).select(number("slug").alias("a"), number("other").alias("b"))).withColumnRenamed("root", "_root")
+    held = known.withColumn("id", number("slug")).join(linked, "id")
+    roots = held.groupBy("entity_type", "_root").agg(F.min("slug").alias("root"))
+    return held.join(roots, ["entity_type", "_root"]).select("entity_type", "slug", "root")
+
+
 def _slugged(entities: DataFrame, slug: Column) -> DataFrame:
-    return entities.where(F.btrim("name") != "").withColumn("slug", slug)
+    """Entities of a name with their slug, or the root of all slugs similar to it."""
+    named = entities.where(F.btrim("name") != "").withColumn("slug", slug)
+    roots = similar_slugs(named.select("entity_type", "slug"))
+    return named.join(roots, ["entity_type", "slug"], "left").withColumn("slug", F.coalesce("root", "slug")).drop("root")
 
 
 def resolve(entities: DataFrame, slug: Column) -> DataFrame:
-    """One row for each type and slug of names: first name, all names, the number of documents and the largest confidence; blank names go.
+    """One row for each type and slug of names, similar slugs being one; blank names go.
 
-    Documents are counted over (type, slug, document) first, so no row holds the documents of a common entity.
+    It has the first name, all names and given ``aliases``, the number of documents, the largest confidence and, if
+    given, all ``domains`` (both arrays). Documents are counted over (type, slug, document) first, so no row holds the
+    documents of a common entity.
     """
-    by_doc = _slugged(entities, slug).groupBy("entity_type", "slug", "source_doc").agg(F.collect_set("name").alias("names"), F.max("confidence").alias("confidence"))
+    every = lambda c: F.flatten(F.collect_set(c))
+    given = [x for x in ("aliases", "domains") if x in entities.columns]
+    by_doc = _slugged(entities, slug).groupBy("entity_type", "slug", "source_doc").agg(
+        F.collect_set("name").alias("names"), F.max("confidence").alias("confidence"), *(F.array_distinct(every(x)).alias(x) for x in given))
+    all_names = F.concat(every("names"), every("aliases")) if "aliases" in given else every("names")
     return by_doc.groupBy("entity_type", "slug").agg(
-        F.min(F.array_min("names")).alias("name"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("names")))).alias("aliases"),
-        F.count("source_doc").alias("n_docs"), F.max("confidence").alias("confidence"),
+        F.min(F.array_min("names")).alias("name"), F.sort_array(F.array_distinct(all_names)).alias("aliases"),
+        F.count("source_doc").alias("n_docs"), F.max("confidence").alias("confidence"), *(F.sort_array(F.array_distinct(every(x))).alias(x) for x in given if x == "domains"),
     )
 
 

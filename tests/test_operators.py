@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -105,6 +106,32 @@ def test_resolve_counts_all_documents(spark):
     assert shown == {"acme": list(range(20)), "bolt": []}
 
 
+def test_resolve_merges_similar_slugs(spark):
+    long = "very long name of a society " * 8
+    rows = [
+        ("OpenTelemetry", "Framework", ["otel"], ["ops"]), ("Open Telemetry", "Framework", None, ["dev", "ops"]), ("Open Telemetry", "Technology", ["ot"], None),
+        ("PostgreSQL", "Technology", None, None), ("MySQL", "Technology", None, None), ("MongoDB", "Technology", None, None),
+        ("ISO Standard 27001", "Concept", None, None), ("ISO Standard 27002", "Concept", None, None), (long, "Concept", None, None), (long.replace("name", "nam"), "Concept", None, None),
+    ]
+    raw = spark.createDataFrame([(*r, k, 0.5) for k, r in enumerate(rows)], "name string, entity_type string, aliases array<string>, domains array<string>, source_doc long, confidence double")
+    got = {(r.entity_type, r.slug): r for r in G.resolve(raw, X.slugify(F.col("name"))).collect()}
+    assert len(got) == 8
+    one = got["Framework", "open-telemetry"]
+    assert (one.name, one.aliases, one.domains, one.n_docs) == ("Open Telemetry", ["Open Telemetry", "OpenTelemetry", "otel"], ["dev", "ops"], 2)
+
+
+def test_similar_slugs_share_a_piece():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("ab-") for _ in range(rng.choice([7, 8, 13, 14, 20, 33, 47])))
+        b = a
+        for _ in range(len(a) * G.EDITS // 100):
+            at, how = rng.randrange(len(b)), rng.randrange(3)
+            b = b[:at] + ("", "c", b[at] + "d")[how] + b[at + 1 :]
+        short, longer = sorted((a, b), key=len)
+        assert {k for of, k in G._pieces(longer) if of} & {k for of, k in G._pieces(short) if not of}
+
+
 def test_empty_and_stop_word_queries(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "what is the"), (2, ""), (3, "beta")], "query_id long, text string")
