@@ -13,3 +13,8 @@ def test_query(spark, sf_dir, name):
         assert same_rows(df, ORACLE_SQL[name], sf_dir) > 0
     else:
         assert df.count() > 0
+
+
+def test_links_go_into_all_documents(spark, sf_dir):
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(QUERIES["wikilink_injection"](spark, sf_dir)) == ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
