@@ -107,7 +107,7 @@ def nway_rrf(spark, sf_dir):
     """Each passage as two sub-queries, its first 12 words and the rest: one list from both."""
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    rest = asked.select("query_id", F.array_join(F.slice(words, 13, 10_000), " ").alias("text"))
+    rest = asked.select("query_id", F.array_join(F.slice(words, F.lit(13), F.size(words)), " ").alias("text"))
     return R.rrf([R.bm25(docs, _first(spark, sf_dir, 12)), R.bm25(docs, rest)])
 
 

@@ -18,3 +18,9 @@ def test_query(spark, sf_dir, name):
 def test_links_go_into_all_documents(spark, sf_dir):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     assert ids(QUERIES["wikilink_injection"](spark, sf_dir)) == ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def test_long_passages_are_asked_whole(spark, tmp_path):
+    spark.createDataFrame([(1, "zebra", "en", "web"), (2, "other", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "of " * 10_100 + "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.query_id, r.doc_id) for r in QUERIES["nway_rrf"](spark, str(tmp_path)).collect()] == [(7, 1)]
