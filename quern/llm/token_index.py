@@ -4,24 +4,30 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import new_path
-from quern.llm.tokens import WordEncoder, public
+from quern.llm.tokens import Encoder, WordEncoder, public
 from quern.llm.words import mixed
 
 #: A shard file: this, four counts (documents, buckets, ids, bytes of an id), the bucket displacements, then by slot the
-#: fingerprints, offsets and lengths, then the ids as they are. All numbers are little-endian.
-MAGIC = b"QUERNTK1"
+#: fingerprints, offsets and lengths, then the keys in order (doc_ids, and which are null), then the ids as they are. All
+#: numbers are little-endian.
+MAGIC = b"QUERNTK2"
 #: A shard is closed at this many ids or documents.
 SHARD_IDS, SHARD_DOCS = 8_000_000, 65_536
+#: Seeds that a bucket tries before the build fails; a bucket of distinct keys needs a few thousand at most.
+MOST_SEEDS = 1 << 22
+#: Tasks that read an index back at most (about); each reads whole shards.
+READ_TASKS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,6 +47,8 @@ def build_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stores a free slot itself, as -1 - slot.
     """
     n = len(h)
+    if len(np.unique(h)) < n:
+        raise ValueError("two keys of one hash in a shard")
     n_buckets = max(1, n // 4)
     bucket = (h % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -51,7 +59,7 @@ def build_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if sizes[b] < 2:
             break
         own = order[bounds[b] : bounds[b + 1]]
-        for seed in range(0, 1 << 30, 64):
+        for seed in range(0, MOST_SEEDS, 64):
             tries = _slot(h[own][:, None], np.arange(seed, seed + 64)[None, :], n)
             spread = np.sort(tries, axis=0)
             good = np.flatnonzero(free[tries].all(axis=0) & (spread[1:] != spread[:-1]).all(axis=0))
@@ -59,6 +67,8 @@ def build_index(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 shift[b], slots[own] = seed + good[0], tries[:, good[0]]
                 free[slots[own]] = False
                 break
+        else:
+            raise ValueError("no seed spreads a bucket")
     left = np.flatnonzero(free)
     for b, at in zip(np.flatnonzero(sizes == 1), left, strict=True):
         shift[b], slots[order[bounds[b]]] = -1 - at, at
@@ -78,6 +88,7 @@ class Shard:
         read = lambda kind, n: np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
         self.shift, self.print = read("<i4", self.n_buckets), read("<u4", self.n)
         self.offset, self.length = read("<u8", self.n), read("<u4", self.n)
+        self.doc_ids, self.absent = read("<i8", self.n), read("u1", self.n).astype(bool)
         self.payload = self.file.tell()
 
     def locate(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,110 +105,125 @@ class Shard:
         return np.frombuffer(self.file.read(self.width * n), f"<u{self.width}").astype("<u4")
 
 
-def _write(folder: str, h: np.ndarray, parts: list[np.ndarray]) -> str:
+def repeats_of(ids: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """How many equal keys stand just before each key."""
+    if not len(ids):
+        return np.zeros(0, np.int64)
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (absent[1:] != absent[:-1])])
+    return np.arange(len(ids)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _write(folder: str, ids: np.ndarray, absent: np.ndarray, length: np.ndarray, payload: list[np.ndarray]) -> str:
+    h = key_hash(ids, repeats_of(ids, absent), absent)
     shift, slots = build_index(h)
-    length = np.array([len(x) for x in parts])
     offset = np.cumsum(length) - length
     put = lambda x, kind: (out := np.zeros(len(h), kind), out.__setitem__(slots, x))[0]
-    width = 2 if max((int(x.max()) for x in parts if len(x)), default=0) < 1 << 16 else 4
+    width = 2 if max((int(x.max()) for x in payload if len(x)), default=0) < 1 << 16 else 4
     path = f"{folder}/{uuid.uuid4().hex}.tokens"
     system, name = fs.FileSystem.from_uri(path)
     with system.open_output_stream(name) as out:
         out.write(MAGIC + np.array([len(h), len(shift), length.sum(), width], "<u8").tobytes() + shift.astype("<i4").tobytes())
         for x, kind in ((h >> np.uint64(32), "<u4"), (offset, "<u8"), (length, "<u4")):
             out.write(put(x, kind).tobytes())
-        for x in parts:
+        out.write(ids.astype("<i8").tobytes() + absent.astype("u1").tobytes())
+        for x in payload:
             out.write(x.astype(f"<u{width}").tobytes())
     return path
 
 
-MANIFEST = "part int, shard int, path string, n_ids long, doc_ids array<long>"
+MANIFEST = "part int, shard int, path string, n_docs long, n_ids long"
 
 
 def write_index(
-    docs: DataFrame, folder: str, encoder: Callable[[list[str]], list[np.ndarray]], end_id: int | None = 1,
-    shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS,
+    docs: DataFrame, folder: str, encoder: Encoder, end_id: int | None = 1, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS
 ) -> DataFrame:
     """Write the ids of all ``docs`` (doc_id, text) in ascending doc_id order and return the manifest.
 
-    A range of doc_ids goes to a task, which writes shards as it goes. The manifest, one row a shard in (part, shard)
-    order, names the files that count; those of a lost attempt are in no manifest. A null text is empty; a null doc_id
-    comes first; rows of one doc_id are told apart by their order (by text).
+    A range of doc_ids goes to a task, which writes shards as it goes; rows of one doc_id, however many, may go to
+    several. The manifest, one row a shard in (part, shard) order, names the files that count; those of a lost attempt
+    are in no manifest. A null text is empty; a null doc_id comes first; rows of one doc_id follow a hash of their text
+    and are told apart by their number in the shard. A very long text is in one shard, which it may fill beyond its
+    bound. Other columns play no part; an empty table writes no shard.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, shard, n, parts, ids = TaskContext.get().partitionId(), 0, 0, [], []
-        last, repeat, repeats = object(), 0, []
+        part, shard = TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def close() -> pa.RecordBatch:
-            key = key_hash(np.array([x or 0 for x in ids], np.int64), np.array(repeats, np.int64), np.array([x is None for x in ids], bool))
-            path = _write(folder, key, parts)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([path]), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64()))],
-                ["part", "shard", "path", "n_ids", "doc_ids"],
-            )
+            ids, absent, length = (np.concatenate([x[k] for x in held]) for k in range(3))
+            path = _write(folder, ids, absent, length, [x[3] for x in held])
+            row = ([part], [shard], [path], [len(ids)], [int(length.sum())])
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(row, kinds, strict=True)], ["part", "shard", "path", "n_docs", "n_ids"])
 
+        n_ids = n_docs = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                encoded = encoder([x or "" for x in some.column("text").to_pylist()])
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
-                    if end_id is not None:
-                        own = np.append(own, np.array([end_id], "<u4"))
-                    repeat = repeat + 1 if doc_id == last else 0
-                    last = doc_id
-                    if ids and (n + len(own) > shard_ids or len(ids) >= shard_docs):
+                doc_id = some.column("doc_id")
+                ids, absent = pc.fill_null(doc_id, 0).to_numpy().astype(np.int64), doc_id.is_null().to_numpy(zero_copy_only=False)
+                payload, bounds = encoder(some.column("text"))
+                if end_id is not None:
+                    payload = np.insert(payload, bounds[1:], end_id)
+                    bounds = bounds + np.arange(len(bounds))
+                k = 0
+                while k < len(ids):  # up to where the shard is full
+                    room = int(np.searchsorted(bounds, bounds[k] + shard_ids - n_ids, "right")) - 1
+                    end = min(len(ids), room, k + shard_docs - n_docs)
+                    if end <= k and not n_docs:
+                        end = k + 1
+                    if end > k:
+                        held.append((ids[k:end], absent[k:end], np.diff(bounds[k : end + 1]), payload[bounds[k] : bounds[end]]))
+                        n_ids, n_docs, k = n_ids + int(bounds[end] - bounds[k]), n_docs + end - k, end
+                    if k < len(ids):
                         yield close()
-                        shard, n, parts, ids, repeats = shard + 1, 0, [], [], []
-                    parts.append(own)
-                    ids.append(doc_id)
-                    repeats.append(repeat)
-                    n += len(own)
-        if ids:
+                        shard, n_ids, n_docs, held = shard + 1, 0, 0, []
+        if held:
             yield close()
 
     fs_of, name = fs.FileSystem.from_uri(folder)
     fs_of.create_dir(name, recursive=True)
-    rows = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows = docs.select("doc_id", "text").withColumn("_tie", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), "_tie")
+    (
+        rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+        .mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    )
     return docs.sparkSession.read.parquet(f"{folder}/manifest")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every indexed document, each found by key in its shard.
 
-    ``start`` sums shard sizes over one narrow row a shard, then adds the offset in the shard.
+    Shards are dealt over tasks. ``start`` sums shard sizes, first by part, then in a part, over one narrow row a shard,
+    and adds the offset in the shard. A shard that doesn't hold its own keys raises an error.
     """
     manifest = spark.read.parquet(f"{folder}/manifest")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("part", "shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(before(Window.orderBy("part"))), F.lit(0)).alias("_part_first"))
+    inside = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    rows = manifest.withColumn("_inside", inside).join(parts, "part").select("path", (F.col("_part_first") + F.col("_inside")).alias("first"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, first, ids in zip(*(batch.column(x).to_pylist() for x in ("path", "first", "doc_ids")), strict=True):
+            for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 shard = Shard(path)
-                value, absent = np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], bool)
-                same = (value[1:] == value[:-1]) & (absent[1:] == absent[:-1])
-                repeats = np.zeros(len(ids), np.int64)
-                for k in np.flatnonzero(same):
-                    repeats[k + 1] = repeats[k] + 1
-                known, offset, length = shard.locate(key_hash(value, repeats, absent))
-                if not known.all():  # the shard begins with later rows of a doc_id that the one before holds
-                    k = int(np.argmin(known))
-                    run = (value == value[k]) & (absent == absent[k])
-                    for more in range(1, 1 << 40):
-                        known, offset, length = shard.locate(key_hash(value, repeats + more * run, absent))
-                        if known.all():
-                            break
-                payload = shard.ids(0, shard.n_ids)
-                crc = [zlib.crc32(payload[a : a + n].tobytes()) for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
+                ids, absent = shard.doc_ids, shard.absent
+                known, offset, length = shard.locate(key_hash(ids, repeats_of(ids, absent), absent))
+                if not known.all():
+                    raise ValueError(f"{path} is damaged: {int((~known).sum())} of its keys aren't found")
+                payload = memoryview(shard.ids(0, shard.n_ids)).cast("B")
+                crc = [zlib.crc32(payload[4 * a : 4 * (a + n)]) for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(offset + first), pa.array(length), pa.array(crc, pa.int64())],
+                    [pa.array(ids, mask=absent), pa.array(offset + first), pa.array(length), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    rows = manifest.select("part", "shard", "path", "doc_ids").join(starts, ["part", "shard"])
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = manifest.count()
+    tasks = max(1, -(-n // max(1, n // READ_TASKS)))
+    return rows.repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_index(spark, sf_dir: str) -> DataFrame:
