@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,59 +12,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import cut
-from quern.llm.tokens import RankEncoder, public
+from quern.llm.tokens import ByteEncoder, Encoder, public
 from quern.llm.words import mixed
 
 CAPACITY = 2048
+#: A configuration that fills less than this part is not rounded up from the program but solved again with the rest.
+FULL = 0.98
+#: Above 1, so that of two full configurations the one of fewer, longer pieces is dearer and short ones are left to fill with.
+POWER = 1.1
 #: A configuration: (length, how many of it) pairs, and how many sequences are packed so.
 Packed = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
-def best_configuration(values: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The dearest multiset of lengths that fits (knapsack by dynamic programming), with at most ``most`` of each."""
-    lengths = np.flatnonzero(values > 0)
-    best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def room_values(price: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest multiset of lengths for every room up to ``capacity`` (knapsack by dynamic programming)."""
+    best = np.zeros(capacity + 1)
     for room in range(1, capacity + 1):
-        fits = lengths[: np.searchsorted(lengths, room, "right")]
-        best[room] = best[room - 1]
-        if len(fits):
-            worth = values[fits] + best[room - fits]
-            k = int(np.argmax(worth))
-            if worth[k] > best[room]:
-                best[room], taken[room] = worth[k], fits[k]
-    found: dict[int, int] = {}
-    room = capacity
+        best[room] = max(best[room - 1], (price[1 : room + 1] + best[room - 1 :: -1]).max())
+    return best
+
+
+def configuration(seed: int, price: np.ndarray, best: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """The dearest configuration with a piece of length ``seed``, traced through ``best``, of pieces that ``left`` holds."""
+    found, room, allowed = {seed: 1}, capacity - seed, np.where(left > 0, price, -np.inf)
     while room > 0:
-        if not (n := int(taken[room])):
-            room -= 1
-            continue
-        if found.get(n, 0) < most[n]:
-            found[n] = found.get(n, 0) + 1
-        room -= n
+        if found.get(seed, 0) >= left[seed]:
+            allowed[seed] = -np.inf
+        worth = allowed[1 : room + 1] + best[room - 1 :: -1]
+        seed = int(np.argmax(worth)) + 1
+        if worth[seed - 1] == -np.inf:
+            break
+        found[seed] = found.get(seed, 0) + 1
+        room -= seed
     return found
 
 
-def fractional(demand: np.ndarray, capacity: int, rounds: int = 400, rate: float = 3.0, part: float = 0.25) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how many sequences of each the covering program asks for, fractions included.
+def fractional(demand: np.ndarray, capacity: int, part: float, rate: float = 1.0, slack: float = 0.01, batch: int = 64) -> dict[tuple, float]:
+    """{configuration: sequences}: a solution of the covering program, fractions included, by multiplicative weights.
 
-    A length's weight falls exponentially with the part of its demand that is covered. Each round prices the
-    configuration of the largest weight and raises it by ``part`` of the demand that limits it.
+    Each length has a weight, at first its count times its length to the POWER, that falls exponentially with the covered part of its
+    demand; weight over demand is the price of a piece. Each round prices all rooms and raises the configurations that
+    hold the ``batch`` dearest lengths, each by ``part`` of the demand that limits it (but a whole sequence where that is
+    less), so that no length is covered twice. Rounds end when all but ``slack`` of every length is covered.
     """
-    wanted = demand > 0
-    covered, chosen = np.zeros(len(demand)), {}
-    for _ in range(rounds):
-        weight = np.zeros(len(demand))
-        weight[wanted] = np.exp(-rate * covered[wanted] / demand[wanted])
-        weight[wanted & (covered >= demand)] = 0
-        config = best_configuration(weight * np.arange(len(demand)), demand, capacity)  # a token counts alike in any length
-        if not config:
-            break
-        step = part * min(demand[n] / k for n, k in config.items())
-        for n, k in config.items():
-            covered[n] += k * step
-        key = tuple(config.items())
-        chosen[key] = chosen.get(key, 0.0) + step
-    return [(dict(key), wanted) for key, wanted in chosen.items()]
+    lengths = np.arange(len(demand))
+    left = demand.astype(float)
+    goal, chosen = slack * demand, {}
+    while (open_ := np.flatnonzero(left > goal)).size:
+        price = np.zeros(len(demand))
+        price[open_] = lengths[open_] ** POWER * np.exp(rate * (left[open_] / demand[open_] - 1))
+        best = room_values(price, capacity)
+        for seed in open_[np.argsort(-price[open_], kind="stable")[:batch]].tolist():
+            if left[seed] <= goal[seed]:
+                continue
+            config = configuration(seed, price, best, np.where(left > goal, np.maximum(left, 1), 0), capacity)
+            limit = min(left[n] / k for n, k in config.items())
+            step = min(limit, max(part * limit, 1.0))
+            for n, k in config.items():
+                left[n] = max(0.0, left[n] - k * step)
+            key = tuple(sorted(config.items(), reverse=True))
+            chosen[key] = chosen.get(key, 0.0) + step
+    return chosen
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> Packed:
@@ -93,22 +100,33 @@ def best_fit(demand: np.ndarray, capacity: int) -> Packed:
     return [(config, sequences) for groups in rooms.values() for config, sequences in groups]
 
 
-def solve(demand: np.ndarray, capacity: int = CAPACITY, rounds: int = 400) -> Packed:
-    """Pack ``demand[n]`` pieces of each length n: the fractional program rounded down, best fit for what is left.
+def solve(demand: np.ndarray, capacity: int = CAPACITY, part: float = 0.25, phases: int = 12) -> tuple[Packed, int]:
+    """(plan, sequences of it that the program gave) for ``demand[n]`` pieces of each length n.
 
-    Only counts of at most ``capacity`` lengths are used, however many pieces there are.
+    The program's solution is rounded down, then up where whole sequences still fit the demand, the largest fractions
+    first. What is left is a smaller program of its own, with whole steps, until a phase adds nothing; best fit packs the
+    residue. Only counts of at most ``capacity`` lengths are used, however many pieces there are.
     """
-    left, packed = demand.astype(np.int64).copy(), []
-    if left[capacity]:
-        packed.append((((capacity, 1),), int(left[capacity])))
-        left[capacity] = 0
-    for config, wanted in sorted(fractional(left, capacity, rounds), key=lambda x: -sum(n * k for n, k in x[0].items())):
-        sequences = min([int(wanted), *(int(left[n]) // k for n, k in config.items())])
+    left, packed, given = demand.astype(np.int64).copy(), [], 0
+
+    def take(config: tuple[tuple[int, int], ...], most: int) -> int:
+        sequences = min([most, *(int(left[n]) // k for n, k in config)])
         if sequences > 0:
-            for n, k in config.items():
+            for n, k in config:
                 left[n] -= k * sequences
-            packed.append((tuple(config.items()), sequences))
-    return packed + best_fit(left, capacity)
+            packed.append((config, sequences))
+        return max(sequences, 0)
+
+    for phase in range(phases):
+        chosen = fractional(left, capacity, 1.0 if phase else part, slack=0.0 if phase else 0.01)
+        by_fill = sorted(chosen.items(), key=lambda x: -sum(n * k for n, k in x[0]))
+        full = [(c, x) for c, x in by_fill if phase + 1 == phases or sum(n * k for n, k in c) >= FULL * capacity]
+        done = sum(take(config, int(x + 1e-9)) for config, x in full)
+        done += sum(take(config, 1) for config, x in sorted(full, key=lambda x: -(x[1] % 1)) if x % 1 > 1e-9)
+        given += done
+        if not done or not left.any():
+            break
+    return packed + best_fit(left, capacity), given
 
 
 def places(packed: Packed, capacity: int) -> dict[int, np.ndarray]:
@@ -128,36 +146,43 @@ def places(packed: Packed, capacity: int) -> dict[int, np.ndarray]:
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, encoder: Callable[[list[str]], list[np.ndarray]], end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, encoder: Encoder, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every text and its end id; only the first may be shorter. ``_salt`` spreads them."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = TaskContext.get().partitionId(), count()
+        part, n_rows = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids = encoder([x or "" for x in some.column("text").to_pylist()])
-                for doc_id, own in zip(some.column("doc_id").to_pylist(), ids, strict=True):
-                    own = np.append(own, np.array([end_id], "<u4"))
-                    ends = list(range(len(own), 0, -capacity))[::-1]
-                    for k, end in enumerate(ends):
-                        start = ends[k - 1] if k else 0
-                        values = (doc_id, k, start, end - start, zlib.crc32(own[start:end].tobytes()), part << 40 | next(rows))
-                        for column, value in zip(out, values, strict=True):
-                            column.append(value)
-            out[5] = (mixed(np.array(out[5], np.uint64)) >> np.uint64(2)).astype(np.int64)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "_salt"])
-
-    return docs.select("doc_id", "text").mapInArrow(cut_up, f"{PIECE}, _salt long")
-
-
-def pack(docs: DataFrame, encoder: Callable[[list[str]], list[np.ndarray]], end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                ids, bounds = encoder(some.column("text"))
+                ids = np.insert(ids, bounds[1:], end_id)
+                bounds = bounds + np.arange(len(bounds))
+                size = np.diff(bounds)
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                end = size[row] - (n[row] - 1 - piece) * capacity
+                start = np.maximum(end - capacity, 0)
+                data = memoryview(ids.astype("<u4")).cast("B")
+                spans = zip((4 * (bounds[row] + start)).tolist(), (4 * (bounds[row] + end)).tolist(), strict=True)
+                crc = [zlib.crc32(data[a:b]) for a, b in spans]
+                salt = mixed(np.uint64(part << 40) + np.arange(n_rows, n_rows + len(row), dtype=np.uint64)) >> np.uint64(2)
+                n_rows += len(row)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64()),
+                     pa.array(salt.astype(np.int64))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "_salt"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, f"{PIECE}, _salt long")
+
+
+def pack(docs: DataFrame, encoder: Encoder, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row of ``docs``.
 
-    A null text is empty: its piece is the end id alone. Repeated rows are packed each. The driver gets the histogram,
-    at most ``capacity`` counts, and sends back the plan. Pieces of a length are ranked in salted blocks, whose sizes
+    A null text is empty: its piece is the end id alone. Repeated rows are packed each; a null doc_id stays null; other
+    columns, whatever their names, play no part; an empty table gives an empty table. A text of any length is encoded
+    whole and cut. The driver gets the histogram, at most ``capacity`` counts, and sends back the plan. Pieces of a length are ranked in salted blocks, whose sizes
     are summed before, so that no length, however common, is ranked in one task.
     """
     spark = docs.sparkSession
@@ -165,7 +190,7 @@ def pack(docs: DataFrame, encoder: Callable[[list[str]], list[np.ndarray]], end_
     demand = np.zeros(capacity + 1, np.int64)
     for row in every.groupBy("length").count().collect():
         demand[row["length"]] = row["count"]
-    sent = spark.sparkContext.broadcast(places(solve(demand, capacity), capacity))
+    sent = spark.sparkContext.broadcast(places(solve(demand, capacity)[0], capacity))
     blocks = int(min(1 << 12, max(64, demand.sum() // 50_000)))
     every = every.withColumn("_block", F.col("_salt") % blocks)
     by_block = Window.partitionBy("length").orderBy("_block")
@@ -197,4 +222,4 @@ def pack(docs: DataFrame, encoder: Callable[[list[str]], list[np.ndarray]], end_
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, RankEncoder(public("byte_bpe_50k.tiktoken")))
+    return pack(docs, ByteEncoder(public("byte_bpe_50k.json")))

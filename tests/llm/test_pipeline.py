@@ -4,13 +4,14 @@ from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quern.llm.jaccard_join import OP8_SQL
 from quern.llm.line_dedup import OP4_SQL
 from quern.llm.mixing import OP6_SQL
 from quern.llm.shared import cut
-from quern.llm.tokens import RankEncoder, public
+from quern.llm.tokens import public
 from quern.llm.toxicity import THRESHOLD, op10_toxicity
 
 
@@ -36,9 +37,9 @@ def test_stages(spark, sf_dir):
     copies = {r[0]: r[4] // r[1] for r in sql(inputs["mixing"], OP6_SQL) if r[1]}
     got = Counter(ids(inputs["packing"]))
     assert all(got[k] == n for k, n in copies.items()) and max(copies.values()) == 2 and min(copies.values()) == 0
-    encode, lengths = RankEncoder(public("byte_bpe_50k.tiktoken")), Counter()
+    encode, lengths = Tokenizer.from_file(public("byte_bpe_50k.json")).encode, Counter()
     for r in inputs["packing"].select("doc_id", "text").collect():
-        lengths[r.doc_id] += len(encode([r.text])[0]) + 1
+        lengths[r.doc_id] += len(encode(r.text, add_special_tokens=False)) + 1
     packed = Counter()
     for r in docs.collect():
         packed[r.doc_id] += r.length
