@@ -10,7 +10,7 @@ from quern.llm.line_dedup import line_dedup
 from quern.llm.mixing import mixed_documents
 from quern.llm.packing import pack
 from quern.llm.shared import cut
-from quern.llm.tokens import RankEncoder, public
+from quern.llm.tokens import ByteEncoder, public
 from quern.llm.toxicity import THRESHOLD, fit, toxicity
 
 
@@ -38,7 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows and their places in sequences."""
-    return pack(docs, RankEncoder(public("byte_bpe_50k.tiktoken")))
+    return pack(docs, ByteEncoder(public("byte_bpe_50k.json")))
 
 
 STAGES = [
