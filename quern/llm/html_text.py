@@ -1,4 +1,8 @@
-"""Main text of web pages: the maximum-scoring contiguous region of words and tags, weights from labelled pages."""
+"""Main text of web pages: the maximum-scoring contiguous region of words and tags, weights from labelled pages.
+
+The method is that of maximum subsequence segmentation (Pasternack and Roth, 2009): words score by what the tags around
+them tell, tags cost, and one linear scan finds the best region.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass, field
 from html import unescape
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,28 +26,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is never text of a page, and those whose raw content ends only at their own end tag.
 UNSEEN = frozenset("head script style noscript template svg iframe object textarea select button datalist canvas audio video map".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
-#: Starts of these end what an author left open.
+#: A start of these ends what an author left open, and article or main ends what stands before it.
 _SITE = frozenset("nav header footer aside form menu".split())
 _HOLDERS = frozenset("article main section div td".split())
 _STORY = frozenset({"article", "main"})
-#: Features that alone reject no block inside an article or main element, where text may be linked or speak of copyright.
-_LOOSE = frozenset({"links most", "begins with a copyright sign"})
+#: Log odds of a feature that rejects a block by itself: seen several times, on other blocks only.
+REJECTS = -2.0
+#: What tells of a block's words, not of its place.
+_SHAPE = frozenset({"links most", "links few", "no sentence", "sentences", "right to copy"})
 _LABEL = "data-label"
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
-)
+LABELLED = Path(__file__).with_name("labelled_pages.html")
+_OPEN = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|data-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SENTENCE = re.compile(r"[.!?:;…][\"'”’»)]*$")
 
 
 class Element:
     __slots__ = ("main", "names", "tag", "unseen", "words")
 
-    def __init__(self, tag: str, above: Element | None, attributes: str):
+    def __init__(self, tag: str, attributes: str):
         self.tag, self.words, self.names = tag, 0, ()
-        self.unseen = tag in UNSEEN or (above is not None and above.unseen)
-        self.main = above is not None and above.main
+        self.unseen, self.main = tag in UNSEEN, False
         if attributes and tag not in ("html", "body"):
             names = []
             for key, value in _ATTRIBUTE.findall(attributes):
@@ -53,153 +60,228 @@ class Element:
                     self.unseen = True
                 elif key == _LABEL:
                     self.main = True
-            self.names = tuple(names)
+            self.names = tuple(dict.fromkeys(names))
+
+
+def markup(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) of text, start and end tags in order, in time linear in the page."""
+    at, n = 0, len(html)
+    last_close = html.rfind(">")
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0 or lt > last_close:
+            yield "text", html[at:], ""
+            return
+        mark = html[lt + 1 : lt + 2]
+        name = _OPEN.match(html, lt + 1 + (mark == "/"))
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            end = n if end < 0 else end + 3
+        elif mark and mark in "!?":
+            end = html.find(">", lt) + 1
+        elif name:
+            m = _ATTRIBUTES.match(html, name.end())
+            end = m.end() if m else html.find(">", lt) + 1
+        else:  # a bare less-than sign
+            yield "text", html[at : lt + 1], ""
+            at = lt + 1
+            continue
+        if lt > at:
+            yield "text", html[at:lt], ""
+        at = end
+        if name and mark != "!":
+            tag = name[0].lower()
+            if mark == "/":
+                yield "end", tag, ""
+                continue
+            yield "start", tag, html[name.end() : end - 1]
+            if tag in RAW:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                at = close.end() if close else n
+                yield "end", tag, ""
 
 
 def parse(html: str) -> list[tuple[str, object]]:
-    """The page as (tag, name) and (text, (string, open elements, in a link)) items, in order."""
+    """(open, element), (close, element) and (text, string) in order, well nested; words of elements are counted."""
     items: list[tuple[str, object]] = []
     stack: list[Element] = []
-    at = 0
-
-    def text(raw: str) -> None:
-        if raw and not (stack and stack[-1].unseen):
-            shown = unescape(raw)
-            n = len(shown.split())
-            if n or shown:
-                items.append(("text", (shown, tuple(stack), n)))
-                for e in stack:
-                    e.words += n
-
-    while at < len(html):
-        m = _TAG.search(html, at)
-        if m is None:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    counts: Counter = Counter()  # open elements by tag
+    unseen = words = 0
+    begun: list[int] = []
+
+    def close_one() -> None:
+        nonlocal unseen
+        e = stack.pop()
+        e.words = words - begun.pop()
+        counts[e.tag] -= 1
+        unseen -= e.unseen
+        items.append(("close", e))
+
+    def close_down(tags: frozenset[str]) -> None:
+        """Close up to and with the lowest open element of these tags, if there is one."""
+        while any(counts[t] for t in tags):
+            close_one()
+
+    for kind, value, attributes in markup(html):
+        if kind == "text":
+            if value and not unseen:
+                shown = unescape(value)
+                words += len(shown.split())
+                items.append(("text", shown))
             continue
-        if m[1] or m[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
-            if depth is not None:
-                del stack[depth:]
-            items.append(("tag", tag))
+        if kind == "end":
+            if counts[value]:
+                while stack[-1].tag != value:
+                    close_one()
+                close_one()
+            elif value in BLOCKS:
+                items.append(("mark", value))
             continue
-        if tag == "body":
-            stack = [e for e in stack if e.tag == "html"]
-        elif tag in ("article", "main"):
-            while (k := next((k for k, e in enumerate(stack) if e.tag in _SITE), None)) is not None:
-                del stack[k:]
-        elif tag in BLOCKS and tag != "br" and stack and (k := next((k for k, e in enumerate(stack) if e.tag == "p"), None)) is not None:
-            del stack[k:]
-        items.append(("tag", tag))
-        if tag in VOID or (m[3] or m[6] or "").endswith("/"):
+        if value == "body":
+            close_down(frozenset(t for t in counts if t != "html"))
+        elif value in _STORY:
+            close_down(_SITE)
+        elif value in BLOCKS and value != "br" and counts["p"]:
+            close_down(frozenset({"p"}))
+        if value in VOID or attributes.endswith("/"):
+            items.append(("mark", value))
             continue
-        inside = any(e.tag in ("article", "main") for e in stack)
-        element = Element(tag, stack[-1] if stack else None, m[3] or m[6] or "")
-        if tag == "header" and inside:
-            element.tag = "header"
-            element.names = (*element.names, "_articleheader")
-        stack.append(element)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            stack.pop()
+        e = Element(value, attributes)
+        if value == "header" and (counts["article"] or counts["main"]):
+            e.names = (*e.names, "_articleheader")
+        stack.append(e)
+        begun.append(words)
+        counts[value] += 1
+        unseen += e.unseen
+        items.append(("open", e))
+    while stack:
+        close_one()
     return items
 
 
-def blocks(items: list[tuple[str, object]]) -> list[dict]:
-    """Runs between block tags: their text, words, linked words, open elements, and the tags just before them."""
-    found, tags = [], []
+@dataclass
+class Block:
+    """A run of text between block tags."""
+
+    text: str
+    n: int
+    features: frozenset[str]
+    tags: list[tuple[str, int]]
+    holders: tuple[int, ...] = ()
+    story: bool = False
+    main: bool = False
+
+
+@dataclass
+class _Place:
+    """What is open at one point of the page, kept in step with it: features by how many elements have them."""
+
+    total: int
+    features: Counter = field(default_factory=Counter)
+    holders: list[int] = field(default_factory=lambda: [0])  # the page itself is the first
+    links: int = 0
+    stories: int = 0
+    mains: int = 0
+    seen: int = 0
+
+    def of(self, e: Element) -> list[str]:
+        found = [] if e.tag == "a" or (e.tag == "header" and "_articleheader" in e.names) else [f"tag {e.tag}"]
+        if e.words <= 0.5 * self.total or e.tag in _SITE:  # names of what holds most of a page tell nothing of its parts
+            found += [f"name {x}" for x in e.names]
+        return found
+
+    def step(self, e: Element, by: int) -> None:
+        for f in self.of(e):
+            self.features[f] += by
+            if not self.features[f]:
+                del self.features[f]
+        self.links += by * (e.tag == "a")
+        self.stories += by * (e.tag in _STORY)
+        self.mains += by * e.main
+        if e.tag in _HOLDERS:
+            if by > 0:
+                self.seen += 1
+                self.holders.append(self.seen if e.tag not in _STORY else -self.seen)
+            else:
+                self.holders.pop()
+
+
+def blocks(items: list[tuple[str, object]]) -> list[Block]:
+    """The page's blocks with the features of their place and shape, and the tags that stand before each."""
+    found: list[Block] = []
+    place = _Place(sum(len(x.split()) for kind, x in items if kind == "text"))
     parts: list[str] = []
+    tags: list[tuple[str, int]] = []
     n = linked = 0
-    open_: tuple[Element, ...] = ()
+    at: tuple | None = None
 
     def close() -> None:
-        nonlocal parts, n, linked, tags
+        nonlocal parts, n, linked, tags, at
         joined = " ".join("".join(parts).split())
         if joined:
-            found.append({"text": joined, "n": n, "linked": linked, "open": open_, "tags": tags})
+            features, holders, story, main = at
+            shape = {"links most" if linked > 0.6 * n else "links few"}
+            if n >= 8:  # fewer words, a heading or a short answer, tell nothing by their end
+                shape.add("sentences" if _SENTENCE.search(joined) else "no sentence")
+            if _RIGHTS.match(joined):
+                shape.add("right to copy")
+            found.append(Block(joined, n, features | shape, tags, holders, story, main))
             tags = []
-        parts, n, linked = [], 0, 0
+        parts, n, linked, at = [], 0, 0, None
 
     for kind, value in items:
-        if kind == "tag":
-            if value in BLOCKS:
-                close()
-            tags.append(value)
-        else:
-            shown, elements, words = value
-            if parts and elements != open_ and not n:
-                open_ = elements
-            if not parts or not n:
-                open_ = elements
-            parts.append(shown)
+        if kind == "text":
+            words = len(value.split())
+            if words and not n:
+                at = (frozenset(place.features), tuple(place.holders[-MOST_HOLDERS:]), place.stories > 0, place.mains > 0)
+            parts.append(value)
             n += words
-            if any(e.tag == "a" for e in elements):
-                linked += words
+            linked += words * (place.links > 0)
+            continue
+        tag = value if kind == "mark" else value.tag
+        if tag in BLOCKS:
+            close()
+        tags.append((f"/{tag}" if kind == "close" else tag, 0 if kind == "mark" else value.words))
+        if kind != "mark":
+            place.step(value, 1 if kind == "open" else -1)
     close()
     return found
 
 
-def block_features(block: dict, page_words: int) -> set[str]:
-    """What a block's words know of their place: open tags, class names of parts of the page, link density."""
-    found = set()
-    for e in block["open"]:
-        if not (e.tag == "header" and "_articleheader" in e.names):
-            found.add(f"tag {e.tag}")
-        if e.words <= 0.5 * page_words or e.tag in _SITE:
-            found.update(f"name {x}" for x in e.names)
-    found.discard("tag a")
-    if _RIGHTS.match(block["text"]):
-        found.add("begins with a copyright sign")
-    found.add("links most" if block["linked"] > 0.6 * block["n"] else "links few")
-    return found
+#: Words that one unit of a tag's log odds weighs.
+TAG_WORDS = 1.5
+#: A holder belongs to the region if it holds at most so many times its words.
+WIDEN = 1.5
+#: Open holders that a block remembers, the innermost; deeper nests look no further out.
+MOST_HOLDERS = 64
 
 
-#: Class names of the labelled pages below: parts that are no main text, and wrappers of main text.
-OTHER_PARTS = (
-    "nav menu navbar navigation navigationbar breadcrumb breadcrumbs header masthead banner topbar footer colophon copyright contentinfo sidebar aside complementary"
-    " widget widgets related recommended recommendations promo promotion sponsored sponsor ad ads advert adverts advertisement advertising adsbygoogle"
-    " cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social"
-    " comments comment commentlist disqus respond reply replies reader login search form toolbar pagination pager tags skip legal disclaimer paywall trending popular"
-).split()
-MAIN_PARTS = "article content main post entry story text body page container wrapper".split()
-
-
-def labelled_pages() -> Iterator[str]:
-    """Small pages whose main blocks carry the label: every kind of other part, beside and inside main text."""
-    prose = "plain words of a paragraph that tell the story of the page and go on for a while <a href=x>with one link</a> to its end"
-    for k, name in enumerate(OTHER_PARTS):
-        wrapper, attribute = MAIN_PARTS[k % len(MAIN_PARTS)], ("class", "id")[k % 2]
-        part = f'<div {attribute}="{name}">some words that are not of the story at all here</div>'
-        inner = f"<h1 {_LABEL}>A title of six short words</h1><p {_LABEL}>{prose}</p>{part}<ul><li {_LABEL}>{prose}</li></ul><h2 {_LABEL}>Next part</h2><p {_LABEL}>{prose}</p>"
-        body = (f"<article>{inner}</article>", f'<div class="{wrapper}">{inner}</div>', f"<main><div class={wrapper}>{inner}</div></main>")[k % 3]
-        yield (
-            "<body><header><a href=/>Site name</a><p>slogan of the site</p></header><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three more</a></li></ul></nav>"
-            f"{body}<aside><ul><li><a href=d>Other stories to read</a></li></ul><p>words beside</p></aside><form><label>Your name</label></form><footer><p>© rights reserved words</p></footer></body>"
-        )
-
-
-@cache
-def weights() -> tuple[dict[str, float], dict[str, float]]:
-    """(feature weights of words, penalties of tags): log odds of main over other words; of tags before other words over main ones."""
+@dataclass
+class Weights:
+    """Log odds of main over other words by feature, and what a tag costs, in words."""
+
+    words: dict[str, float]
+    tags: dict[str, float]
+
+
+def learn(pages: list[str]) -> Weights:
+    """Weights from pages whose main blocks carry the label: a naive Bayes score of words by their features; of tags, how
+    much more often each stands before other blocks than before main ones."""
     main, other, tags_main, tags_other = Counter(), Counter(), Counter(), Counter()
-    for page in labelled_pages():
-        found = blocks(parse(page))
-        total = sum(b["n"] for b in found)
-        for b in found:
-            is_main = b["open"][-1].main
-            for f in [*block_features(b, total), ""]:
-                (main if is_main else other)[f] += b["n"]
-            (tags_main if is_main else tags_other).update(b["tags"])
+    for page in pages:
+        for b in blocks(parse(page)):
+            for f in [*b.features, ""]:
+                (main if b.main else other)[f] += 1
+            (tags_main if b.main else tags_other).update({t for t, _ in b.tags})
     prior = math.log(main[""] / other[""])
-    learned = {f: math.log((main[f] + 1) / (other[f] + 1)) - prior for f in {*main, *other} if f}
-    learned[""] = prior
-    per_word = lambda t: math.log1p((tags_other[t] + 1) / other[""] / ((tags_main[t] + 1) / main[""]))
-    return learned, {t: 0.04 * per_word(t) for t in {*tags_main, *tags_other}}
+    odds = {f: math.log((main[f] + 0.1) / (other[f] + 0.1)) - prior for f in {*main, *other} if f}
+    odds[""] = 0.0  # main and other blocks are as likely before anything is known
+    cost = {t: math.log1p((tags_other[t] + 0.5) / (tags_main[t] + 0.5) * main[""] / other[""]) for t in {*tags_main, *tags_other}}
+    return Weights(odds, cost)
+
+
+def labelled_pages() -> list[str]:
+    return LABELLED.read_text(encoding="utf-8").split("\n====\n")[1:]
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -214,41 +296,68 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(html: str) -> str:
-    """The text of the best region's own blocks, joined by one space.
+def tag_cost(weights: Weights, tag: str, words: int) -> float:
+    """A tag's cost grows with what its element holds: to leave or enter a large part is dearer than a line."""
+    return TAG_WORDS * weights.tags.get(tag, 0.5) * max(1.0, math.log1p(words) / math.log1p(10))
+
+
+def scored(found: list[Block], weights: Weights) -> tuple[list[float], list[float], list[bool]]:
+    """By block: the score of its words, the cost of the tags before it, and whether it may stay in a region.
 
-    The region is widened to the article or main element, else the division, that holds it, so that a short end after
-    an advert stays. Inside an article or main element all blocks stay but those that their tags or names reject.
+    One open tag or name that labelled pages have beside main text alone rejects a block. So does being linked most or
+    beginning with a copyright sign, but not in an article or main element, where text may be linked or speak of that.
     """
-    learned, penalties = weights()
-    found = blocks(parse(html))
-    total = sum(b["n"] for b in found)
-    odds, scores, free = [], [], []
+    words, costs, fine = [], [], []
     for b in found:
-        features = block_features(b, total)
-        logit = learned[""] + sum(learned.get(f, 0.0) for f in features)
-        odds.append(logit)
-        free.append(any(e.tag in _STORY for e in b["open"]) and all(learned.get(f, 0.0) > -1 for f in features - _LOOSE))
-        cost = sum(penalties.get(t, 0.1) for t in b["tags"])
-        scores.append(b["n"] * math.tanh(logit / 2) - cost)
-    # a run of sums over blocks: tags before a block and its words are one step of the scan
-    start, end = best_region(scores)
-    shared = [e for e in found[start]["open"] if e.tag in _HOLDERS and all(e in b["open"] for b in found[start:end])] if end else []
-    holder = next((e for e in reversed(shared) if e.tag in _STORY), shared[-1] if shared else None)
-    inside = lambda k, b: start <= k < end or (holder is not None and holder in b["open"])
-    return " ".join(b["text"] for k, b in enumerate(found) if (odds[k] > 0 or free[k]) and inside(k, b))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+        logit = weights.words[""] + sum(weights.words.get(f, 0.0) for f in b.features)
+        place = min((weights.words.get(f, 0.0) for f in b.features - _SHAPE), default=0.0)
+        words.append(b.n * math.tanh(logit / 2))
+        costs.append(sum(tag_cost(weights, t, n) for t, n in b.tags))
+        fine.append(place > REJECTS and (b.story or not b.features & {"links most", "right to copy"} or logit > 0))
+    return words, costs, fine
+
+
+def main_text(html: str, weights: Weights) -> str:
+    """The text of the best region, joined by one space.
+
+    The scan runs over words and tags: each block's words add their score, the tags before it take their cost. Blocks
+    in the region that their place rejects (an advert in a story) go. The scan is widened to the article or main element
+    that holds the region, else to its innermost holder, if that holds little more, or to what stands in it directly, so
+    that an end which an advert cuts off stays.
+    """
+    found = blocks(parse(html))
+    words, costs, fine = scored(found, weights)
+    start, end = best_region([x for w, c in zip(words, costs, strict=True) for x in (-c, w)])
+    if not end:
+        return ""
+    start, end = start // 2, (end + 1) // 2  # a best run begins and ends with words
+    shared = set(found[start].holders).intersection(*(b.holders for b in found[start:end]))
+    holder = max((h for h in shared if h < 0), default=max(shared, default=0))
+    region = sum(b.n for b, ok in zip(found[start:end], fine[start:end], strict=True) if ok)
+    held = sum(b.n for b, ok in zip(found, fine, strict=True) if ok and holder in b.holders)
+    deep = holder < 0 or (holder > 0 and held <= WIDEN * region)
+    kept = []
+    for k, b in enumerate(found):
+        own = holder in b.holders if deep else holder == b.holders[-1]
+        inside = start <= k < end
+        if (inside or own) and fine[k]:
+            kept.append(b.text)
+    return " ".join(kept)
+
+
+def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``; a null or empty html has the empty text.
 
-    Repeated rows give repeated rows; a page of any length is read whole, in time linear in it; what follows an
-    unclosed comment, script or style is part of it, as browsers read it.
+    Weights are learned from the labelled pages beside this module unless given. Repeated rows give repeated rows; null
+    ids and urls stay null; other columns, whatever their names, are left out; an empty table gives an empty table. A
+    page of any length is read whole, in time linear in it; what follows an unclosed comment, script or style is part
+    of it, as browsers read it.
     """
+    known = weights or learn(labelled_pages())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) if x else "" for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, known) if x else "" for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

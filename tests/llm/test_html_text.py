@@ -1,11 +1,19 @@
 """Main text of pages: the generator's articles, hand-made layouts, broken markup."""
 
 import re
+import time
 from html import unescape
 
 import pytest
 
-from quern.llm.html_text import best_region, extract, main_text, op3_html_text
+from quern.llm import html_text
+from quern.llm.html_text import best_region, blocks, extract, labelled_pages, learn, op3_html_text, parse
+
+KNOWN = learn(labelled_pages())
+
+
+def main_text(html):
+    return html_text.main_text(html, KNOWN)
 
 
 def test_op3_gives_the_articles(spark, sf_dir):
@@ -63,3 +71,33 @@ def test_linked_blocks_and_copyright_inside_the_story(tag):
         f"<div class=share><p><a href=x>Share this</a></p></div><aside><a href=o>Other</a></aside></{tag}><div><a href=/>Home</a> <a href=b>Back</a></div><footer>Copyright 2024</footer></body>"
     )
     assert main_text(page) == f"Linked title {prose} A linked headline A paragraph of one link Copyright law is a hard subject. {prose} Reference one Two"
+
+
+def test_weights_come_from_the_labels():
+    main = [b for p in labelled_pages() for b in blocks(parse(p)) if b.main]
+    assert len(labelled_pages()) > 10 and len(main) > 60
+    assert KNOWN.tags["nav"] > KNOWN.tags["p"] > 0 and all(x >= 0 for x in KNOWN.tags.values())
+    assert KNOWN.words["name sidebar"] < 0 < KNOWN.words["tag p"]
+    flipped = [p.replace("<p data-label", "<p").replace("<p>", "<p data-label>") for p in labelled_pages()]
+    assert learn(flipped).words["tag p"] != KNOWN.words["tag p"]
+
+
+UNSEEN_NAMES = (
+    "<body><div class=zonk><a href=1>One</a> <a href=2>Two</a></div><div class=lateral>Buy two lamps today and pay for one, in every shop of ours.</div><div class=quux><h1>Frost in May</h1>"
+    "<p>The blossom froze in the night of the third, and with it most of the year's cherries. Nobody in the village had seen the like since the war.</p>"
+    "<p>Some lit fires between the rows. It helped a little on the slope, where the air moves.</p></div><div class=zeile-unten>Our office is open on weekdays. Write to the editor at any time.</div></body>"
+)
+
+
+def test_unseen_names_and_the_scan(monkeypatch, sf_dir):
+    story = "Frost in May The blossom froze in the night of the third, and with it most of the year's cherries. Nobody in the village had seen the like since the war. Some lit fires between the rows. It helped a little on the slope, where the air moves."
+    assert main_text(UNSEEN_NAMES) == story
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert "lamps" in main_text(UNSEEN_NAMES) and "weekdays" in main_text(UNSEEN_NAMES)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x ", "<a '", "<article><nav>", "</x>", "<b><i>x", "<!-- <a>", "<td><p>"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.time()
+    main_text(unit * (300_000 // len(unit)))
+    assert time.time() - began < 8
