@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.jaccard_join import components
+from quern.operators.components import components
 
 #: Edits in 100 letters that similar slugs may differ in, and the letters from which slugs are compared by length alone.
 EDITS, LONG = 15, 200
@@ -54,10 +54,11 @@ def referential(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Edges with known labels, kind and ends, and the rest with the reason."""
+    """Edges with known labels, kind and ends, and the rest with the reason; a null label or kind is unknown."""
+    known = lambda c, names: F.coalesce(F.col(c).isin(list(names)), F.lit(False))
     reason = (
         F.when(F.coalesce(F.btrim("from_id"), F.lit("")) == "", "no from_id").when(F.coalesce(F.btrim("to_id"), F.lit("")) == "", "no to_id")
-        .when(~F.col("from_label").isin(LABELS) | ~F.col("to_label").isin(LABELS), "unknown label").when(~F.col("kind").isin(list(kinds)), "unknown kind")
+        .when(~known("from_label", LABELS) | ~known("to_label", LABELS), "unknown label").when(~known("kind", kinds), "unknown kind")
     )
     marked = edges.withColumn("reason", reason)
     return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())

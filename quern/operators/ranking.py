@@ -10,15 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import finite, split_words, tokens
+from quern.shared import cut, small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Rows of a table that may be broadcast; each has a few columns of bounded width.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows; a larger one is shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def top(df: DataFrame, k: int, score: str, *ties: str, by: str = "query_id") -> DataFrame:
@@ -30,22 +24,29 @@ def top(df: DataFrame, k: int, score: str, *ties: str, by: str = "query_id") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bool = False, prefix: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents by BM25, ties to smaller ids.
 
-    ``docs`` is (doc_id, text), ``queries`` (query_id, text). Only postings of query terms are made: the distinct terms
-    are joined while documents are scanned, and term counts are added up before they are shuffled. A document
-    matches with any term, or with ``every_term``; with ``prefix`` a term stands for all that begin with it.
+    ``docs`` is (doc_id, text), ``queries`` (query_id, text). Documents are tokenised once: terms that are asked for are
+    counted by document, all others together, and these postings are written; sizes, document frequencies and scores are
+    read from them. A document matches with any term, or with ``every_term``; with ``prefix`` a term stands for all that
+    begin with it, which takes a scan for the vocabulary before.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("dl")).first()
-    n, mean = totals["n"], totals["dl"] or 1.0
-    words = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
+    sized = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
+    words = sized.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
     if prefix:
         vocabulary = words.select("term").distinct()
         starts = asked.select("asked").distinct()
-        known = vocabulary.join(small(starts), F.expr("startswith(term, asked)")).select("asked", "term")
+        known = cut(vocabulary.join(small(starts), F.expr("startswith(term, asked)")).select("asked", "term"))
     else:
         known = asked.select("asked", F.col("asked").alias("term")).distinct()
-    tf = words.join(small(known.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    wanted = small(known.select("term", F.lit(True).alias("_wanted")).distinct())
+    postings = cut(
+        words.join(wanted, "term", "left").groupBy(F.when(F.col("_wanted"), F.col("term")).alias("term"), "doc_id", "dl")
+        .agg(F.count("term").alias("tf"))
+    )
+    n = docs.count()
+    mean = (postings.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
+    mean = mean or 1.0
+    tf = postings.where(F.col("term").isNotNull())
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(mean)))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.operators import corpus as C
-from quern.operators.ranking import small
 from quern.plans.tables import DOCS, documents, queries, table
+from quern.shared import small
 
 
 def _snapshots(spark, sf_dir):
@@ -195,13 +195,19 @@ def contamination(spark, sf_dir):
 
     Runs of the passages are few; documents' runs are joined with them while they are scanned.
     """
-    def runs(text):
-        words = X.split_words(F.lower(text))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 7)), lambda i: F.array_join(F.slice(words, i, 8), " ")))
-
-    asked = queries(spark, sf_dir).select(F.col("query_id").alias("item_id"), runs(F.col("text")).alias("runs"))
-    asked = asked.select("item_id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    held = documents(spark, sf_dir).select("doc_id", F.explode(runs(F.col("text"))).alias("run"))
+    def runs(rows, key):
+        """Each row's runs, its words being split once: places are exploded, then each run is joined from its words."""
+        words = rows.select(key, X.split_words(F.lower("text")).alias("_words"))
+        starts = words.select(key, F.explode(F.transform(F.arrays_zip(*[F.slice("_words", k + 1, F.greatest(F.lit(1), F.size("_words") - 7)).alias(f"w{k}") for k in range(8)]), run)).alias("run"))
+        return starts
+
+    def run(zipped):
+        return F.array_join(F.array(*[zipped[f"w{k}"] for k in range(8)]), " ")
+
+    asked = runs(queries(spark, sf_dir).withColumnRenamed("query_id", "item_id"), "item_id").distinct()
+    sizes = asked.groupBy("item_id").agg(F.count("*").alias("n"))
+    asked = asked.join(small(sizes), "item_id")
+    held = runs(documents(spark, sf_dir), "doc_id").join(small(asked.select("run").distinct()), "run", "left_semi").distinct()
     met = held.join(small(asked), "run").groupBy("item_id", "doc_id").agg(F.count("*").alias("met"), F.max("n").alias("n"))
     return met.select("item_id", "doc_id", F.round(F.col("met") / F.col("n"), 6).alias("part")).where(F.col("part") >= 0.5)
 

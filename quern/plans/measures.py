@@ -8,19 +8,20 @@ from quern.operators import evaluation as E
 from quern.operators import ranking as R
 from quern.plans.retrieval import KEYWORD, _Q, bm25_sql
 from quern.plans.tables import documents, queries, table
+from quern.shared import cut
 from quern.streaming.events import sessions, tumbling
 
 WEIGHTS = {"recall": 0.25, "temporal": 0.2, "entity": 0.2, "conceptual": 0.15, "multi_hop": 0.1, "procedural": 0.1}
 
 
 def _legs(spark, sf_dir):
+    """Two ranked legs, written, as a query and its gold read both."""
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
-    return R.bm25(docs, asked, k=20), R.keyword_overlap(docs, asked)
+    return cut(R.bm25(docs, asked, k=20)), cut(R.keyword_overlap(docs, asked))
 
 
-def _gold(spark, sf_dir):
+def _gold(spark, sf_dir, found):
     """Of what either leg finds, documents labelled of quality are relevant, clean ones twice."""
-    found = _legs(spark, sf_dir)
     ids = found[0].select("query_id", "doc_id").unionByName(found[1].select("query_id", "doc_id")).distinct()
     labels = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     return ids.join(labels, "doc_id").select("query_id", "doc_id", (2 - F.coalesce("toxic", F.lit(0))).alias("rel"))
@@ -37,12 +38,14 @@ means AS (SELECT category, avg(ndcg) AS mean FROM categories GROUP BY category)"
 
 
 def retrieval_metrics(spark, sf_dir):
-    return E.metrics(_legs(spark, sf_dir)[0], _gold(spark, sf_dir))
+    found = _legs(spark, sf_dir)
+    return E.metrics(found[0], _gold(spark, sf_dir, found))
 
 
 def _categories(spark, sf_dir, leg=0):
     names = F.array(*[F.lit(x) for x in WEIGHTS])
-    scores = E.metrics(_legs(spark, sf_dir)[leg], _gold(spark, sf_dir))
+    found = _legs(spark, sf_dir)
+    scores = E.metrics(found[leg], _gold(spark, sf_dir, found))
     return scores.withColumn("category", F.element_at(names, (F.col("query_id") % 6 + 1).cast("int")))
 
 
