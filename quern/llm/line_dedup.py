@@ -17,47 +17,49 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def _hashed(line: Column, min_chars: int) -> Column:
-    """A digest that stands for the key, null for a key too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_chars, F.sha2(key, 256))
-
-
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """Columns of ``docs`` with the remaining lines as ``text``, then ``n_lines`` (before) and ``n_dropped``.
 
-    A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses all its lines
-    except in the largest doc_id holding it. A document is a row: repeated rows count each, and rows that share the
-    largest doc_id all keep the line. A null text is one empty line; a null doc_id ranks below every other.
-    Input columns named n_lines or n_dropped are replaced. An empty table gives an empty table.
+    A key of at least ``min_chars`` code points found in at least ``min_docs`` documents, told apart by doc_id, loses all
+    its lines except in the largest doc_id holding it; repeated rows of that doc_id all keep them. A null text is one
+    empty line; a null doc_id is a document of its own that ranks below every other. Input columns named n_lines or
+    n_dropped are replaced; other columns, whatever their names, are kept. An empty table gives an empty table. A very
+    long text takes time in proportion to its lines.
 
-    Only 32-byte key hashes are shuffled to count, once per document and key. The frequent ones are written and
-    joined back with both sides exchanged for that join, so that adaptive execution can split a hot line.
+    Lines are exploded and hashed once: (document, position, 128 bits of the key) is written, counted by distinct
+    document, and joined with the frequent keys. Both sides of that join are exchanged for it, so that adaptive
+    execution can split a hot line. Each row, known by its doc_id and 128 bits of its text, is reassembled from the
+    positions that stay.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = docs.select(*names, F.split(whole(F.col("text")), "\n", -1).alias("_lines"))
-    keys = lines.select(
-        "doc_id",
-        F.explode(F.array_distinct(F.array_compact(F.transform("_lines", lambda x: _hashed(x, min_chars))))).alias("_hex"),
-    ).select("doc_id", F.unhex("_hex").alias("_key"))
+    text = whole(F.col("text"))
+    mark = lambda column: (F.xxhash64(column), F.xxhash64(F.lit(1), column))
+    row = [x.alias(n) for x, n in zip(mark(text), ("_t1", "_t2"), strict=True)]
+    key = line_key(F.col("_line"))
+    lines = docs.select(F.col("doc_id").alias("_id"), *row, F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
+    keys = cut(
+        lines.where(F.length("_line") >= min_chars).select("_id", "_t1", "_t2", "_pos", key.alias("_key")).where(F.length("_key") >= min_chars)
+        .select("_id", "_t1", "_t2", "_pos", *[x.alias(n) for x, n in zip(mark(F.col("_key")), ("_k1", "_k2"), strict=True)])
+    )
     frequent = cut(
-        keys.groupBy("_key").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keeper"))
-        .where(F.col("_n") >= min_docs).select("_key", "_keeper")
+        keys.select("_k1", "_k2", "_id").distinct().groupBy("_k1", "_k2").agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper"))
+        .where(F.col("_n") >= min_docs).drop("_n")
     )
     lost = (
-        keys.join(frequent, "_key").where(~F.col("doc_id").eqNullSafe(F.col("_keeper")))
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.lower(F.hex("_key"))).alias("_lost"))
+        keys.join(frequent, ["_k1", "_k2"]).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
+        .groupBy("_id", "_t1", "_t2").agg(F.collect_set("_pos").alias("_lost"))
     )
-    drops = lambda x: F.coalesce(F.array_contains("_lost", _hashed(x, min_chars)), F.lit(False))
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~drops(x)))
-    return (
-        lines.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        .withColumn("_kept", kept)
-        .select(
-            *[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in names],
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        )
+    same = F.col("_d.doc_id").eqNullSafe(F.col("_x._id")) & (F.col("_d._r1") == F.col("_x._t1")) & (F.col("_d._r2") == F.col("_x._t2"))
+    marked = docs.select(*names, *[x.alias(n) for x, n in zip(mark(text), ("_r1", "_r2"), strict=True)]).alias("_d")
+    all_lines = F.split(whole(F.col("_d.text")), "\n", -1)
+    joined = marked.join(lost.alias("_x"), same, "left").withColumn("_lines", all_lines)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
+    joined = joined.withColumn("_stay", F.when(F.col("_lost").isNotNull(), stay))
+    left = F.array_join(F.transform("_stay", lambda k: F.get("_lines", k)), "\n")
+    return joined.select(
+        *[F.when(F.col("_stay").isNull(), whole(F.col("_d.text"))).otherwise(left).alias(c) if c == "text" else F.col(f"_d.`{c}`") for c in names],
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("_lines") - F.size("_stay"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -1,50 +1,18 @@
-"""Session helpers the operators share: the shared folder, lineage cuts, size-checked broadcast."""
+"""What the training-data operators share: white space, and the library's lineage cuts and checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.shared import cut, new_path, shared_dir, small
+
+__all__ = ["SPACE", "WORD_RE", "cut", "new_path", "shared_dir", "small", "whole"]
+
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    Only a session that names none (a local test) gets a temporary one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not found:
-        found = context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quern-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder: later stages survive a lost executor and reread, never recompute."""
-    spark = df.sparkSession
-    path = new_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` (narrow rows, already materialised) has at most ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
