@@ -102,6 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> tuple[fl
 
     one = texts.repartition(1).sortWithinPartitions("_place", "doc_id", "text")
     got = one.mapInArrow(learn, "bias double, f array<long>, w array<double>").first()
+    if got is None:  # no labelled rows, no task
+        return 0.0, np.zeros(0, np.int64), np.zeros(0)
     return got["bias"], np.array(got["f"], np.int64), np.array(got["w"], float)
 
 
