@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.shared import SPACE, whole
+from quern.llm.shared import SPACE, cut, small, whole
 
 #: Words of a shingle; one hash in SCALE is below the threshold; a shorter document keeps its FLOOR smallest.
 SHINGLE, SCALE, FLOOR = 5, 16, 64
@@ -70,23 +70,15 @@ def spelled(sketch: Column) -> Column:
     return F.array_join(sketch.cast("array<string>"), ",")
 
 
-def next_below(ids: DataFrame, id_col: str = "doc_id", blocks: int = 512) -> DataFrame:
+def next_below(ids: DataFrame, id_col: str = "doc_id", block_rows: int = 1_000_000) -> DataFrame:
     """(id, next): the largest smaller id of distinct non-null ``ids``; after the smallest, the largest.
 
-    Ids are dealt into at most ``blocks`` ranges at approximate percentiles. In a range the next id is the window's;
-    a range's smallest id gets the largest of the range below, from a table of one row a range.
+    Ids are ranged into blocks of about ``block_rows`` and written once, so that each id's block stays what it is. In a
+    block the next id is the window's; a block's smallest id gets the largest of the block below, from a table of one row
+    a block.
     """
-    found = ids.agg(F.count("*").alias("n"), F.percentile_approx(id_col, [i / blocks for i in range(1, blocks)], 10_000).alias("cuts")).first()
-    step = max(1, blocks * 2000 // max(1, found["n"]))
-    cuts = sorted(set((found["cuts"] or [])[step - 1 :: step]))
-
-    def block(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col(id_col) <= cuts[mid], block(low, mid)).otherwise(block(mid + 1, high))
-
-    dealt = ids.withColumn("_block", block(0, len(cuts)))
+    blocks = max(1, -(-ids.count() // block_rows))
+    dealt = cut(ids.repartitionByRange(blocks, id_col).withColumn("_block", F.spark_partition_id()))
     tops = dealt.groupBy("_block").agg(F.max(id_col).alias("_top"))
     order = Window.orderBy(F.col("_block").desc())
     below = tops.select(
@@ -95,7 +87,7 @@ def next_below(ids: DataFrame, id_col: str = "doc_id", blocks: int = 512) -> Dat
     )
     inside = F.lead(id_col).over(Window.partitionBy("_block").orderBy(F.col(id_col).desc()))
     return (
-        dealt.withColumn("_next", inside).join(F.broadcast(below), F.col("_block") == F.col("_b"))
+        dealt.withColumn("_next", inside).join(small(below), F.col("_block") == F.col("_b"))
         .select(id_col, F.coalesce("_next", "_below").alias("next"))
     )
 
@@ -109,7 +101,7 @@ def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
     """
     every = with_sketch(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whole(F.col("text")).alias("text")))
     docs = every.where(F.col("doc_id").isNotNull())  # the same rows for both joins: one exchange serves them
-    sizes = (
+    sizes = cut(
         spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(F.floor(F.length(whole(F.col("text"))) / 3)).cast("int").alias("_need"))
     )
