@@ -6,20 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import cut, whole
 from quern.llm.words import hashes, mixed, slices, spans, windows
+from quern.operators.components import components
 
 #: Words of a shingle, and the least Jaccard likeness of a link.
 SHINGLE, LEAST = 5, 0.8
 #: Tries of the forest and the length of their full paths.
 TREES, DEPTH = 20, 8
-#: Prefixes are shortened until the estimated recall of all links, and that of links just alike enough, reach these.
-RECALL, RECALL_AT_LEAST = 0.9999, 0.99
-#: Signatures alike in less than this cannot stand for a link (0.8 less five standard deviations of 160 values).
+#: Matched prefixes are shortened until a lone pair of the least likeness is found with this chance.
+RECALL = 0.9999
+#: Signatures alike in less than this don't link: 0.8 less five standard deviations of 160 values, which one link of
+#: likeness 0.8 in three million falls below.
 ALIKE = 0.64
+#: Entries of tries, and bytes of texts, that meet in one task (about).
+TASK_ENTRIES, TASK_BYTES = 100_000, 16 << 20
 #: Documents of one bucket of a trie, and of one family, that meet in one task; more meet in pairs of blocks.
 BUCKET, BLOCK = 4096, 1024
 #: Stands for a null doc_id.
@@ -59,13 +63,15 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (mixed(out) >> np.uint64(56)).astype(np.uint8).T
 
 
-def prefixes(signature: np.ndarray, length: int) -> np.ndarray:
-    """(rows, TREES) keys of the first ``length`` steps of each trie's path."""
-    steps = signature.reshape(len(signature), TREES, DEPTH)[:, :, :length].astype(np.uint64)
-    key = np.broadcast_to(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), steps.shape[:2])
-    for d in range(length):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + steps[:, :, d])
-    return key
+def paths(signature: np.ndarray) -> np.ndarray:
+    """(rows, TREES): each row's path in each trie, a step a byte, the first step highest, so that numbers sort as tries do."""
+    steps = np.ascontiguousarray(signature).reshape(len(signature), TREES, DEPTH)
+    return steps.view(">u8")[:, :, 0].astype(np.uint64)
+
+
+def prefixes(path: np.ndarray, length: int) -> np.ndarray:
+    """The first ``length`` steps of paths."""
+    return path >> np.uint64(8 * (DEPTH - length))
 
 
 def recall_at(length: int, likeness: np.ndarray | float) -> np.ndarray | float:
@@ -73,18 +79,9 @@ def recall_at(length: int, likeness: np.ndarray | float) -> np.ndarray | float:
     return 1 - (1 - likeness**length) ** TREES
 
 
-def prefix_length(found: dict[float, int], target: float = RECALL, least: float = LEAST) -> int:
-    """The longest prefix that reaches the target, from how many links the longest found by likeness.
-
-    Each stands for one over its chance to be found; so the links there are, and those another length finds.
-    """
-    like = np.array([s for s in found if s >= least])
-    there = np.array([found[s] for s in like.tolist()]) / recall_at(DEPTH, like) if len(like) else np.zeros(0)
-    for length in range(DEPTH, 1, -1):
-        reached = (there * recall_at(length, like)).sum() / there.sum() if there.sum() >= 100 else recall_at(length, least)
-        if reached >= target and recall_at(length, least) >= RECALL_AT_LEAST:
-            return length
-    return 1
+def prefix_length(target: float = RECALL, least: float = LEAST) -> int:
+    """The longest prefix whose recall at the least likeness reaches the target."""
+    return next((length for length in range(DEPTH, 1, -1) if recall_at(length, least) >= target), 1)
 
 
 def _families(groups: np.ndarray, ids: np.ndarray, signature: np.ndarray) -> tuple[list, list, list]:
@@ -131,61 +128,85 @@ def in_blocks(rows: DataFrame, key: str, most: int, by: str) -> DataFrame:
     return dealt.withColumn("one", F.least("own", "_mate")).withColumn("other", F.greatest("own", "_mate")).drop("_size", "_blocks", "_mate")
 
 
-def _task(df: DataFrame, *keys: str):
-    tasks = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def _task(tasks: int, *keys: str):
     return F.pmod(F.xxhash64(*keys), F.lit(tasks)).cast("int")
 
 
+def trie_links(run: np.ndarray, path: np.ndarray, ids: np.ndarray, signature: np.ndarray, length: int) -> tuple[list, list, list]:
+    """(a, b, likeness) of links that span what is alike in each subtrie below a prefix of ``length`` steps.
+
+    Rows come sorted by ``run`` (a subtrie) and path. Matches of whole paths go first; then each entry's prefix is shortened
+    step by step while its part of the trie still holds entries that nothing links yet.
+    """
+    label = np.arange(len(ids))  # the first row that a row is linked with, within its run
+    place: dict[int, int] = {}
+    found: tuple[list, list, list] = ([], [], [])
+
+    def root(p: int) -> int:
+        while place.get(p, p) != p:
+            place[p] = p = place.get(place[p], place[p])
+        return p
+
+    for depth in range(DEPTH, length - 1, -1):
+        prefix = prefixes(path, depth)
+        new = np.concatenate([[True], (run[1:] != run[:-1]) | (prefix[1:] != prefix[:-1])]) if len(ids) else np.zeros(0, bool)
+        part = np.cumsum(new) - 1
+        low, high = (np.full(part[-1] + 1 if len(part) else 0, x) for x in (len(ids), -1))
+        np.minimum.at(low, part, label)
+        np.maximum.at(high, part, label)
+        open_ = np.flatnonzero((low < high)[part])
+        if not len(open_):
+            continue
+        rows = np.arange(len(ids))[open_]
+        a, b, like = _families(part[open_], rows, signature[open_])
+        for p, q, share in zip(*(np.concatenate(x).tolist() for x in (a, b, like)), strict=True):
+            one, other = root(p), root(q)
+            if one != other:
+                place[max(one, other)] = min(one, other)
+                found[0].append(ids[p])
+                found[1].append(ids[q])
+                found[2].append(share)
+        for p in place:
+            label[p] = root(p)
+    return found
+
+
 def candidates(forest: DataFrame, length: int) -> DataFrame:
-    """(a, b, likeness): links between documents that share a prefix of this length, spanning each bucket's families.
+    """(a, b, likeness): links between documents that share a prefix of this length, spanning each subtrie's families.
 
-    Most buckets hold one document and go before signatures are joined. Buckets meet in tasks by their hash.
+    Subtries below a prefix meet in tasks by their hash, sorted; most hold one document and go before signatures are
+    joined. There are as many tasks as entries ask for.
     """
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            keys = prefixes(signature, length).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), TREES)), pa.array(keys.reshape(-1))], ["id", "key"])
+            path = paths(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            trie = np.broadcast_to(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), path.shape)
+            key = mixed(trie + prefixes(path, length) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(batch.column("id").to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), pa.array(key.reshape(-1))],
+                ["id", "trie", "key"],
+            )
 
     def link(group: pa.Table) -> pa.Table:
-        key, one, other, ids = (group[c].to_numpy() for c in ("key", "one", "other", "id"))
+        key, one, other, ids, trie = (group[c].to_numpy() for c in ("key", "one", "other", "id", "trie"))
         signature = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        order = np.lexsort((ids, other, one, key))
+        path = paths(signature)[np.arange(len(ids)), trie]
+        order = np.lexsort((ids, path, other, one, key))
         run = np.concatenate([[False], np.any([np.diff(x[order]) != 0 for x in (key, one, other)], axis=0)])
-        return pa.table([pa.array(np.concatenate(x)) for x in _families(np.cumsum(run), ids[order], signature[order])], ["a", "b", "likeness"])
+        parts = trie_links(np.cumsum(run), path[order], ids[order], signature[order], length)
+        kinds = (np.int64, np.int64, np.float64)
+        return pa.table([np.array(part, kind) for part, kind in zip(parts, kinds, strict=True)], ["a", "b", "likeness"])
 
-    met = in_blocks(forest.select("id", "signature").mapInArrow(leaves, "id long, key long"), "key", BUCKET, "id").join(forest, "id")
+    met = cut(in_blocks(forest.select("id", "signature").mapInArrow(leaves, "id long, trie int, key long"), "key", BUCKET, "id").drop("own"))
+    tasks = max(64, met.count() // TASK_ENTRIES)
     found = (
-        met.select(_task(forest, "key", "one", "other").alias("_task"), "key", "one", "other", "id", "signature")
+        met.join(forest, "id").select(_task(tasks, "key", "one", "other").alias("_task"), "key", "one", "other", "id", "trie", "signature")
         .groupBy("_task").applyInArrow(link, "a long, b long, likeness double")
     )
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for each id of the edges (a, b): the smallest id that it is linked with over any number of steps.
-
-    In turn, every id links its larger neighbours to its smallest one, then its smaller neighbours, until nothing
-    changes. Each round is written to the shared folder; the driver sees a count and a checksum.
-    """
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("_low")).select("a", F.least("a", "_low").alias("_low"))
-        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("_low").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("_low"))
-        linked = large.join(down, "a").select(F.when(F.col("b") == F.col("_low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_low").alias("b"))
-        edges = cut(linked.where(F.col("a") != F.col("b")).distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(roots)
-
-
 def shared_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
     """(first, all) numbers of shared members between the first sets and all of them, by products of 0/1 blocks."""
     values, member = np.unique(np.concatenate(sets), return_inverse=True)
@@ -195,11 +216,12 @@ def shared_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
     row, member = row[keep], column[member[keep]]
     order = np.argsort(member, kind="stable")
     row, member = row[order], member[order]
-    out = np.zeros((first, len(sets)), np.float32)
+    exact = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64  # whole numbers that the type holds
+    out = np.zeros((first, len(sets)), exact)
     step = 2048
     for start in range(0, int(common.sum()), step):
         i, j = np.searchsorted(member, [start, start + step])
-        ones = np.zeros((len(sets), min(step, int(common.sum()) - start)), np.float32)
+        ones = np.zeros((len(sets), min(step, int(common.sum()) - start)), exact)
         ones[row[i:j], member[i:j] - start] = 1
         out += ones[:first] @ ones.T
     return out.astype(np.int64)
@@ -243,7 +265,7 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
     smallest doc_id of the same text, ``class_id`` the smallest doc_id linked over any number of steps, ``n_links``
     how many other rows the row is linked with (each copy counts). A text of fewer words is one shingle of them all; a
     null, empty or white text has no shingle, is linked with nothing and is its own class. Rows of one doc_id (null is
-    one too, below every other) share a class. Other columns play no part; an empty table gives an empty table.
+    one too, below every other; the smallest long counts as null) share a class. Other columns play no part; an empty table gives an empty table.
 
     Equal texts become one first. The forest then matches the longest prefixes that find a lone pair just alike enough
     with a chance of ``target``, whatever other links there are. Links between signatures join documents to families;
@@ -260,16 +282,18 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
                 some = np.flatnonzero(np.diff(bounds) > 0)
                 signed = [x.tobytes() for x in signatures(h, bounds)[some]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(i + some)), batch.column("digest").take(pa.array(i + some)), pa.array(signed, pa.binary())],
-                    ["id", "digest", "signature"],
+                    [batch.column("id").take(pa.array(i + some)), batch.column("digest").take(pa.array(i + some)), pa.array(signed, pa.binary()), pa.array(np.diff(at)[some])],
+                    ["id", "digest", "signature", "bytes"],
                 )
 
-    signed = rows.select("id", "digest", "text").mapInArrow(sign, "id long, digest binary, signature binary")
-    texts = cut(signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("signature").alias("signature")))
+    signed = rows.select("id", "digest", "text").mapInArrow(sign, "id long, digest binary, signature binary, bytes long")
+    texts = cut(
+        signed.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("signature").alias("signature"), F.max("bytes").alias("bytes"))
+    )
     forest = texts.select("id", "signature")
-    # no found links are given: many close ones must not lengthen prefixes for the rest
-    families = components(cut(candidates(forest, prefix_length({}, target, least)))).withColumnRenamed("root", "family")
-    members = cut(in_blocks(texts.select("id", "digest", "copies").join(families, "id"), "family", BLOCK, "digest"))
+    families = components(cut(candidates(forest, prefix_length(target, least)))).withColumnRenamed("root", "family")
+    members = cut(in_blocks(texts.select("id", "digest", "copies", "bytes").join(families, "id"), "family", BLOCK, "digest"))
+    tasks = max(64, (members.agg(F.sum("bytes").alias("n")).first()["n"] or 0) // TASK_BYTES)
     shape = "digest binary, id long, root long, links long"
 
     def meet(group: pa.Table) -> pa.Table:
@@ -296,7 +320,7 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
         return pa.table([pa.array(x, kind) for x, kind in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["digest", "id", "root", "links"])
 
     # one plan at every size: members grow with the input, so they are never broadcast
-    met = members.hint("merge").join(rows.select("id", "digest", "text"), ["id", "digest"]).withColumn("_task", _task(docs, "family", "one", "other"))
+    met = members.hint("merge").join(rows.select("id", "digest", "text"), ["id", "digest"]).withColumn("_task", _task(tasks, "family", "one", "other"))
     verified = cut(met.groupBy("_task").applyInArrow(meet, shape))
     classes = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counted = verified.groupBy("digest").agg(F.sum("links").alias("links"))
@@ -310,12 +334,16 @@ def jaccard_classes(docs: DataFrame, least: float = LEAST, n: int = SHINGLE, tar
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the smallest doc_id, and of equal rows one.
+    """The rows of ``docs`` without near copies: of each class the smallest doc_id, and of its rows of one text one.
 
-    Columns stay as they are. Rows of a null doc_id count as one document, below every other.
+    That one is the first by its other columns, written as text. Columns stay as they are. Rows of a null doc_id count as
+    one document, below every other.
     """
     kept = jaccard_classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates(["doc_id", "text"])
+    others = [F.col(c).cast("string").asc_nulls_first() for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id", F.md5("text")).orderBy(*others or [F.lit(0)])
+    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).withColumn("_kept", F.row_number().over(first))
+    return one.where(F.col("_kept") == 1).drop("_kept")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 
 from quern.llm import jaccard_join
-from quern.llm.jaccard_join import LEAST, components, jaccard_classes, one_of_each, op8_jaccard_join, prefix_length, prefixes, recall_at, shingles, signatures
+from quern.llm.jaccard_join import (
+    DEPTH, LEAST, TREES, components, jaccard_classes, one_of_each, op8_jaccard_join, paths, prefix_length, prefixes, recall_at, shingles, signatures, trie_links,
+)
 from quern.llm.queries import ORACLE_SQL
 from quern.llm.words import slices
 from tests.oracle import same_rows
@@ -80,9 +82,58 @@ def test_components(spark):
 
 
 def test_prefixes_shorten_to_the_target():
-    assert recall_at(prefix_length({}), LEAST) >= 0.9999
-    sure, near = prefix_length({0.99: 10_000}), prefix_length({0.81: 10_000})
-    assert sure > near and recall_at(near, np.array([0.81]))[0] >= 0.9999
+    assert recall_at(prefix_length(), LEAST) >= 0.9999 > recall_at(prefix_length() + 1, LEAST)
+    assert prefix_length(0.5) > prefix_length(0.99) > prefix_length(1.0) == 1
+
+
+def test_paths_sort_as_tries():
+    rng = np.random.default_rng(1)
+    signature = rng.integers(0, 3, (200, TREES * DEPTH)).astype(np.uint8)
+    path, steps = paths(signature), signature.reshape(200, TREES, DEPTH)
+    for tree in (0, TREES - 1):
+        assert [tuple(steps[k, tree]) for k in np.argsort(path[:, tree], kind="stable")] == sorted(tuple(x) for x in steps[:, tree])
+        for length in (1, 4, 8):
+            same = prefixes(path[:, tree][:, None], length) == prefixes(path[:, tree][None, :], length)
+            assert (same == (steps[:, tree, None, :length] == steps[None, :, tree, :length]).all(axis=2)).all()
+
+
+def test_shortened_prefixes_link_what_one_short_prefix_links():
+    """Families over all depths are those of the shortest prefix alone."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (6, TREES * DEPTH)).astype(np.uint8)
+    signature = np.repeat(base, 12, axis=0)
+    signature[:, :4] = 7
+    change = rng.random(signature.shape) < 0.12
+    change[:, :4] = False
+    signature = np.where(change, rng.integers(0, 256, signature.shape), signature).astype(np.uint8)
+    path, ids = paths(signature)[:, 0], np.arange(len(signature)) * 10
+    order = np.argsort(path, kind="stable")
+    a, b, _ = (np.array(x) for x in trie_links(np.zeros(len(ids), np.int64), path[order], ids[order], signature[order], 4))
+    root = dict.fromkeys(ids.tolist())
+    joined = {x: {x} for x in root}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        both = joined[x] | joined[y]
+        joined.update(dict.fromkeys(both, both))
+    alike = {x: {x} for x in root}
+    for i, j in combinations(range(len(ids)), 2):
+        if (signature[i] == signature[j]).mean() >= jaccard_join.ALIKE:
+            both = alike[ids[i]] | alike[ids[j]]
+            alike.update(dict.fromkeys(both, both))
+    assert {x: frozenset(joined[x]) for x in root} == {x: frozenset(alike[x]) for x in root}
+    assert len(a) == len(ids) - len({frozenset(x) for x in joined.values()})
+
+
+def test_recall_on_exact_links_of_whole_texts(spark, sf_dir):
+    """All links of a fixed fifth of the documents, by all pairs, are found."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if hash((r.doc_id * 2654435761) % 5) == 0]
+    got = jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got if grams(dict(docs)[r.doc_id])) == [x for x in brute(docs) if grams(dict(docs)[x[0]])]
+
+
+def test_one_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c d e f", "z"), (1, "a b c d e f", "m"), (2, "a b c d e f", "a"), (3, None, None), (3, None, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text, str(r.source)) for r in one_of_each(frame).collect()) == [(1, "a b c d e f", "m"), (3, None, "None")]
 
 
 def test_lone_pairs_beside_many_close_links(spark):
@@ -93,7 +144,7 @@ def test_lone_pairs_beside_many_close_links(spark):
         return [[" ".join(w), " ".join([*w[:at], "other", *w[at + 1 :]])] for w in words]
 
     lone = pairs("lone", 3000, 36)
-    keys = [prefixes(signatures(*shingles(data, at)), 7) for _, _, data, at in slices(pa.array(sum(lone, [])))]
+    keys = [prefixes(paths(signatures(*shingles(data, at))), 7) for _, _, data, at in slices(pa.array(sum(lone, [])))]
     shared = np.concatenate(keys).reshape(len(lone), 2, -1)
     hard = [p for p, k in zip(lone, shared, strict=True) if not (k[0] == k[1]).any()]
     assert len(hard) > 10
