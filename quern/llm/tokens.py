@@ -7,7 +7,6 @@ are encoded whole.
 
 from __future__ import annotations
 
-import hashlib
 import os
 from functools import cache
 from itertools import pairwise
@@ -16,12 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.llm.words import mixed, slices
+from quern.llm.words import slices, unit_keys
 
 #: Units that a Python worker keeps between batches; those that came first, the common ones, outlast the others.
 CACHED_UNITS = 1_000_000
-#: Bytes up to which keys are made by blocks of eight; longer units are digested one by one.
-LONG = 256
 _SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
 #: The class of each byte: white space, ASCII letters, digits and signs, and what only the library may cut.
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -30,7 +27,6 @@ _CLASS[[b for b in range(33, 127) if b != ord("'")]] = _SIGN
 _CLASS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
 _CLASS[[b for b in range(128) if chr(b).isdigit()]] = _DIGIT
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_ODD, _FLIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Stands between ASCII units that are encoded together.
 _MARK = "\u0100"
 #: White space beyond ASCII.
@@ -56,29 +52,6 @@ def _special(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in _tokenizer(path).get_added_tokens_decoder().values())
 
 
-def unit_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each unit's bytes, from blocks of eight; together they stand for it."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    at_every_byte = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
-    n = (ends - starts).astype(np.uint64)
-    a, b = mixed(n * _ODD + _FLIP), n * _FLIP
-    own, at, left = np.arange(len(starts)), starts, (ends - starts).astype(np.int64)
-    short = left <= LONG
-    own, at, left = own[short], at[short], left[short]
-    while len(own):
-        block = at_every_byte[at]
-        tail = left < 8
-        block[tail] &= (np.uint64(1) << (left[tail].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-        a[own] = mixed(a[own] * _ODD + block)
-        b[own] = (b[own] ^ block) * _FLIP
-        b[own] ^= b[own] >> np.uint64(29)
-        more = left > 8
-        own, at, left = own[more], at[more] + 8, left[more] - 8
-    for k in np.flatnonzero(~short).tolist():
-        a[k], b[k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=16).digest(), "<u8")
-    return a, b
-
-
 class _Kept:
     """What a Python worker keeps of one vocabulary: the ids of units, one after the other."""
 

@@ -17,7 +17,8 @@ from quern.llm.packing import CAPACITY, best_fit, op5_packing, pack, pieces, pla
 from quern.llm.shared import new_path
 from quern.llm.token_index import Shard, build_index, key_hash, op9_token_index, read_index, write_index
 from quern.llm import tokens
-from quern.llm.tokens import ByteEncoder, WordEncoder, public, unit_keys
+from quern.llm.tokens import ByteEncoder, WordEncoder, public
+from quern.llm.words import unit_keys
 
 
 def crc(ids):
