@@ -76,15 +76,66 @@ def in_window(chunks: DataFrame, documents: DataFrame, start: str | None, end: s
     return chunks.where(fits).join(documents.select("hash", "path"), "hash").select("path").distinct()
 
 
-#: What marks files that carry no content of their own (fixed values).
-BOILERPLATE_NAMES = "license license.md license.txt contributing.md code_of_conduct.md changelog.md security.md codeowners authors".split()
-BOILERPLATE_PARTS = "/.github/ /node_modules/ /vendor/ /__pycache__/ /.git/ /dist/ /build/".split()
+#: Names and parts of paths of files that carry no content of their own, and parts of translations (fixed values).
+BOILERPLATE_NAMES = (
+    "contributing.md code_of_conduct.md security.md changelog.md changes.md codeowners license license.md license.txt licence licence.md copying"
+    " pull_request_template.md issue_template.md bug_report.md feature_request.md .gitignore .gitattributes .editorconfig .prettierrc .eslintrc.md"
+    " dependabot.yml renovate.json"
+).split()
+BOILERPLATE_PARTS = (
+    ".github/ .github\\ node_modules/ __pycache__/ .venv/ vendor/ dist/ build/ _build/ .next/ .docusaurus/ .cache/ site-packages/".split()
+)
+TRANSLATION_PARTS = "translations/ i18n/ /cn/ /zh/ /ja/ /ko/ /fr/ /de/ /es/ /pt/ /ru/ /ar/ /hi/ /it/ /tr/ /pl/ /vi/ /th/ /id/".split()
+
+
+def _holds(path: Column, parts: Sequence[str]) -> Column:
+    return F.exists(F.array(*[F.lit(x) for x in parts]), lambda x: F.contains(path, x))
 
 
 def boilerplate(path: Column) -> Column:
-    """A file name or a folder that holds no content of its own."""
-    return F.lower(F.substring_index(path, "/", -1)).isin(BOILERPLATE_NAMES) | F.exists(
-        F.array(*[F.lit(x) for x in BOILERPLATE_PARTS]), lambda x: F.contains(F.lower(path), x))
+    """A file name, in any case, or a folder that holds no content of its own."""
+    return F.lower(F.substring_index(path, "/", -1)).isin(BOILERPLATE_NAMES) | _holds(path, BOILERPLATE_PARTS)
+
+
+def translation(path: Column) -> Column:
+    return _holds(F.lower(path), TRANSLATION_PARTS)
+
+
+def included(files: DataFrame, sources: DataFrame, most_tier: int = 3) -> DataFrame:
+    """Files (source, path, ...) to keep: no boilerplate, no translation, none that its source excludes, of a tier that may be used.
+
+    ``sources`` is (source, tier, excludes): one narrow row a source.
+    """
+    rules = sources.select("source", "tier", F.coalesce("excludes", F.array().cast("array<string>")).alias("_excludes"))
+    joined = files.join(rules, "source").where(F.col("tier") <= most_tier)
+    path = F.col("path")
+    return joined.where(~boilerplate(path) & ~translation(path) & ~F.exists("_excludes", lambda x: F.contains(path, x))).drop("_excludes", "tier")
+
+
+def within_paths(rows: DataFrame, paths: DataFrame | None) -> DataFrame:
+    """Rows of these paths; None or no paths at all filter nothing."""
+    if paths is None or paths.isEmpty():
+        return rows
+    return rows.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def owners(documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """``documents`` with the ``owner`` whose write path begins theirs, null for none.
+
+    Write paths (owner, write_path) don't begin one another. They end with a whole part of a path, so each path meets
+    them by its own leading parts, in an equality join.
+    """
+    parts = F.split("path", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rules = registry.select(F.rtrim(F.col("write_path"), F.lit("/")).alias("_head"), F.col("owner").alias("_owner"))
+    met = documents.select("path", F.explode(heads).alias("_head")).join(rules, "_head").groupBy("path").agg(F.min("_owner").alias("owner"))
+    return documents.join(met, "path", "left")
+
+
+def stale(sources: DataFrame, stored: DataFrame, key: str = "path") -> DataFrame:
+    """``sources`` (key, mtime) with ``stale``: never stored, or changed since."""
+    seen = stored.select(key, F.col("mtime").alias("_stored"))
+    return sources.join(seen, key, "left").withColumn("stale", F.coalesce(F.col("mtime") > F.col("_stored"), F.lit(True))).drop("_stored")
 
 
 def size_class(text: Column, least: int = 500, most: int = 50_000) -> Column:
@@ -97,9 +148,10 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     return documents.groupBy("hash").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).where(F.col("n") > 1)
 
 
-def canonical(documents: DataFrame) -> DataFrame:
-    """One document of each content: the smallest path."""
-    return documents.groupBy("hash").agg(F.min_by("doc_id", "path").alias("doc_id"), F.min("path").alias("path"), F.count("*").alias("n"))
+def canonical(documents: DataFrame, by: str = "hash") -> DataFrame:
+    """(by, doc_id, path, n): of each group of duplicates the document with the longest body, then the smallest path."""
+    longest = F.struct(-F.length("text"), F.col("path"))
+    return documents.groupBy(by).agg(F.min_by("doc_id", longest).alias("doc_id"), F.min_by("path", longest).alias("path"), F.count("*").alias("n"))
 
 
 def near_duplicates(documents: DataFrame, block: str, least: float = 0.9, id_col: str = "doc_id") -> DataFrame:
@@ -129,8 +181,8 @@ def near_duplicates(documents: DataFrame, block: str, least: float = 0.9, id_col
     return scored.where(F.col("likeness") >= least)
 
 
-#: Fields whose dates count, most telling first (fixed values).
-DATE_FIELDS = "date created updated published modified date_added".split()
+#: Fields whose dates count (fixed values).
+DATE_FIELDS = "date created updated created_at date_added".split()
 
 
 def document_date(text: Column, path: Column, modified: Column, as_of: Column, head: int = 2000) -> Column:
@@ -142,14 +194,15 @@ def document_date(text: Column, path: Column, modified: Column, as_of: Column, h
     start = F.left(text, F.lit(head))
     names = "|".join(DATE_FIELDS)
     fits = lambda d: d.isNotNull() & (d >= F.lit("2000-01-01").cast("date")) & (d <= F.date_add(as_of, 1))
-    full = F.regexp_extract_all(start, F.lit(rf"(?mi)^(?:{names})\s*:\s*[\"']?(\d{{4}}-\d{{2}}-\d{{2}})"), F.lit(1))
-    month = F.regexp_extract(start, rf"(?mi)^(?:{names})\s*:\s*[\"']?(\d{{4}}-\d{{2}})\b", 1)
-    named = F.try_element_at(F.filter(F.transform(full, lambda x: F.try_to_date(x, "yyyy-MM-dd")), fits), F.lit(1))
-    in_path = F.try_to_date(F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    field = rf"(?mi)^[ \t]*(?:{names})[ \t]*:[ \t]*"
+    full = F.regexp_extract_all(start, F.lit(field + r"[\"']?(\d{4}-\d{2}-\d{2})(?:[T ][\d:]+)?[\"']?[ \t]*$"), F.lit(1))
+    month = F.regexp_extract(start, field + r"[\"']*([0-9]{4}-[0-9]{2})(?!-[0-9]{2})[\"'\s]*$", 1)
+    first = lambda found: F.try_element_at(F.filter(F.transform(found, lambda x: F.try_to_date(x, "yyyy-MM-dd")), fits), F.lit(1))
+    named, in_path = first(full), first(F.regexp_extract_all(path, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)))
     of_month = F.try_to_date(F.concat(month, F.lit("-01")), "yyyy-MM-dd")
     only = lambda d: F.when(fits(d), d)
     time = F.to_date(modified)
-    return F.coalesce(named, F.when(F.size(full) == 0, only(of_month)), only(in_path), F.when(time >= F.lit("2000-01-01").cast("date"), time))
+    return F.coalesce(named, F.when(F.size(full) == 0, only(of_month)), in_path, F.when(time >= F.lit("2000-01-01").cast("date"), time))
 
 
 def date_class(value: Column) -> Column:
@@ -200,13 +253,25 @@ def intent(text: Column) -> Column:
     return found.otherwise("semantic")
 
 
-#: Classes of notes and their patterns, in the order in which they are tried.
+#: Classes of notes and their patterns, in the order in which they are tried (fixed values).
 NOTE_RULES = [
     ("episodic", r"(?m)^\s*##\s+\d{2}:\d{2}"),
-    ("procedural", r"(?i)\b(?:always|never|must|step \d|how to|workflow|procedure)\b"),
-    ("decision", r"(?i)\b(?:decided|decision|agreed|chose|we will)\b"),
-    ("semantic", r"(?i)\b(?:is an?|are the|means|refers to|defined as)\b"),
+    ("procedural-pattern", r"(?im)^\s*pattern\s*:|^\s*workflow\s*:"),
+    ("procedural-rule", r"(?i)\bnever\s+|\balways\s+|\brule\s*:|\bconstraint\s*:|\bnever\s+do\b"),
+    ("procedural-pattern", r"(?im)\bhow\s+to\b|^##\s+steps\b|\bstep\s+1\b"),
+    ("semantic-decision", r"(?i)\bdecided\s*:|\bdecision\s*:|\bADR-\d+|\bwe\s+chose\b|\bwe\s+decided\b|\brationale\s*:"),
+    ("semantic-fact", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|(?i:\bendpoint\s*:|\bversion\s*:|\bvCPU\b|\bport\s+\d{2,5}\b)|:\d{4,5}\b"),
 ]
+#: The file of each class that has one (fixed values).
+NOTE_FILES = {"procedural-rule": "rules.md", "procedural-pattern": "patterns.md", "semantic-decision": "decisions.md", "semantic-fact": "facts.md"}
+
+
+def note_target(agent: Column, kind: Column, day: Column) -> Column:
+    """Where a note of this class goes: a day's log of the agent, else a file of its knowledge; null for other classes."""
+    log_agent = F.when(agent == "shared", "builder").otherwise(agent)
+    files = F.create_map(*[F.lit(x) for pair in NOTE_FILES.items() for x in pair])
+    return F.when(kind == "episodic", F.concat_ws("/", log_agent, F.lit("memory"), F.concat(day.cast("string"), F.lit(".md")))).otherwise(
+        F.concat(F.lit("knowledge/"), agent, F.lit("/"), files[kind]))
 
 
 def note_class(text: Column) -> Column:

@@ -111,3 +111,113 @@ def against_last(runs: DataFrame, by: str, order: str, value: str, most_drop: fl
     w = Window.partitionBy(by).orderBy(order)
     before = F.lag(value).over(w)
     return runs.withColumn("before", before).withColumn("passed", before.isNull() | (F.col(value) >= before * (1 - most_drop)))
+
+
+def regression(baseline: DataFrame, current: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """One row: both weighted totals of (category, mean), their difference, and whether the run passes.
+
+    It fails if the total drops by more than MOST_DROP or a category lies under LEAST_CATEGORY (unless both runs have 0
+    there); categories that drop by more than WARN_DROP are named.
+    """
+    cases = compare(baseline, current)
+    total = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))])[F.col("category")]
+    names = lambda v: F.array_join(F.sort_array(F.collect_list(F.when(F.col("verdict") == v, F.col("category")))), ",")
+    summed = lambda c: F.round(F.sum(F.col(c) * F.coalesce(total, F.lit(0.0))) / float(sum(weights.values())), 4)
+    row = cases.agg(summed("before").alias("baseline_score"), summed("after").alias("current_score"), names("warn").alias("category_warns"), names("fail").alias("category_fails"))
+    delta = F.col("current_score") - F.col("baseline_score")
+    return row.select(
+        "baseline_score", "current_score", F.round(delta, 4).alias("overall_delta"), (delta < -MOST_DROP).alias("regression"), "category_warns", "category_fails",
+        (~(delta < -MOST_DROP) & (F.col("category_fails") == "")).alias("passed"),
+    )
+
+
+#: What to do about a weak category, and the hint about the corpus that it needs.
+ADVICE = [
+    ("temporal", "enable the date boost", "temporal"), ("procedural", "extend the procedural patterns", "procedural"), ("entity", "raise the entity boost", "entity"),
+    ("conceptual", "fuse by reciprocal ranks", None), ("recall", "give documents telling titles", None),
+]
+
+
+def quality_gate(scores: DataFrame, hints: set[str], floor: float = LEAST_CATEGORY) -> DataFrame:
+    """(category, score, weak, recommendation, verdict): hold if any category lies under the floor, with advice that the hints allow."""
+    advice = F.create_map(*[F.lit(x) for c, text, hint in ADVICE if hint is None or hint in hints for x in (c, text)])
+    weak = F.col("score") < floor
+    held = F.max(weak.cast("int")).over(Window.partitionBy()) == 1
+    return scores.select("category", "score", weak.alias("weak"), F.when(weak, advice[F.col("category")]).alias("recommendation"), F.when(held, "hold").otherwise("pass").alias("verdict"))
+
+
+#: Least scores by category (fixed values).
+REPORTER_GATES = {"overall": 0.78, "temporal": 0.55, "entity": 0.80, "contextual_prep": 0.60}
+
+
+def gate_failures(scores: DataFrame, gates: dict[str, float] = REPORTER_GATES) -> DataFrame:
+    """(category, score, gate) of gates that aren't reached; a category without a score has 0."""
+    asked = scores.sparkSession.createDataFrame(list(gates.items()), "category string, gate double")
+    joined = asked.join(scores.select("category", "score"), "category", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return joined.where(F.col("score") < F.col("gate")).select("category", "score", "gate")
+
+
+def monitor(runs: DataFrame, by: str, order: str, most_drop: float = MOST_DROP) -> DataFrame:
+    """Runs with the first one's score as baseline, their drop from it, and all failed vectors so far."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    base = F.first("score").over(w)
+    return runs.select(
+        by, order, "score", "vec_failed", base.alias("baseline"), F.round(F.col("score") - base, 6).alias("drop"), (F.col("score") - base < -most_drop).alias("regression"),
+        F.sum("vec_failed").over(w).alias("failed_so_far"),
+    )
+
+
+def bottleneck(p95: Column, mean_concurrency: Column, requested: Column, threshold: Column, throttled: Column) -> Column:
+    """The likeliest cause of a slow probe; null for a healthy one."""
+    return (
+        F.when(throttled > 0, "rate_limit").when((requested >= 5) & (mean_concurrency < requested * 0.6), "worker_contention")
+        .when((p95 > threshold) & (requested <= 2), "deployment_or_network").when(p95 > threshold, "pool_or_cache")
+    )
+
+
+def query_quotas(profiles: DataFrame, n: int = 50) -> DataFrame:
+    """(…, category, quota): ``n`` test queries shared by what a corpus holds.
+
+    ``profiles`` has total, procedural, dated and entities counts; its other columns are kept.
+    """
+    ratio = lambda c, most: F.least(F.col(c) / F.greatest(F.col("total"), F.lit(1)), F.lit(most))
+    share = lambda least, floor, x: F.greatest(F.lit(least), F.floor(F.lit(n) * F.greatest(F.lit(floor), x)).cast("int"))
+    quotas = {
+        "recall": F.lit(max(3, int(n * 0.30))), "conceptual": F.lit(max(2, int(n * 0.15))), "procedural": share(2, 0.10, ratio("procedural", 0.3)),
+        "temporal": share(1, 0.05, ratio("dated", 0.3) * 0.5), "entity": share(1, 0.05, ratio("entities", 0.2) * 0.5),
+    }
+    rest = F.lit(n)
+    for x in quotas.values():
+        rest = rest - x
+    quotas["multi_hop"] = F.greatest(F.lit(1), rest)
+    keep = [c for c in profiles.columns if c not in ("total", "procedural", "dated", "entities")]
+    return profiles.select(*keep, F.inline(F.array(*[F.struct(F.lit(c).alias("category"), x.cast("int").alias("quota")) for c, x in quotas.items()])))
+
+
+#: How a title is asked for in each category; conceptual queries take the titles after those of recall.
+TEMPLATES = {"recall": "", "conceptual": "explain the concept of ", "procedural": "how to ", "temporal": "recent changes to ", "entity": "tell me about "}
+
+
+def template_queries(titles: DataFrame, quotas: DataFrame, by: str) -> DataFrame:
+    """(by, category, number, query): the first titles (by, title, place) of each group in the words of each category."""
+    recall = quotas.where(F.col("category") == "recall").select(by, F.col("quota").alias("_recall"))
+    asked = quotas.where(F.col("category").isin(list(TEMPLATES))).join(recall, by)
+    skip = F.when(F.col("category") == "conceptual", F.col("_recall")).otherwise(0)
+    words = F.create_map(*[F.lit(x) for pair in TEMPLATES.items() for x in pair])
+    met = titles.join(F.broadcast(asked), by).where((F.col("place") > skip) & (F.col("place") <= skip + F.col("quota")))
+    return met.select(by, "category", (F.col("place") - skip).alias("number"), F.concat(words[F.col("category")], F.regexp_replace("title", "[-_]", " ")).alias("query"))
+
+
+def contradictions(scored: DataFrame, least: float = 0.45, scores: tuple[str, ...] = ("direct", "overstatement", "status_mismatch")) -> DataFrame:
+    """(doc, claim, path, score, category, rank): candidates that speak against a document's claims, the worst first.
+
+    ``scored`` is (doc, claim, path, one column a category). Of a path the first claim counts (of its rows the one of the smallest scores). The category is that of the
+    largest score, the first of equals; none where all are 0.
+    """
+    first = scored.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "path").orderBy("claim", *scores))).where(F.col("_n") == 1)
+    best = F.greatest(*scores)
+    category = F.when(best <= 0, "")
+    for c in scores:
+        category = category.when(F.col(c) == best, c)
+    kept = first.select("doc", "claim", "path", best.alias("score"), category.alias("category")).where(F.col("score") >= least)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("score").desc(), "path")))

@@ -198,3 +198,129 @@ def inject_links(text: Column, names: Column) -> Column:
         return F.when(hit, F.concat(before, F.lit("[["), name, F.lit("]]"), rest)).otherwise(t)
 
     return F.aggregate(names, text, linked)
+
+
+#: Folders whose files name entities, their type and how sure that is, in the order in which they are tried (fixed values).
+ENTITY_FOLDERS = [
+    (r"(?i)(?:^|/)(?:clients?|organisations?|companies|vendors?|partners?)/([^/]+?)(?:\.md)?$", "Organisation", 0.85),
+    (r"(?i)(?:^|/)(?:people|persons?|contacts?|team|stakeholders?)/([^/]+?)(?:\.md)?$", "Person", 0.85),
+    (r"(?i)(?:^|/)(?:frameworks?|methods?|methodologies|patterns?)/([^/]+?)(?:\.md)?$", "Framework", 0.75),
+]
+
+
+def shown_name(stem: Column) -> Column:
+    """Words of a file's name with a capital first; words all in capitals stay."""
+    words = F.filter(F.split(F.regexp_replace(stem, "[-_]", " "), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when((F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1), w).otherwise(F.initcap(w))), " ")
+
+
+def folder_entities(documents: DataFrame) -> DataFrame:
+    """(name, entity_type, confidence, source_docs, rank): entities that paths of active documents name.
+
+    Names are one in any case; the first path decides on type and spelling. ``source_docs`` are the first five of their
+    ``n_docs`` paths.
+    """
+    found = F.array(*[F.struct(F.lit(k).alias("rule"), F.regexp_extract("path", p, 1).alias("stem"), F.lit(t).alias("entity_type"), F.lit(c).alias("confidence"))
+                      for k, (p, t, c) in enumerate(ENTITY_FOLDERS)])
+    each = documents.where(F.col("active") == 1).select("path", F.inline(F.filter(found, lambda x: x["stem"] != "")))
+    each = each.withColumn("name", shown_name(F.col("stem"))).withColumn("_key", F.lower("name"))
+    first = F.struct("path", "rule")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("path", "rule"))
+    shown = each.withColumn("_place", place)
+    out = shown.groupBy("_key").agg(
+        F.min_by("name", first).alias("name"), F.min_by("entity_type", first).alias("entity_type"), F.min_by("confidence", first).alias("confidence"),
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_place") <= 5, F.col("path")))), "|").alias("source_docs"), F.count("*").alias("n_docs"),
+    ).drop("_key")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("confidence").desc(), "name")))
+
+
+def named_in(name: Column, surface: Column, text: Column) -> Column:
+    """Whether a stored entity is meant: its name is the surface form, or stands in the text as whole words."""
+    inside = lambda c: c.rlike(r"^[\p{L}\p{N}_]")
+    left = F.when(inside(name), r"\b").otherwise(r"(?:^|(?<=\W))")
+    right = F.when(inside(F.reverse(name)), r"\b").otherwise(r"(?:$|(?=\W))")
+    whole = F.rlike(text, F.concat(F.lit("(?i)"), left, F.lit(r"\Q"), name, F.lit(r"\E"), right))
+    return (F.btrim(name) != "") & ((F.lower(name) == F.lower(surface)) | whole)
+
+
+#: Kinds of named things that may be entities (fixed values).
+NER_LABELS = "ORG PERSON GPE PRODUCT WORK_OF_ART".split()
+
+
+def suggestions(found: DataFrame, allowed: DataFrame, roles: Sequence[str]) -> DataFrame:
+    """(doc_id, surface, label, source): what a recogniser found, without role phrases and other labels, and known names.
+
+    ``found`` is (doc_id, surface, label, text); ``allowed`` (name, label) known names, which stay whatever their label.
+    """
+    known = allowed.select(F.lower("name").alias("_name"), F.col("label").alias("_label"))
+    plain = found.where(~F.lower("surface").isin([x.lower() for x in roles]))
+    marked = plain.join(known, F.lower("surface") == F.col("_name"), "left")
+    kept = marked.where(F.col("_name").isNotNull() | F.col("label").isin(NER_LABELS))
+    return kept.select("doc_id", "surface", F.coalesce("_label", "label").alias("label"), F.when(F.col("_name").isNotNull(), "known").otherwise("found").alias("source"))
+
+
+STUB_TYPES = "person organisation concept project decision".split()
+STUB_FIELDS = "type name entity-id created".split()
+
+
+def stub_faults(fields: Column, content: Column, body: Column, stop_names: Sequence[str] = ()) -> Column:
+    """What is wrong with an entity's page, in order: an array of names of checks, empty for a good one."""
+    lines = F.size(F.filter(F.split(body, "\n"), lambda x: F.btrim(x) != ""))
+    name = F.btrim(F.coalesce(F.try_element_at(fields, F.lit("name")), F.lit("")))
+    checks = [
+        ("frontmatter_complete", F.size(F.array_except(F.array(*[F.lit(x) for x in STUB_FIELDS]), F.map_keys(fields))) > 0),
+        ("type_valid", ~F.coalesce(F.btrim(F.try_element_at(fields, F.lit("type"))), F.lit("")).isin(STUB_TYPES)),
+        ("body_length", lines < 20),
+        ("no_boilerplate", content.contains("Auto-generated entity") | content.contains("Needs manual review") | content.rlike(r"appears in \d+ (vault )?documents")),
+        ("has_relationships", ~(body.contains("## Relationships") | body.contains("## Related"))),
+        ("name_not_generic", (name == "") | F.lower(name).isin([x.lower() for x in stop_names])),
+    ]
+    return F.array_compact(F.array(*[F.when(bad, n) for n, bad in checks]))
+
+
+def curator_health(nodes: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """By label: nodes, those without a summary, without a path, and not seen for more than ``days``."""
+    return nodes.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce(F.btrim("summary"), F.lit("")) == "").alias("no_summary"),
+        F.count_if(F.coalesce(F.btrim("vault_path"), F.lit("")) == "").alias("no_path"), F.count_if(F.datediff(as_of, "last_seen") > days).alias("stale"),
+    )
+
+
+def prune_reasons(nodes: DataFrame, files: DataFrame, labels: Sequence[str] = ("Organisation", "Person", "Outcome", "Concept", "Project")) -> DataFrame:
+    """(id, name, label, reason) of nodes to delete: their file is missing, or they have neither page nor summary."""
+    there = files.select(F.col("path").alias("_path")).distinct()
+    has_path = F.coalesce(F.col("vault_path"), F.lit("")) != ""
+    joined = nodes.where(F.col("label").isin(list(labels))).join(there, F.col("vault_path") == F.col("_path"), "left")
+    reason = F.when(has_path & F.col("_path").isNull(), "file_missing").when(~has_path & (F.coalesce("summary", F.lit("")) == ""), "no_stub_no_summary")
+    return joined.select("id", "name", "label", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def purge(nodes: DataFrame, edges: DataFrame, audit: DataFrame, dry_run: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes left, edges left, log): deletes what an audit (id, reason) names; a dry run deletes nothing."""
+    log = audit.select("id", "reason", F.lit("dry run" if dry_run else "deleted").alias("status"))
+    return (nodes, edges, log) if dry_run else (*detach_delete(nodes, edges, audit), log)
+
+
+def count_by_label(nodes: DataFrame) -> DataFrame:
+    """(label, n), with the total under a null label."""
+    return nodes.rollup("label").agg(F.count("*").alias("n"))
+
+
+def aliases_of(notes: DataFrame) -> DataFrame:
+    """(target, aliases): what ``[[target|display]]`` links call their targets, each once."""
+    pairs = F.regexp_extract_all("text", F.lit(r"\[\[([^\]|]+\|[^\]|]+)\]\]"), F.lit(1))
+    each = notes.select(F.explode(pairs).alias("p")).select(F.btrim(F.substring_index("p", "|", 1)).alias("target"), F.btrim(F.substring_index("p", "|", -1)).alias("alias")).distinct()
+    return each.where(F.lower("target") != F.lower("alias")).groupBy("target").agg(F.array_join(F.sort_array(F.collect_list("alias")), "|").alias("aliases"))
+
+
+def link_eligible(path: Column) -> Column:
+    """Notes that may be linked: not archived, and of a workspace only its memory."""
+    low = F.lower(path)
+    return ~F.contains(low, F.lit("/archive/")) & (~F.contains(low, F.lit("workspace")) | F.contains(low, F.lit("/memory/")))
+
+
+def set_field(nodes: DataFrame, updates: DataFrame, field: str) -> DataFrame:
+    """``nodes`` with ``field`` taken from ``updates`` (id, field) where they have the id."""
+    new = updates.select("id", F.col(field).alias("_new"))
+    old = F.col(field) if field in nodes.columns else F.lit(None)
+    return nodes.join(new, "id", "left").withColumn(field, F.coalesce("_new", old)).drop("_new")

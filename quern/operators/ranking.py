@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.stemming import stems
 from quern.functions.text import finite, split_words, tokens
 from quern.shared import cut, small
 
@@ -21,21 +22,26 @@ def top(df: DataFrame, k: int, score: str, *ties: str, by: str = "query_id") ->
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bool = False, prefix: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bool = False, prefix: bool = False, stemmed: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents by BM25, ties to smaller ids.
 
     ``docs`` is (doc_id, text), ``queries`` (query_id, text). Documents are tokenised once: terms that are asked for are
     counted by document, all others together, and these postings are written; sizes, document frequencies and scores are
     read from them. A document matches with any term, or with ``every_term``; with ``prefix`` a term stands for all that
-    begin with it, which takes a scan for the vocabulary before.
+    begin with it, with ``stemmed`` for all of its stem, counted as one; both take a scan for the vocabulary before.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
     sized = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
     words = sized.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
-    if prefix:
+    if stemmed:
+        own = stems(asked.select("asked"), "asked")
+        asked = asked.join(small(own), "asked").select("query_id", F.col("stem").alias("asked")).distinct()
+        known = cut(stems(words.select("term")).join(small(own.select("stem").distinct()), "stem").select(F.col("stem").alias("asked"), "term"))
+    elif prefix:
         vocabulary = words.select("term").distinct()
         starts = asked.select("asked").distinct()
-        known = cut(vocabulary.join(small(starts), F.expr("startswith(term, asked)")).select("asked", "term"))
+        begins = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.left(F.col("term"), n))
+        known = cut(vocabulary.where(F.col("term").isNotNull()).select("term", F.explode(begins).alias("asked")).join(small(starts), "asked").select("asked", "term"))
     else:
         known = asked.select("asked", F.col("asked").alias("term")).distinct()
     wanted = small(known.select("term", F.lit(True).alias("_wanted")).distinct())
@@ -47,6 +53,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
     mean = (postings.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
     mean = mean or 1.0
     tf = postings.where(F.col("term").isNotNull())
+    if stemmed:
+        tf = tf.join(small(known), "term").groupBy(F.col("asked").alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf"))
+        known = known.select("asked", F.col("asked").alias("term")).distinct()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(mean)))

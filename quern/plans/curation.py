@@ -57,14 +57,15 @@ def soft_delete(spark, sf_dir):
 def _chunks(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "hash")
     seen = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.to_date("ts").alias("day"))
-    return docs.where(F.col("doc_id") % 3 == 0).join(seen, "doc_id", "left").select(
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.join(labelled, "doc_id", "left_semi").join(seen, "doc_id", "left").select(
         "hash", F.lit(0).alias("seq"), F.when(F.col("doc_id") % 2 == 0, F.col("day")).alias("chunk_date"))
 
 
 _CHUNKS = f"""WITH {DOCS},
 chunks AS (
   SELECT hash, CASE WHEN doc_id % 2 = 0 THEN ts::DATE END AS chunk_date
-  FROM docs LEFT JOIN events ON event_id = doc_id WHERE doc_id % 3 = 0)"""
+  FROM docs LEFT JOIN events ON event_id = doc_id WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 
 def pending_chunks(spark, sf_dir):
@@ -112,8 +113,8 @@ def corpus_profile(spark, sf_dir):
 
 
 def text_keys(spark, sf_dir):
-    """Slugs, names and titles of each document's first words."""
-    docs = documents(spark, sf_dir).withColumn("head", X.first_words(F.col("text"), 6))
+    """Slugs, names and titles of whole texts."""
+    docs = documents(spark, sf_dir).withColumn("head", F.col("text"))
     return docs.select("doc_id", X.slugify("head").alias("slug"), X.heading_slug("head", 20).alias("short_slug"), X.kebab_case("head").alias("kebab"), X.title_key("head").alias("title_key"))
 
 
@@ -123,8 +124,8 @@ def chunks(spark, sf_dir):
 
 
 def notes_with_fields(spark, sf_dir):
-    """Conversations as notes: a block of fields, a heading, the first turn; read back as title, date and snippet."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    """Turns of conversations as notes: a block of fields, a heading, the text; read back as title, date and snippet."""
+    turns = table(spark, sf_dir, "conversations")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conv_id"), F.to_date("o_orderdate").alias("day"))
     rows = turns.join(orders, "conv_id", "left")
     note = F.concat(
@@ -136,14 +137,14 @@ def notes_with_fields(spark, sf_dir):
 def extracted_dates(spark, sf_dir):
     rows = notes_with_fields(spark, sf_dir)
     day = C.document_date(F.col("note"), F.col("file"), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-06-30").cast("date"))
-    return rows.select("conv_id", X.extract_title(F.col("note"), F.lit("some-note")).alias("title"), day.alias("day"), F.sha2(X.snippet(F.col("note")), 256).alias("snippet_hash"))
+    return rows.select("conv_id", "turn", X.extract_title(F.col("note"), F.lit("some-note")).alias("title"), day.alias("day"), F.sha2(X.snippet(F.col("note")), 256).alias("snippet_hash"))
 
 
 _NOTES = r"""WITH notes AS (
-  SELECT conv_id, role, text, o_orderdate::DATE AS day, 'notes/2024-02-0' || (conv_id % 9 + 1) || '.md' AS file,
+  SELECT conv_id, turn, role, text, o_orderdate::DATE AS day, 'notes/2024-02-0' || (conv_id % 9 + 1) || '.md' AS file,
          '---' || chr(10) || 'owner: ' || role || chr(10) || 'title: Note ' || conv_id || coalesce(chr(10) || 'date: ' || o_orderdate::DATE::VARCHAR, '')
            || chr(10) || '---' || chr(10) || '# Heading' || chr(10) || chr(10) || text AS note
-  FROM conversations LEFT JOIN orders ON o_orderkey = conv_id WHERE turn = 0)"""
+  FROM conversations LEFT JOIN orders ON o_orderkey = conv_id)"""
 
 
 def date_formats(spark, sf_dir):
@@ -279,14 +280,14 @@ FROM documents GROUP BY ROLLUP (source, lang)""",
 FROM documents GROUP BY 1, 2""",
     "corpus_profile": f"""WITH {DOCS} SELECT collection, count(*) AS n, count(*) FILTER (regexp_matches(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}')) AS dated,
 count(*) FILTER (lang IN ('en', 'de')) AS english_or_german, count(DISTINCT hash) AS contents FROM docs GROUP BY collection""",
-    "text_keys": f"""WITH heads AS (SELECT doc_id, {_HEAD} AS head FROM documents)
+    "text_keys": f"""WITH heads AS (SELECT doc_id, text AS head FROM documents)
 SELECT doc_id, {_SLUG} AS slug, regexp_replace({_SLUG}[1:20], '-+$', '') AS short_slug,
   trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(head, '([a-z0-9])([A-Z])', '\\1-\\2', 'g'), '[\\s_.]+', '-', 'g')), '[^a-z0-9-]', '', 'g'), '-{{2,}}', '-', 'g'), '-') AS kebab,
   trim(regexp_replace(regexp_replace(lower(head), '\\.md$', ''), '[-_\\s]+', '-', 'g'), '-') AS title_key FROM heads""",
     "chunk_text": """WITH made AS (SELECT doc_id, i * 2000 AS pos, text[i * 2000 + 1:i * 2000 + 2000] AS t FROM (SELECT doc_id, text, unnest(range(0, greatest(0, (length(text) - 1) // 2000) + 1)) AS i FROM documents))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq, pos, length(t) AS n, sha256(t) AS chunk_hash FROM made WHERE trim(t) <> ''""",
     "extracted_dates": f"""{_NOTES}
-SELECT conv_id, 'Note ' || conv_id AS title, CASE WHEN day BETWEEN DATE '2000-01-01' AND DATE '2024-07-01' THEN day ELSE file[12:21]::DATE END AS day,
+SELECT conv_id, turn, 'Note ' || conv_id AS title, CASE WHEN day BETWEEN DATE '2000-01-01' AND DATE '2024-07-01' THEN day ELSE file[12:21]::DATE END AS day,
   sha256(trim('# Heading' || chr(10) || chr(10) || text, ' ' || chr(9) || chr(10) || chr(13))[1:300]) AS snippet_hash FROM notes""".replace("file[12:21]", "regexp_extract(file, '\\d{4}-\\d{2}-\\d{2}')"),
     "date_formats": f"""{_NOTES}, classes AS (SELECT role, CASE WHEN conv_id % 4 = 3 OR day IS NULL THEN 'absent' WHEN conv_id % 4 = 0 THEN 'iso' WHEN conv_id % 4 = 1 THEN 'non_iso' ELSE 'datetime' END AS c FROM notes)
 SELECT role, count(*) FILTER (c = 'absent') AS absent, count(*) FILTER (c = 'datetime') AS datetime, count(*) FILTER (c = 'iso') AS iso, count(*) FILTER (c = 'non_iso') AS non_iso FROM classes GROUP BY role""",

@@ -69,12 +69,12 @@ def kind_pivot(spark, sf_dir):
 
 
 def entity_resolution(spark, sf_dir):
-    """Parts' types as entities that several documents (part keys) name; ``n_docs`` is shown up to 20, as its SQL asks."""
+    """Parts' brands as entities that several documents (part keys) name."""
     raw = table(spark, sf_dir, "part").select(
         F.concat(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))).alias("name"), F.lit("Organisation").alias("entity_type"),
         F.col("p_partkey").alias("source_doc"), (F.col("p_size") / 50).alias("confidence"))
     found = G.resolve(raw, slugify(F.col("name")))
-    return found.select("entity_type", "slug", "name", F.array_join("aliases", "|").alias("aliases"), F.least(F.lit(20).cast("long"), "n_docs").alias("n_docs"), F.round("confidence", 6).alias("confidence"))
+    return found.select("entity_type", "slug", "name", F.array_join("aliases", "|").alias("aliases"), "n_docs", F.round("confidence", 6).alias("confidence"))
 
 
 def entity_edges(spark, sf_dir):
@@ -85,11 +85,11 @@ def entity_edges(spark, sf_dir):
 
 
 def wikilink_mentions(spark, sf_dir):
-    """Notes that link to parts, by name, in two forms."""
-    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") <= 2)
-    note = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("see [["), "p_name", F.lit("]] and [[Nothing]]"))).otherwise(F.concat(F.lit("see [["), F.upper("p_name"), F.lit("|this]]")))
+    """How many notes link to each part, by name, in two forms."""
+    p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    note = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("see [["), "p_name", F.lit("]] and [[Nothing]]"))).otherwise(F.concat(F.lit("see [["), F.upper("p_name"), F.lit("|this]]")))
     notes = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), note.alias("text"))
-    return G.mentions(notes, nodes(spark, sf_dir).where(F.col("label") == "Technology"))
+    return G.mentions(notes, nodes(spark, sf_dir).where(F.col("label") == "Technology")).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
 def wikilink_injection(spark, sf_dir):
@@ -123,10 +123,10 @@ count(*) FILTER (summary IS NULL OR length(summary) < 50) AS short_summary FROM
     "kind_pivot": f"""{_G} SELECT from_label, nullif(count(*) FILTER (kind = 'MENTIONS'), 0) AS "MENTIONS", nullif(count(*) FILTER (kind = 'WORKS_AT'), 0) AS "WORKS_AT" FROM edges GROUP BY from_label""",
     "entity_resolution": f"""WITH raw AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name, p_partkey, p_size / 50 AS confidence FROM part)
 SELECT 'Organisation' AS entity_type, {_SLUG.format('name')} AS slug, min(name) AS name, array_to_string(list_sort(list(DISTINCT name)), '|') AS aliases,
-  least(20, count(DISTINCT p_partkey)) AS n_docs, round(max(confidence), 6) AS confidence FROM raw GROUP BY 2""",
+  count(DISTINCT p_partkey) AS n_docs, round(max(confidence), 6) AS confidence FROM raw GROUP BY 2""",
     "entity_edges": f"""{_G}, ids AS (SELECT lower(name) AS n, min(id) AS id FROM nodes GROUP BY 1)
 SELECT coalesce(a.id, {_SLUG.format('p_name')}) AS from_id, coalesce(b.id, {_SLUG.format('p_brand')}) AS to_id, 'MADE_BY' AS kind, min(p_partkey) AS source_doc
 FROM part LEFT JOIN ids a ON a.n = lower(p_name) LEFT JOIN ids b ON b.n = lower(p_brand) GROUP BY 1, 2""",
-    "wikilink_mentions": """SELECT DISTINCT l_orderkey AS doc_id, 'p' || q.p_partkey AS entity_id
-FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN part q ON lower(q.p_name) = lower(p.p_name) WHERE l_linenumber <= 2""",
+    "wikilink_mentions": """SELECT 'p' || q.p_partkey AS entity_id, count(DISTINCT l_orderkey) AS n
+FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN part q ON lower(q.p_name) = lower(p.p_name) GROUP BY 1""",
 }

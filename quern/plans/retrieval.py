@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import STOP_WORDS, first_words, token_estimate
 from quern.operators import ranking as R
 from quern.plans.tables import DOCS, INTENTS, documents, queries, table
+from quern.shared import small
 
 _STOP = "[" + ", ".join(f"'{x}'" for x in STOP_WORDS) + "]"
 
@@ -59,11 +60,11 @@ def _first(spark, sf_dir, n):
 
 
 def bm25_all_terms(spark, sf_dir):
-    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), _first(spark, sf_dir, 3), every_term=True)
+    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir), every_term=True)
 
 
 def bm25_prefix(spark, sf_dir):
-    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), _first(spark, sf_dir, 2), every_term=True, prefix=True)
+    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir), every_term=True, prefix=True)
 
 
 def keyword_overlap_topk(spark, sf_dir):
@@ -161,18 +162,27 @@ def boost_chunk_date(spark, sf_dir):
     return _boosted(spark, sf_dir, _if("temporal", R.boost_chunk_date(_score(), F.col("chunk_date"), F.lit("2024-01-15").cast("date"))))
 
 
+def _asked_text():
+    """What each query asks for: a month, or what is recent."""
+    return F.when(F.col("query_id") % 2 == 0, "what happened in 2024-01").otherwise("recent news of this")
+
+
+def _dated_path():
+    return F.concat_ws("/", "path", F.col("chunk_date").cast("string"))
+
+
 def boost_date_path(spark, sf_dir):
-    """Paths that hold the date on which a document was seen, for queries of one month."""
-    path = F.concat_ws("/", "path", F.col("chunk_date").cast("string"))
-    return _boosted(spark, sf_dir, _if("temporal", R.boost_date_path(_score(), path, F.lit("what happened in 2024-01"), F.lit("2024-06-30").cast("date"))))
+    """Paths that hold the date on which a document was seen, for queries of a month and of what is recent."""
+    return _boosted(spark, sf_dir, _if("temporal", R.boost_date_path(_score(), _dated_path(), _asked_text(), F.lit("2024-04-10").cast("date"))))
 
 
 def boost_chain(spark, sf_dir):
-    """Entity, procedural and date boosts, one after the other, each for its intent."""
+    """Entity, procedural, date-path and chunk-date boosts, one after the other, each for its intent."""
     score = _score()
     for intent, f in (
         ("entity", lambda s: R.boost_entity(s, F.col("degree"))),
         ("procedural", lambda s: R.boost_path(s, F.col("path"), r"(^|/)src[0-4]/")),
+        ("temporal", lambda s: R.boost_date_path(s, _dated_path(), _asked_text(), F.lit("2024-04-10").cast("date"))),
         ("temporal", lambda s: R.boost_chunk_date(s, F.col("chunk_date"), F.lit("2024-01-15").cast("date"))),
     ):
         score = F.when(F.col("intent") == intent, f(score)).otherwise(score)
@@ -183,7 +193,10 @@ _ENTITY = "rrf_score * least(2.0, 1 + 0.2 * ln(1 + coalesce(degree, 0)))"
 _PROC = "CASE WHEN regexp_matches(path, '(^|/)src[0-4]/') THEN rrf_score * 1.4 ELSE rrf_score END"
 _DATE = ("CASE WHEN chunk_date IS NULL THEN rrf_score ELSE rrf_score * (1 + exp(-(power(date_diff('day', DATE '2024-01-15', chunk_date), 2))"
          " / (2 * power(30.0::DOUBLE / 1.177::DOUBLE, 2)))) END")
-_IN_PATH = "CASE WHEN contains(path || coalesce('/' || chunk_date::VARCHAR, ''), '2024-01') THEN rrf_score * 1.35 ELSE rrf_score END"
+_PATH_HIT = ("CASE WHEN query_id % 2 = 0 THEN contains(path || coalesce('/' || chunk_date::VARCHAR, ''), '2024-01')"
+             " ELSE coalesce(chunk_date BETWEEN DATE '2024-04-10' - 90 AND DATE '2024-04-10', false) END")
+_IN_PATH = f"CASE WHEN {_PATH_HIT} THEN rrf_score * 1.35 ELSE rrf_score END"
+_BOTH_DATES = _DATE.replace("rrf_score", f"({_IN_PATH})")
 
 
 def _boost_sql(cases: list[tuple[str, str]]) -> str:
@@ -194,10 +207,10 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boost
 
 
 def rerank_overlap(spark, sf_dir):
-    """The first five of each list again by shared words of query and text, the rest as they were."""
+    """The first 20 of each list again by shared words of query and text, the rest as they were."""
     ranked = R.rrf(_legs(spark, sf_dir)).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    ranked = ranked.join(R.small(queries(spark, sf_dir)).withColumnRenamed("text", "query"), "query_id")
-    return R.rerank(ranked, R.overlap(F.col("query"), F.left("text", F.lit(500))), most=5).select("query_id", "doc_id", "old_rank", "rerank_score", "new_rank")
+    ranked = ranked.join(small(queries(spark, sf_dir)).withColumnRenamed("text", "query"), "query_id")
+    return R.rerank(ranked, R.overlap(F.col("query"), F.left("text", F.lit(500))), most=20).select("query_id", "doc_id", "old_rank", "rerank_score", "new_rank")
 
 
 def budget_pack(spark, sf_dir):
@@ -220,7 +233,7 @@ def tier_router(spark, sf_dir):
 
 def usable_context(spark, sf_dir):
     ranked = R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir))
-    shown = ranked.join(documents(spark, sf_dir).select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(45)).alias("snippet")), "doc_id")
+    shown = ranked.join(documents(spark, sf_dir).select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(300)).alias("snippet")), "doc_id")
     return R.usable_context(shown, "snippet").select("query_id", "doc_id", "rank")
 
 
@@ -237,8 +250,8 @@ _HALVES = [f"SELECT item_id AS query_id, array_to_string({_WORDS}{cut}, ' ') AS
 ORACLE_SQL = {
     "bm25_topk": f"WITH {bm25_sql(_Q)} SELECT *, round(abs(score) / (1 + abs(score)), 6) AS normalised FROM bm25",
     "bm25_collection_filter": f"WITH {bm25_sql(_Q, 'SELECT doc_id, text FROM documents WHERE source = ' + chr(39) + 'src1' + chr(39))} SELECT * FROM bm25",
-    "bm25_all_terms": f"WITH {bm25_sql(f'SELECT item_id AS query_id, array_to_string({_WORDS}[1:3], chr(32)) AS text FROM benchmark', every=True)} SELECT * FROM bm25",
-    "bm25_prefix": f"WITH {bm25_sql(f'SELECT item_id AS query_id, array_to_string({_WORDS}[1:2], chr(32)) AS text FROM benchmark', every=True, prefix=True)} SELECT * FROM bm25",
+    "bm25_all_terms": f"WITH {bm25_sql(_Q, every=True)} SELECT * FROM bm25",
+    "bm25_prefix": f"WITH {bm25_sql(_Q, every=True, prefix=True)} SELECT * FROM bm25",
     "keyword_overlap_topk": f"WITH {KEYWORD} SELECT * FROM keyword",
     "vector_topk": _vector_sql(""),
     "vector_topk_filtered": _vector_sql("AND q.label = v.label"),
@@ -252,13 +265,13 @@ FROM bm25 b FULL JOIN keyword k USING (query_id, doc_id)""",
     "boost_procedural": _boost_sql([("procedural", _PROC)]),
     "boost_chunk_date": _boost_sql([("temporal", _DATE)]),
     "boost_date_path": _boost_sql([("temporal", _IN_PATH)]),
-    "boost_chain": _boost_sql([("entity", _ENTITY), ("procedural", _PROC), ("temporal", _DATE)]),
+    "boost_chain": _boost_sql([("entity", _ENTITY), ("procedural", _PROC), ("temporal", _BOTH_DATES)]),
     "rerank_overlap": f"""WITH {bm25_sql(_Q, k=20)}, {KEYWORD}, {_RRF.format(a='bm25', b='keyword')},
 scored_again AS (
   SELECT r.query_id, r.doc_id, r.rank AS old_rank,
-         CASE WHEN r.rank <= 5 THEN len(list_intersect(list_distinct({_tokens('q.text')}), list_distinct({_tokens('d.text[1:500]')}))) END AS rerank_score
+         CASE WHEN r.rank <= 20 THEN len(list_intersect(list_distinct({_tokens('q.text')}), list_distinct({_tokens('d.text[1:500]')}))) END AS rerank_score
   FROM ranked r JOIN documents d ON d.doc_id = r.doc_id JOIN benchmark q ON q.item_id = r.query_id)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old_rank > 5, rerank_score DESC NULLS LAST, old_rank) AS new_rank FROM scored_again""",
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY old_rank > 20, rerank_score DESC NULLS LAST, old_rank) AS new_rank FROM scored_again""",
     "budget_pack": f"""WITH {bm25_sql(_Q)},
 sized_rows AS (SELECT b.query_id, b.doc_id, rank, {_TOKENS} AS tokens FROM bm25 b JOIN documents d ON d.doc_id = b.doc_id),
 running AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS used FROM sized_rows)
@@ -274,5 +287,5 @@ routed AS (
 SELECT doc_id, tier, length(content) AS n, sha256(content) AS content_hash FROM routed""",
     "usable_context": f"""WITH {bm25_sql(_Q)}
 SELECT query_id, b.doc_id, rank FROM bm25 b JOIN documents d ON d.doc_id = b.doc_id
-WHERE rank <= 5 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g')[1:45])) >= 40""",
+WHERE rank <= 5 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g')[1:300])) >= 40""",
 }
