@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.shared import cut, small
+
 #: Verdicts of a run by its weighted total, and of categories (fixed values).
 PHASES = {"phase1": 0.62, "phase2": 0.68, "phase3": 0.75}
 MOST_DROP, LEAST_CATEGORY, WARN_DROP = 0.02, 0.50, -0.01
@@ -61,12 +63,16 @@ def ranked_percentile(values: Column, p: int) -> Column:
 def latency(samples: DataFrame, by: str, value: str) -> DataFrame:
     """Count, least, mean, largest and p50, p95, p99 of each group, to one decimal.
 
-    Places are exact at any size: values are counted first, and the first value whose running count reaches a place is
-    taken, so a group is as large as its number of different values.
+    Places are exact at any size: values are counted and ranged into blocks first; running counts are made in a block and
+    begin with the sum of the blocks before, so no task sorts a whole group.
     """
     counts = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(by).orderBy(value)
-    held = counts.withColumn("_to", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(Window.partitionBy(by)))
+    ranged = cut(counts.repartitionByRange(by, value).withColumn("_block", F.spark_partition_id()))
+    blocks = Window.partitionBy(by).orderBy("_block")
+    before = ranged.groupBy(by, "_block").agg(F.sum("_c").alias("_sum")).select(
+        F.col(by).alias("_by"), F.col("_block").alias("_own"), (F.sum("_sum").over(blocks) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy(by)).alias("_n"))
+    joined = ranged.join(small(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_own")))
+    held = joined.withColumn("_to", F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "_block").orderBy(value)))
     place = lambda p: F.greatest(F.lit(1), F.least(F.col("_n"), F.bround(F.col("_n") * p / 100).cast("long")))
     at = lambda p: F.round(F.min(F.when(F.col("_to") >= place(p), F.col(value))), 1)
     return held.groupBy(by).agg(

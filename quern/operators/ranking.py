@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.stemming import stems
-from quern.functions.text import finite, split_words, tokens
+from quern.functions.text import exploded_tokens, finite, split_words, tokens
 from quern.shared import cut, small
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -31,8 +31,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
     begin with it, with ``stemmed`` for all of its stem, counted as one; both take a scan for the vocabulary before.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("terms"))
-    words = sized.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+    words = exploded_tokens(docs.select("doc_id", "text"))
     if stemmed:
         own = stems(asked.select("asked"), "asked")
         asked = asked.join(small(own), "asked").select("query_id", F.col("stem").alias("asked")).distinct()
@@ -46,13 +45,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
         known = asked.select("asked", F.col("asked").alias("term")).distinct()
     wanted = small(known.select("term", F.lit(True).alias("_wanted")).distinct())
     postings = cut(
-        words.join(wanted, "term", "left").groupBy(F.when(F.col("_wanted"), F.col("term")).alias("term"), "doc_id", "dl")
-        .agg(F.count("term").alias("tf"))
+        words.join(wanted, "term", "left").groupBy(F.when(F.col("_wanted"), F.col("term")).alias("term"), "doc_id").agg(F.count("*").alias("tf"))
     )
+    sizes = postings.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     n = docs.count()
     mean = (postings.agg(F.sum("tf")).first()[0] or 0) / n if n else 1.0
     mean = mean or 1.0
-    tf = postings.where(F.col("term").isNotNull())
+    tf = postings.where(F.col("term").isNotNull()).join(sizes, "doc_id")
     if stemmed:
         tf = tf.join(small(known), "term").groupBy(F.col("asked").alias("term"), "doc_id", "dl").agg(F.sum("tf").alias("tf"))
         known = known.select("asked", F.col("asked").alias("term")).distinct()
@@ -105,7 +104,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str |
 
     def meet(group: pa.Table) -> pa.Table:
         is_query, ids = group["is_query"].to_numpy(), group["id"].to_numpy()
-        unit = np.array(group["embedding"].to_pylist(), np.float64)
+        unit = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
         kinds = np.array(group["kind"].to_pylist())
         q, v = np.flatnonzero(is_query), np.flatnonzero(~is_query)
