@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a query's tokens leave out (fixed values).
@@ -19,6 +19,13 @@ def tokens(text: Column, stop: list[str] | tuple[str, ...] = tuple(STOP_WORDS),
     return F.filter(found, lambda t: (F.length(t) >= least) & ~F.array_contains(listed, t))
 
 
+def exploded_tokens(rows: DataFrame, text: str = "text", stop: list[str] | tuple[str, ...] = tuple(STOP_WORDS), least: int = 2) -> DataFrame:
+    """``rows`` without ``text``, one for each of its ``tokens`` as ``term``: stop words are a set that compiled code asks."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    each = rows.select(*[c for c in rows.columns if c != text], F.explode(found).alias("term"))
+    return each.where((F.length("term") >= least) & ~F.col("term").isin(list(stop)))
+
+
 def match_expression(text: Column, style: str = "prefix") -> Column:
     """The full-text query of a text: ``bare`` words, ``prefix`` terms joined by AND, or ``quoted``; null if no token is left."""
     found = tokens(text)
