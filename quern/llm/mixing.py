@@ -26,7 +26,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], budget: tuple[int,
 
     Weights repeat over the sources in code point order, null last. Sources in the order of cap over weight are
     full up to the first whose cap exceeds an even share of what is left; all others get that share. The windows
-    run over one row per source.
+    run over one row per source, in one task: fine for up to some millions of sources.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     every, order = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
@@ -100,7 +100,9 @@ def _sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), at_most: int = 2) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each row of ``docs``, by ``mix_plan``.
 
-    Repeated rows each get the copies of their doc_id and source; an empty table gives an empty table.
+    Repeated rows each get the copies of their doc_id and source; a null doc_id is one id like any other; a null or white
+    text of any kind has size 0, a very long one counts whole. Other columns, whatever their names (``size``, ``copies``),
+    play no part; an empty table gives an empty table.
     """
     sizes = _sizes(docs)
     return _with_copies(sizes, mix_plan(sizes, weights, budget, at_most), at_most).select(
@@ -109,7 +111,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int,
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: tuple[int, int] = (3, 2), at_most: int = 2) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are."""
+    """The rows of ``docs``, each as often as the mix takes it, with their columns as they are, whatever their names.
+
+    Nulls, repeated rows, very long texts and an empty table count as in ``mix``.
+    """
     plan = mix_plan(_sizes(docs), weights, budget, at_most)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", place(F.col("doc_id")).alias("_u"))
     taken = _with_copies(rows, plan, at_most).where(F.col("copies") > 0)

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -48,3 +49,36 @@ def test_stages(spark, sf_dir):
 
 def test_run_reads_its_own_parquet(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns[:2] == ["doc_id", "piece"]
+
+
+ODD = [
+    (1, None, "en", "web", 0, "a"), (2, "", None, None, None, "b"), (3, "a b c d e f", "en", "web", 11, "c"), (3, "a b c d e f", "en", "web", 11, "c"), (None, "of nobody", "en", "web", 9, "d"),
+    (4, "long " * 60_000, "en", "books", 300_000, "e"), (5, " \n\t\n", "de", "web", 4, "f"), (6, "a b c d e f", "de", "books", 11, None), (7, "unique words of this one text", "en", None, 29, "g"),
+    (8, "x\na line that many documents share\ny", "en", "web", 36, "h"), (9, "a line that many documents share\nz", "en", "web", 34, "i"), (10, "a line that many documents share", "en", "web", 32, "j"),
+]
+
+
+@pytest.mark.parametrize("name", [x for x, _ in corpus_pipeline.STAGES])
+def test_stages_at_the_edges(spark, sf_dir, name):
+    """Nulls, empty and very long texts, repeated rows, an empty table and a column whose name operators use themselves."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, copies string")
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    key = lambda r: (r.doc_id is not None, r.doc_id)
+    ids = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    if name == "packing":
+        assert {key(r) for r in ids} == {(x[0] is not None, x[0]) for x in ODD}
+        assert [r.length for r in rows if r.doc_id in (1, 2)] == [1, 1] and len([r for r in rows if r.doc_id == 3]) == 2
+    else:
+        assert out.columns == docs.columns
+    if name in ("toxicity", "line_dedup"):
+        assert len(rows) == len(ODD)
+    if name == "line_dedup":
+        text = {r.doc_id: r.text for r in rows}
+        assert text[1] == "" and text[8] == "x\ny" and text[9] == "z" and text[10] == ODD[-1][1]
+    if name == "jaccard_join":
+        assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "2", "3", "None", "4", "5", "7", "8", "9", "10"])
+    if name == "mixing":
+        assert {r.doc_id for r in rows} <= {x[0] for x in ODD} and all(r.copies in [x[5] for x in ODD] for r in rows)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
