@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.stemming import stems
 from quern.functions.text import exploded_tokens, finite, split_words, tokens
-from quern.shared import cut, small
+from quern.shared import cut, small, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -31,7 +31,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
     begin with it, with ``stemmed`` for all of its stem, counted as one; both take a scan for the vocabulary before.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("asked"))
-    words = exploded_tokens(docs.select("doc_id", "text"))
+    words = exploded_tokens(spread(docs.select("doc_id", "text")))
     if stemmed:
         own = stems(asked.select("asked"), "asked")
         asked = asked.join(small(own), "asked").select("query_id", F.col("stem").alias("asked")).distinct()
@@ -83,7 +83,7 @@ def keywords(text: Column) -> Column:
 def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank) by the number of distinct query words that a document has, ties to smaller ids."""
     asked = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
-    held = docs.select("doc_id", F.explode(keywords(F.col("text"))).alias("word"))
+    held = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(keywords(F.col("text"))).alias("word"))
     met = held.join(small(asked), "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
     return top(met, k, "score", "doc_id")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import corpus as C
 from quern.plans.tables import DOCS, documents, queries, table
-from quern.shared import small
+from quern.shared import small, spread
 
 
 def _snapshots(spark, sf_dir):
@@ -198,7 +198,7 @@ def contamination(spark, sf_dir):
     """
     def runs(rows, key):
         """Each row's runs, its words being split once: places are exploded, then each run is joined from its words."""
-        words = rows.select(key, X.split_words(F.lower("text")).alias("_words"))
+        words = spread(rows.select(key, "text")).select(key, X.split_words(F.lower("text")).alias("_words"))
         starts = words.select(key, F.explode(F.transform(F.arrays_zip(*[F.slice("_words", k + 1, F.greatest(F.lit(1), F.size("_words") - 7)).alias(f"w{k}") for k in range(8)]), run)).alias("run"))
         return starts
 

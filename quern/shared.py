@@ -43,3 +43,9 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``rows`` rows; a larger one is shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where fewer files than cores hold them, as a file of one row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
