@@ -9,6 +9,7 @@ from quern.llm.line_dedup import OP4_SQL, op4_line_dedup
 from quern.llm.mixing import OP6_SQL, op6_mixing
 from quern.llm.nearest import op7_nearest
 from quern.llm.packing import op5_packing
+from quern.llm.runs import op11_periodic_runs
 from quern.llm.substrings import OP2_SQL, op2_substring_dedup
 from quern.llm.token_index import op9_token_index
 from quern.llm.toxicity import op10_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_token_index": op9_token_index,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
