@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quern.llm.decontamination import OP12_SQL, op12_decontamination
 from quern.llm.fingerprints import op1_fingerprints
 from quern.llm.html_text import op3_html_text
 from quern.llm.jaccard_join import OP8_SQL, op8_jaccard_join
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_token_index": op9_token_index,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontamination": op12_decontamination,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_mixing": OP6_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op12_decontamination": OP12_SQL,
 }
