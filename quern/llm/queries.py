@@ -11,6 +11,7 @@ from quern.llm.mixing import OP6_SQL, op6_mixing
 from quern.llm.nearest import op7_nearest
 from quern.llm.packing import op5_packing
 from quern.llm.runs import op11_periodic_runs
+from quern.llm.spelling import op13_spelling_variants
 from quern.llm.substrings import OP2_SQL, op2_substring_dedup
 from quern.llm.token_index import op9_token_index
 from quern.llm.toxicity import op10_toxicity
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_decontamination": op12_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": OP2_SQL,
