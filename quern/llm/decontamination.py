@@ -14,28 +14,36 @@ WINDOW = 10
 SMALL_WINDOWS, SMALL_BYTES, SMALL_BLOCKS = 200_000, 32 << 20, 2_000_000
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What becomes one space: all between words but single spaces.
+APART = BETWEEN + r"{2,}|[\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: A word of a spelled text with the space behind it.
 ONE = "(?:[^ ]++ )"
+#: No match is tried inside a word, or a long last one would be read once a letter.
+START = "(?<![^ ])"
 
 
 def spelled(text: Column) -> Column:
-    """The words of a text, A-Z lowered, with one space behind each."""
-    apart = F.btrim(F.regexp_replace(whole(text), BETWEEN + "+", " "), F.lit(" "))
-    lowered = F.when(F.length(apart) == F.octet_length(apart), F.lower(apart)).otherwise(F.translate(apart, UPPER, LOWER))
-    return F.when(F.length(apart) > 0, F.concat(lowered, F.lit(" "))).otherwise(F.lit(""))
+    """The words of a text, A-Z lowered, with one space behind each; a single space if there are none."""
+    text = whole(text)
+    lowered = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.concat(F.btrim(F.regexp_replace(lowered, APART, " "), F.lit(" ")), F.lit(" "))
+
+
+def count_words(words: Column) -> Column:
+    """The words of a spelled text: its spaces, but for one before an empty text's."""
+    return F.greatest(F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))), F.lit(0)) - (words == " ").cast("int")
 
 
 def grams(words: Column, n: int) -> Column:
     """All stretches of ``n`` words of a spelled text, in order."""
-    return F.regexp_extract_all(words, F.lit(f"(?=({ONE}{{{n}}}))[^ ]++ "), F.lit(1))
+    return F.regexp_extract_all(words, F.lit(f"{START}(?=({ONE}{{{n}}}))[^ ]++ "), F.lit(1))
 
 
 def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(n, window, item_id) once each: every ``window`` consecutive words of an item, or all of one that has fewer."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), spelled(F.col("text")).alias("_words")).where("_words <> ''")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), spelled(F.col("text")).alias("_words")).where("_words <> ' '")
     many = items.select("item_id", F.explode(grams(F.col("_words"), window)).alias("window")).withColumn("n", F.lit(window))
-    n = F.length(F.regexp_replace("_words", "[^ ]", ""))
-    few = items.withColumn("n", n.cast("int")).where(F.col("n") < window).select("item_id", F.col("_words").alias("window"), "n")
+    few = items.withColumn("n", count_words(F.col("_words"))).where(F.col("n") < window).select("item_id", F.col("_words").alias("window"), "n")
     return many.unionByName(few).select("n", "window", "item_id").distinct()
 
 
@@ -48,7 +56,7 @@ def _hits(texts: DataFrame, windows: DataFrame, n: int) -> DataFrame:
     """
     block = (n + 1) // 2
     s = n - block + 1
-    steps = F.regexp_extract_all("_words", F.lit(f"(?=({ONE}{{1,{s + n - 1}}})){ONE}{{1,{s}}}"), F.lit(1))
+    steps = F.regexp_extract_all("_words", F.lit(f"{START}(?=({ONE}{{1,{s + n - 1}}})){ONE}{{1,{s}}}"), F.lit(1))
     shared = F.regexp_extract("_stretch", f"^{ONE}{{{s - 1}}}({ONE}{{{block}}})", 1)
     known = windows.select(F.explode(grams(F.col("window"), block)).alias("_b")).select(F.xxhash64("_b").alias("_block")).distinct()
     near = (
@@ -93,10 +101,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         hits.select("_k1", "_k2", "_w1", "_w2").distinct().join(small(owners), ["_w1", "_w2"])
         .groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
-    counted = docs.select(*[F.col(f"`{c}`") for c in names], *key, F.regexp_count(text, F.lit(INSIDE + "+")).cast("long").alias("n_words"))
+    held = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]  # no name of the table clashes with those used here
+    counted = docs.select(*held, *key, spelled(F.col("text")).alias("_words")).withColumn("n_words", count_words(F.col("_words")).cast("long")).drop("_words")
     joined = counted.join(places.join(listed, ["_k1", "_k2"], "left"), ["_k1", "_k2"], "left")
     return joined.select(
-        *[F.col(f"`{c}`") for c in names], "n_words",
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "n_words",
         F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
@@ -106,11 +115,13 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Texts without hits stay as they are, null ones too.
     """
-    found = contamination(docs, benchmark, window).withColumn("_pieces", F.when(F.size("hit_words") > 0, F.regexp_extract_all("text", F.lit(f"{BETWEEN}*+{INSIDE}++"), F.lit(0))))
-    found = found.withColumn("_stay", F.when(F.col("_pieces").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "hit_words")))
-    rest = F.substring(F.col("text"), F.length(F.array_join("_pieces", "")) + 1, F.length("text"))
+    found = contamination(docs, benchmark, window)
+    pieces = F.when(F.size("hit_words") > 0, F.regexp_extract_all("text", F.lit(f"{BETWEEN}*+{INSIDE}++"), F.lit(0)))
+    cut_up = found.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("text").alias("_text"), "hit_words", pieces.alias("_pieces"))
+    cut_up = cut_up.withColumn("_stay", F.when(F.col("_pieces").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "hit_words")))
+    rest = F.substring(F.col("_text"), F.length(F.array_join("_pieces", "")) + 1, F.length("_text"))
     left = F.concat(F.array_join(F.transform("_stay", lambda k: F.get("_pieces", k)), ""), rest)
-    return found.select(*[F.when(F.col("_stay").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return cut_up.select(*[F.when(F.col("_stay").isNull(), F.col("_text")).otherwise(left).alias(c) if c == "text" else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

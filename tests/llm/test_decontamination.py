@@ -69,8 +69,8 @@ def test_edges(spark):
     assert got.count() == len(docs)
     assert rows(got) == plain(docs, items)
     assert rows(got)[1, docs[0][1]][2] == ["1", "10"]
-    clash = contamination(d.selectExpr("doc_id", "text", "'x' AS items", "1 AS `a.b`", "2 AS window"), b)
-    assert clash.columns == ["doc_id", "text", "a.b", "window", "n_words", "hit_words", "items"]
+    clash = contamination(d.selectExpr("doc_id", "text", "'x' AS items", "1 AS `a.b`", "2 AS _words", "3 AS _k1"), b)
+    assert clash.columns == ["doc_id", "text", "a.b", "_words", "_k1", "n_words", "hit_words", "items"]
     assert contamination(d.limit(0), b).count() == 0
     assert contamination(d, b.limit(0)).where("size(hit_words) > 0").count() == 0
     left = {(r.doc_id, r.text) for r in without_spans(d, b).collect()}
