@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluation as E
 from quern.operators import ranking as R
 from quern.plans.retrieval import KEYWORD, _Q, bm25_sql
-from quern.plans.tables import documents, queries, table
+from quern.plans.tables import document_index, documents, queries, table
 from quern.shared import cut
 from quern.streaming.events import sessions, tumbling
 
@@ -17,7 +17,7 @@ WEIGHTS = {"recall": 0.25, "temporal": 0.2, "entity": 0.2, "conceptual": 0.15, "
 def _legs(spark, sf_dir):
     """Two ranked legs, written, as a query and its gold read both."""
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
-    return cut(R.bm25(docs, asked, k=20)), cut(R.keyword_overlap(docs, asked))
+    return cut(document_index(spark, sf_dir).search(asked, k=20)), cut(R.keyword_overlap(docs, asked))
 
 
 def _gold(spark, sf_dir, found):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import STOP_WORDS, first_words, token_estimate
 from quern.operators import ranking as R
-from quern.plans.tables import DOCS, INTENTS, documents, queries, table
+from quern.plans.tables import DOCS, INTENTS, document_index, documents, queries, table
 from quern.shared import small
 
 _STOP = "[" + ", ".join(f"'{x}'" for x in STOP_WORDS) + "]"
@@ -45,7 +45,7 @@ KEYWORD = f"""keyword AS (
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir))
+    found = document_index(spark, sf_dir).search(queries(spark, sf_dir))
     return found.withColumn("normalised", F.round(R.normalised(F.col("score")), 6))
 
 
@@ -60,11 +60,21 @@ def _first(spark, sf_dir, n):
 
 
 def bm25_all_terms(spark, sf_dir):
-    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir), every_term=True)
+    return document_index(spark, sf_dir).search(queries(spark, sf_dir), every_term=True)
 
 
 def bm25_prefix(spark, sf_dir):
-    return R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir), every_term=True, prefix=True)
+    return document_index(spark, sf_dir).search(queries(spark, sf_dir), every_term=True, prefix=True)
+
+
+def bm25_first_words(spark, sf_dir):
+    """The first three words of each passage, as a user types them."""
+    return document_index(spark, sf_dir).search(_first(spark, sf_dir, 3))
+
+
+def bm25_postings_read(spark, sf_dir):
+    """What the index holds of each short query's terms and what its search reads."""
+    return document_index(spark, sf_dir).postings_read(_first(spark, sf_dir, 3))
 
 
 def keyword_overlap_topk(spark, sf_dir):
@@ -93,7 +103,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dista
 
 def _legs(spark, sf_dir):
     docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
-    return R.bm25(docs, asked, k=20), R.keyword_overlap(docs, asked)
+    return document_index(spark, sf_dir).search(asked, k=20), R.keyword_overlap(docs, asked)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -106,10 +116,11 @@ def bm25_primary_fusion(spark, sf_dir):
 
 def nway_rrf(spark, sf_dir):
     """Each passage as two sub-queries, its first 12 words and the rest: one list from both."""
-    docs, asked = documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir)
+    asked = queries(spark, sf_dir)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     rest = asked.select("query_id", F.array_join(F.slice(words, F.lit(13), F.size(words)), " ").alias("text"))
-    return R.rrf([R.bm25(docs, _first(spark, sf_dir, 12)), R.bm25(docs, rest)])
+    index = document_index(spark, sf_dir)
+    return R.rrf([index.search(_first(spark, sf_dir, 12)), index.search(rest)])
 
 
 _RRF = """fused AS (
@@ -214,8 +225,8 @@ def rerank_overlap(spark, sf_dir):
 
 
 def budget_pack(spark, sf_dir):
-    ranked = R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir))
-    sized = ranked.join(documents(spark, sf_dir).select("doc_id", token_estimate(F.col("text")).alias("tokens")), "doc_id")
+    index = document_index(spark, sf_dir)
+    sized = index.search(queries(spark, sf_dir)).join(index.docs, "doc_id")
     return R.within_budget(sized, "tokens", 3000).select("query_id", "doc_id", "rank", "tokens", "used")
 
 
@@ -232,7 +243,7 @@ def tier_router(spark, sf_dir):
 
 
 def usable_context(spark, sf_dir):
-    ranked = R.bm25(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir))
+    ranked = document_index(spark, sf_dir).search(queries(spark, sf_dir))
     shown = ranked.join(documents(spark, sf_dir).select("doc_id", F.left(F.regexp_replace("text", r"\s+", " "), F.lit(300)).alias("snippet")), "doc_id")
     return R.usable_context(shown, "snippet").select("query_id", "doc_id", "rank")
 
@@ -243,7 +254,7 @@ QUERIES = {
     "rrf_fusion": rrf_fusion, "bm25_primary_fusion": bm25_primary_fusion, "nway_rrf": nway_rrf, "boost_entity": boost_entity,
     "boost_procedural": boost_procedural, "boost_chunk_date": boost_chunk_date, "boost_date_path": boost_date_path, "boost_chain": boost_chain,
     "rerank_overlap": rerank_overlap, "budget_pack": budget_pack, "token_estimates": token_estimates, "tier_router": tier_router,
-    "usable_context": usable_context,
+    "usable_context": usable_context, "bm25_first_words": bm25_first_words, "bm25_postings_read": bm25_postings_read,
 }
 _TOKENS = f"CASE WHEN len({_WORDS}) = 0 THEN 0 ELSE greatest(1, floor(len({_WORDS}) * 1.3::DOUBLE)::BIGINT) END"
 _HALVES = [f"SELECT item_id AS query_id, array_to_string({_WORDS}{cut}, ' ') AS text FROM benchmark" for cut in ("[1:12]", "[13:]")]
@@ -252,6 +263,7 @@ ORACLE_SQL = {
     "bm25_collection_filter": f"WITH {bm25_sql(_Q, 'SELECT doc_id, text FROM documents WHERE source = ' + chr(39) + 'src1' + chr(39))} SELECT * FROM bm25",
     "bm25_all_terms": f"WITH {bm25_sql(_Q, every=True)} SELECT * FROM bm25",
     "bm25_prefix": f"WITH {bm25_sql(_Q, every=True, prefix=True)} SELECT * FROM bm25",
+    "bm25_first_words": f"WITH {bm25_sql(f'SELECT item_id AS query_id, array_to_string({_WORDS}[1:3], {chr(39)} {chr(39)}) AS text FROM benchmark')} SELECT * FROM bm25",
     "keyword_overlap_topk": f"WITH {KEYWORD} SELECT * FROM keyword",
     "vector_topk": _vector_sql(""),
     "vector_topk_filtered": _vector_sql("AND q.label = v.label"),

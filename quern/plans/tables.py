@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import content_hash
+from quern.functions.text import content_hash, token_estimate
+from quern.operators.inverted import Index, stored_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ DOCS = """docs AS (SELECT *, source || '/' || lang || '/' || doc_id || '.md' AS
   sha256(coalesce(text, '')) AS hash FROM documents)"""
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored inverted index of all documents, with each one's estimate of tokens; documents of a language and source share shards."""
+    return stored_index(table(spark, sf_dir, "documents"), "documents", ["lang", "source"], {"tokens": token_estimate(F.col("text"))})
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as a batch of queries."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
