@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelled = lists.flatten().dictionary_encode()
         words = spelled.dictionary.to_pylist()
         counted = np.array([len(x) >= 2 and x not in _STOP for x in words], bool)
-        doc = np.repeat(place, lists.value_lengths().to_numpy())
+        doc = np.repeat(place, pc.fill_null(lists.value_lengths(), 0).to_numpy())
         term = spelled.indices.to_numpy().astype(np.int64)
         keep = counted[term] if len(words) else np.zeros(0, bool)
         doc, term = doc[keep], term[keep]
