@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions.text import slugify
+from quern.operators import dictionary as D
 from quern.operators import graph as G
 from quern.plans.tables import table
 
@@ -99,7 +100,42 @@ def wikilink_injection(spark, sf_dir):
     return docs.select("doc_id", F.sha2(linked, 256).alias("linked_hash"))
 
 
+def named_entities(spark, sf_dir):
+    """Customers, and the names of parts and their second words, as entities with a page each."""
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    page = lambda folder, k: F.concat(F.lit(folder), k.cast("string"), F.lit(".md")).alias("vault_path")
+    none = F.lit(None).cast("array<string>").alias("aliases")
+    word = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
+    part = lambda name, tag: p.groupBy(name.alias("name")).agg(F.min("p_partkey").alias("k")).select(F.concat(F.lit(tag), "k").alias("id"), "name", none, page("tech/", F.col("k")))
+    people = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("name"), none, page("people/", F.col("c_custkey")))
+    return people.unionByName(part(F.col("p_name"), "p")).unionByName(part(word, "w").where("name <> ''"))
+
+
+def order_notes(spark, sf_dir):
+    """A note of each order: who asked for which parts; a third link the first part, a quarter are their customer's page, another archived."""
+    l, p, o, c = (table(spark, sf_dir, x) for x in ("lineitem", "part", "orders", "customer"))
+    lines = l.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("_l"))
+    names = F.transform("_l", lambda x: x["p_name"])
+    k = F.col("o_orderkey")
+    text = F.concat("c_name", F.lit(" asked for a "), F.array_join(names, ", a "), F.when(k % 3 == 0, F.concat(F.lit("; see [["), F.get(names, F.lit(0)), F.lit("]]."))).otherwise(F.lit(".")))
+    path = F.when(k % 4 == 0, F.concat(F.lit("people/"), F.col("o_custkey").cast("string"), F.lit(".md"))).when(k % 4 == 1, F.lit("a/archive/x.md")).otherwise(F.concat(F.lit("notes/"), k.cast("string"), F.lit(".md")))
+    rows = o.join(lines, k == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(k.alias("doc_id"), path.alias("path"), text.alias("text"))
+
+
+def named_in_notes(spark, sf_dir):
+    """How often each name of an entity is mentioned in notes, the longest of those that overlap."""
+    found = D.name_mentions(order_notes(spark, sf_dir), D.dictionary(named_entities(spark, sf_dir)))
+    return found.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("notes"))
+
+
+def note_links(spark, sf_dir):
+    """Notes with the first mention of each entity as a link."""
+    return D.linked_notes(order_notes(spark, sf_dir), named_entities(spark, sf_dir)).select("doc_id", "links", F.sha2("text", 256).alias("linked_hash"))
+
+
 QUERIES = {
+    "named_in_notes": named_in_notes, "note_links": note_links,
     "entity_in_degree": entity_in_degree, "graph_two_hop": graph_two_hop, "detach_delete": detach_delete, "edge_referential": edge_referential,
     "store_health": store_health, "kind_pivot": kind_pivot, "entity_resolution": entity_resolution, "entity_edges": entity_edges,
     "wikilink_mentions": wikilink_mentions, "wikilink_injection": wikilink_injection,
@@ -127,6 +163,12 @@ SELECT 'Organisation' AS entity_type, {_SLUG.format('name')} AS slug, min(name)
     "entity_edges": f"""{_G}, ids AS (SELECT lower(name) AS n, min(id) AS id FROM nodes GROUP BY 1)
 SELECT coalesce(a.id, {_SLUG.format('p_name')}) AS from_id, coalesce(b.id, {_SLUG.format('p_brand')}) AS to_id, 'MADE_BY' AS kind, min(p_partkey) AS source_doc
 FROM part LEFT JOIN ids a ON a.n = lower(p_name) LEFT JOIN ids b ON b.n = lower(p_brand) GROUP BY 1, 2""",
+    "named_in_notes": """WITH words AS (
+  SELECT l_orderkey AS doc_id, l_linenumber AS line, p_name, split_part(p_name, ' ', 2) AS word FROM lineitem JOIN part ON l_partkey = p_partkey),
+said AS (
+  SELECT doc_id, p_name AS name FROM words UNION ALL
+  SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey))
+SELECT name, count(*) AS n, count(DISTINCT doc_id) AS notes FROM said GROUP BY name""",
     "wikilink_mentions": """SELECT 'p' || q.p_partkey AS entity_id, count(DISTINCT l_orderkey) AS n
 FROM lineitem JOIN part p ON l_partkey = p.p_partkey JOIN part q ON lower(q.p_name) = lower(p.p_name) GROUP BY 1""",
 }
