@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import STOP_WORDS, tokens
 from quern.operators.ranking import K1, LEAST_IDF, B, top
-from quern.shared import cut, new_path, shared_dir, spread
+from quern.shared import cut, new_path, spread, stored
 
 #: Documents of a shard are at most two to this power; a block holds one term's postings in one shard.
 SHARD_BITS = 10
@@ -221,18 +219,5 @@ class Index:
 
 
 def stored_index(docs: DataFrame, name: str, cluster: list[str] | None = None, keep: dict[str, Column] | None = None) -> Index:
-    """The index of ``docs`` that the shared folder holds, or a new one where its files have changed since, or ``name`` is new.
-
-    The files' paths, lengths and times stand for their content, as for a scan of the folder.
-    """
-    spark = docs.sparkSession
-    files = spark.read.format("binaryFile").load(docs.inputFiles()).select("path", "length", F.col("modificationTime").cast("string").alias("at"))
-    state = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "at").cast("decimal(38,0)"))).first()
-    key = hashlib.sha256(repr((name, cluster, sorted(keep or {}), tuple(state))).encode()).hexdigest()[:32]
-    pointer = f"{shared_dir(spark).rstrip('/')}/index-of-{key}"
-    try:
-        return Index(spark, spark.read.schema("path string").parquet(pointer).first().path)
-    except AnalysisException:  # none is there
-        built = build_index(docs, cluster, keep)
-        spark.createDataFrame([(built.path,)], "path string").coalesce(1).write.mode("ignore").parquet(pointer)
-        return built
+    """The index of ``docs`` that the shared folder holds, or a new one where its files have changed since, or ``name`` is new."""
+    return Index(docs.sparkSession, stored(docs, repr((name, cluster, sorted(keep or {}))), lambda: build_index(docs, cluster, keep).path))

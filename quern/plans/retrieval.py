@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import STOP_WORDS, first_words, token_estimate
 from quern.operators import ranking as R
+from quern.operators.cells import stored_cells
 from quern.plans.tables import DOCS, INTENTS, document_index, documents, queries, table
 from quern.shared import small
 
@@ -92,6 +93,22 @@ def vector_topk_filtered(spark, sf_dir):
     return R.vector_top(vectors, vectors.where(F.col("vec_id") % 20 == 0), same="label")
 
 
+def cells_topk(spark, sf_dir):
+    """The nearest rows of the same queries, from the stored cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return stored_cells(vectors, "embeddings").search(vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def cells_report(spark, sf_dir):
+    """Cells searched a query, the part of the exact neighbours that they give, and the part of the table that they hold."""
+    vectors = table(spark, sf_dir, "embeddings")
+    cells, asked = stored_cells(vectors, "embeddings"), vectors.where(F.col("vec_id") % 20 == 0)
+    exact = R.vector_top(vectors, asked).select("query_id", "vec_id")
+    found = cells.search(asked).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["query_id", "vec_id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return recall.join(cells.part_read(asked).agg(F.avg("part").alias("part_read"))).select(F.lit(cells.probes).alias("probes"), "recall", "part_read")
+
+
 def _vector_sql(where: str) -> str:
     return f"""
 WITH scored AS (
@@ -250,7 +267,7 @@ def usable_context(spark, sf_dir):
 
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_collection_filter": bm25_collection_filter, "bm25_all_terms": bm25_all_terms, "bm25_prefix": bm25_prefix,
-    "keyword_overlap_topk": keyword_overlap_topk, "vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered,
+    "keyword_overlap_topk": keyword_overlap_topk, "vector_topk": vector_topk, "cells_topk": cells_topk, "cells_report": cells_report, "vector_topk_filtered": vector_topk_filtered,
     "rrf_fusion": rrf_fusion, "bm25_primary_fusion": bm25_primary_fusion, "nway_rrf": nway_rrf, "boost_entity": boost_entity,
     "boost_procedural": boost_procedural, "boost_chunk_date": boost_chunk_date, "boost_date_path": boost_date_path, "boost_chain": boost_chain,
     "rerank_overlap": rerank_overlap, "budget_pack": budget_pack, "token_estimates": token_estimates, "tier_router": tier_router,

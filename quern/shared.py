@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,21 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over all cores where fewer files than cores hold them, as a file of one row group is read by one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def stored(df: DataFrame, name: str, build: Callable[[], str]) -> str:
+    """The path of what was built from ``df`` under ``name`` and is in the shared folder, or of what ``build`` makes where the table's files have changed since.
+
+    The files' paths, lengths and times stand for their content, as for a scan of the folder.
+    """
+    spark = df.sparkSession
+    files = spark.read.format("binaryFile").load(df.inputFiles()).select("path", "length", F.col("modificationTime").cast("string").alias("at"))
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "at").cast("decimal(38,0)"))).first()
+    key = hashlib.sha256(repr((name, tuple(state))).encode()).hexdigest()[:32]
+    pointer = f"{shared_dir(spark).rstrip('/')}/stored-{key}"
+    try:
+        return spark.read.schema("path string").parquet(pointer).first().path
+    except AnalysisException:  # none is there
+        path = build()
+        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("ignore").parquet(pointer)
+        return path
