@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions import text as X
 from quern.operators import corpus as C
 from quern.plans.tables import DOCS, documents, queries, table
-from quern.shared import small, spread
+from quern.shared import new_path, small, spread
+from quern.streaming.store import Store
 
 
 def _snapshots(spark, sf_dir):
@@ -248,7 +249,22 @@ for _p, _to in [
 _RUNS8 = "list_distinct(list_transform(range(1, greatest(len(words) - 7, 1) + 1), lambda i: array_to_string(words[i:i + 7], ' ')))"
 _LOW = "regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')"
 
+def order_store(spark, sf_dir):
+    """Orders upserted into a store: all, then a batch of other prices and deletions, and that batch again."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    store = Store(spark, new_path(spark, "orders"), "o_orderkey long, o_orderstatus string, o_totalprice double", ["o_orderkey"], 16)
+    k = F.col("o_orderkey")
+    changed = o.where((k % 10 == 0) | (k % 17 == 0)).select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"), (k % 17 == 0).alias("_deleted"))
+    return store, [store.apply(o, 0), store.apply(changed, 1), store.apply(changed, 2)]
+
+
+def store_upserts(spark, sf_dir):
+    """What the store holds after its batches."""
+    return order_store(spark, sf_dir)[0].rows()
+
+
 QUERIES = {
+    "store_upserts": store_upserts,
     "scan_diff": scan_diff, "scan_report": scan_report, "upsert_documents": upsert_documents, "soft_delete": soft_delete,
     "pending_chunks": pending_chunks, "latest_chunk_date": latest_chunk_date, "temporal_window_paths": temporal_window_paths,
     "exact_duplicates": exact_duplicates, "canonical_documents": canonical_documents, "near_duplicates_blocked": near_duplicates_blocked,
@@ -258,6 +274,8 @@ QUERIES = {
     "marker_sections": marker_sections, "keep_last_n": keep_last_n, "json_score_extract": json_fields,
 }
 ORACLE_SQL = {
+    "store_upserts": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 17 <> 0""",
     "scan_diff": f"{_SNAP} SELECT * FROM diff",
     "scan_report": f"{_SNAP} SELECT action, count(*) AS n FROM diff GROUP BY action",
     "upsert_documents": f"{_SNAP} SELECT * FROM seen UNION ALL SELECT * FROM known ANTI JOIN seen USING (collection, path)",

@@ -1,44 +1,36 @@
-"""Continuous ingest of markdown files into a versioned table of documents."""
+"""Continuous ingest of markdown files into a keyed table of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.corpus import upsert
 from quern.sources.files import FILE, with_path
+from quern.streaming.store import Store
 
+DOCUMENT = "collection string, path string, title string, text string, hash string, modified_at timestamp"
 
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the latest: the last writer wins."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col("hash").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+
+def documents_store(spark: SparkSession, table: str) -> Store:
+    """The table of documents under ``table``, keyed by collection and path."""
+    return Store(spark, table, DOCUMENT, ["collection", "path"])
 
 
 def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, collection: str, glob: str = "*.md") -> StreamingQuery:
-    """Upsert files of a folder, as they come, into versions of the table under ``table``, keyed by collection and path.
+    """Upsert files of a folder, as they come, into the table of documents under ``table``; of a path the last file counts.
 
-    Each batch writes a whole new version beside the last one, named by the batch, so that a repeated batch writes the
-    same version again and readers never see half of one. Deletions need a listing: see ``operators.corpus.soft_delete``.
+    Each batch rewrites only the partitions in which a document changes, under its own number, so that a repeated batch writes
+    the same and readers never see half of one. Deletions need a listing: see ``operators.corpus.soft_delete``.
     """
     files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = latest(with_path(batch, folder, collection), ["collection", "path"], "modified_at")
-        before = current(batch.sparkSession, table, number)
-        merged = rows if before is None else upsert(before, rows, ["collection", "path"])
-        merged.write.mode("overwrite").parquet(f"{table}/version={number:012d}")
+        documents_store(batch.sparkSession, table).apply(with_path(batch, folder, collection), number, ["modified_at", "hash"])
 
     return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The last version (before a number), or None if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(path):
-        return None
-    names = sorted(x.getPath().getName() for x in system.listStatus(path) if x.getPath().getName().startswith("version="))
-    names = [x for x in names if before is None or int(x.split("=")[1]) < before]
-    return spark.read.parquet(f"{table}/{names[-1]}") if names else None
+    """The documents after the last batch (before a number), or None if there is none."""
+    store = documents_store(spark, table)
+    return store.rows(before) if any(before is None or n < before for n in store.versions()) else None
