@@ -298,3 +298,20 @@ def sections(rows: DataFrame, marker: Column, order: str, by: str) -> DataFrame:
 def keep_last(rows: DataFrame, n: int, order: str, by: str, tie: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col(tie).desc())
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def overlapping_paths(given: DataFrame) -> DataFrame:
+    """(name, path, other_name, other_path, kind): owners of one path (``duplicates``, the smaller name as the other), and of a path inside another's (``overlaps``).
+
+    ``given`` is (name, path), a name once; slashes at the end don't count, empty and null paths are none. Each path meets those above
+    it by equality, a row for each of its parts, so no pair of paths is compared that doesn't overlap. A name's path held twice is one.
+    """
+    bare = given.select("name", "path", F.rtrim("path", F.lit("/")).alias("_bare")).where("_bare <> ''").distinct()
+    parts = F.split("_bare", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    inner = bare.select("name", "path", F.col("_bare").alias("_own"), F.explode(F.array_distinct(above)).alias("_bare"))
+    outer = bare.select(F.col("name").alias("other_name"), F.col("path").alias("other_path"), "_bare")
+    met = inner.join(outer, "_bare")
+    same = F.col("_own") == F.col("_bare")
+    kept = met.where((~same & (F.col("name") != F.col("other_name"))) | (same & (F.col("other_name") < F.col("name"))))
+    return kept.select("name", "path", "other_name", "other_path", F.when(same, "duplicates").otherwise("overlaps").alias("kind"))

@@ -227,3 +227,22 @@ def contradictions(scored: DataFrame, least: float = 0.45, scores: tuple[str, ..
         category = category.when(F.col(c) == best, c)
     kept = first.select("doc", "claim", "path", best.alias("score"), category.alias("category")).where(F.col("score") >= least)
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.col("score").desc(), "path")))
+
+
+def drift_gates(runs: DataFrame, most: float = 0.5, floor: float = 100.0) -> DataFrame:
+    """(workload, kind, iteration, baseline, value, slope): the first iteration at which a repeated workload fails a gate.
+
+    ``runs`` are (workload, iteration, ms, signature). The first iteration is the baseline. ``time_drift`` is a later one that takes
+    over ``1 + most`` times as long, unless the baseline is below ``floor``, where noise rules; ``slope`` is the growth an iteration by
+    least squares. ``signature_mismatch`` is a later one with another result. One row a workload and gate that fails; times
+    are null for signatures. Of an iteration that is there twice the smallest time and signature count; a null time fails nothing.
+    """
+    each = runs.groupBy("workload", "iteration").agg(F.min("ms").alias("ms"), F.min("signature").alias("signature"))
+    first = each.groupBy("workload").agg(F.min_by(F.struct("iteration", "ms", "signature"), "iteration").alias("_b"), F.regr_slope("ms", "iteration").alias("slope"))
+    later = each.join(first, "workload").where(F.col("iteration") > F.col("_b.iteration"))
+    slow = later.where((F.col("_b.ms") >= floor) & (F.col("ms") > F.col("_b.ms") * (1 + most)))
+    slow = slow.groupBy("workload").agg(F.min_by(F.struct("iteration", F.col("_b.ms").alias("baseline"), F.col("ms").alias("value"), "slope"), "iteration").alias("_r"))
+    other = later.where(~F.col("signature").eqNullSafe(F.col("_b.signature"))).groupBy("workload").agg(F.min("iteration").alias("iteration"))
+    none = F.lit(None).cast("double")
+    return slow.select("workload", F.lit("time_drift").alias("kind"), "_r.iteration", "_r.baseline", "_r.value", "_r.slope").unionByName(
+        other.select("workload", F.lit("signature_mismatch").alias("kind"), "iteration", none.alias("baseline"), none.alias("value"), none.alias("slope")))

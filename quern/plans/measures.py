@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import first_words
+from quern.operators import corpus as C
 from quern.operators import evaluation as E
 from quern.operators import ranking as R
-from quern.plans.retrieval import KEYWORD, _Q, bm25_sql
+from quern.operators.timeline import timeline, write_chunks
+from quern.plans.retrieval import KEYWORD, _Q, _WORDS, _tokens, bm25_sql
 from quern.plans.tables import document_index, documents, queries, table
-from quern.shared import cut
+from quern.shared import cut, new_path
 from quern.streaming.events import sessions, tumbling
 
 WEIGHTS = {"recall": 0.25, "temporal": 0.2, "entity": 0.2, "conceptual": 0.15, "multi_hop": 0.1, "procedural": 0.1}
@@ -113,7 +117,42 @@ def top_values(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.floor("value").alias("whole")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "whole").limit(15)
 
 
+def _dated(spark, sf_dir):
+    """Documents dated by events, and passages' first six words asked for on a day, or in its month, or on a day long gone."""
+    days = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("day"))
+    chunks = table(spark, sf_dir, "documents").join(days, F.col("doc_id") == F.col("event_id")).select(F.col("doc_id").alias("chunk_id"), "text", F.col("day").alias("chunk_date"))
+    said = F.when(F.col("query_id") % 5 == 0, F.lit("1999-01-01")).when(F.col("query_id") % 2 == 0, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "yyyy-MM"))
+    asked = queries(spark, sf_dir).join(days, F.col("query_id") == F.col("event_id")).select("query_id", first_words(F.col("text"), 6).alias("text"), said.alias("said"))
+    return chunks, asked
+
+
+def timeline_topk(spark, sf_dir):
+    """The best documents of each query's time, or of all where that has none; documents are stored by day."""
+    chunks, asked = _dated(spark, sf_dir)
+    path = new_path(spark, "days")
+    write_chunks(chunks, path)
+    stored = spark.read.schema("chunk_id long, text string, chunk_date date").parquet(path)
+    other = document_index(spark, sf_dir).search(asked.select("query_id", "text"))
+    return timeline(asked.select("query_id", F.concat_ws(" ", "text", "said").alias("text"), F.lit("2026-01-01").cast("date").alias("as_of")), stored, other)
+
+
+def drift_report(spark, sf_dir):
+    """Users as workloads, their events in order as iterations, values as times and kinds as results."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("workload"), "event_id", (F.col("value") * 10).alias("ms"), F.col("event_type").alias("signature"))
+    runs = e.withColumn("iteration", F.row_number().over(Window.partitionBy("workload").orderBy("event_id")))
+    found = E.drift_gates(runs)
+    return found.select("workload", "kind", "iteration", *[F.round(c, 6).alias(c) for c in ("baseline", "value", "slope")])
+
+
+def path_overlaps(spark, sf_dir):
+    """Paths of lines, some below others of the same part: how many overlap, by kind."""
+    line = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"), "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    path = F.when(F.col("l_linenumber") == 1, F.concat_ws("/", "l_partkey", "l_orderkey")).otherwise(F.concat_ws("/", "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber"))
+    return C.overlapping_paths(line.select("name", path.alias("path"))).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
+
+
 QUERIES = {
+    "timeline_topk": timeline_topk, "drift_report": drift_report, "path_overlaps": path_overlaps,
     "retrieval_metrics": retrieval_metrics, "category_weighted_total": category_weighted_total, "baseline_compare": baseline_compare,
     "pooled_results": pooled_results, "latency_stats": latency_stats, "mean_concurrency": mean_concurrency, "largest_remainder": largest_remainder,
     "stratified_sample": stratified_sample, "majority_votes": majority_votes, "recall_gate": recall_gate, "events_tumbling": events_tumbling,
@@ -122,6 +161,39 @@ QUERIES = {
 _W = ", ".join(f"('{k}', {v})" for k, v in WEIGHTS.items())
 _PLACE = "greatest(1, least(len(v), CAST(round_even(len(v) * {p} / 100.0::DOUBLE, 0) AS BIGINT)))"
 ORACLE_SQL = {
+    "timeline_topk": f"""WITH days AS (SELECT event_id, CAST(ts AS DATE) AS day FROM events),
+asked_text AS (
+  SELECT item_id AS query_id, array_to_string({_WORDS}[1:6], ' ') AS text,
+         CASE WHEN item_id % 5 = 0 THEN DATE '1999-01-01' WHEN item_id % 2 = 0 THEN day ELSE date_trunc('month', day)::DATE END AS lo,
+         CASE WHEN item_id % 5 = 0 THEN DATE '1999-01-01' WHEN item_id % 2 = 0 THEN day ELSE last_day(day) END AS hi
+  FROM benchmark JOIN days ON event_id = item_id),
+asked_terms AS (SELECT DISTINCT query_id, unnest({_tokens('text')}) AS term FROM asked_text),
+near AS (SELECT q.query_id, d.doc_id AS chunk_id, {_tokens('d.text')} AS terms FROM asked_text q JOIN days ON day BETWEEN lo AND hi JOIN documents d ON d.doc_id = event_id),
+totals_near AS (SELECT query_id, count(*) AS n, avg(len(terms)) AS mean FROM near GROUP BY query_id),
+tf_near AS (SELECT query_id, chunk_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT query_id, chunk_id, len(terms) AS dl, unnest(terms) AS term FROM near) GROUP BY query_id, chunk_id, term),
+df_near AS (SELECT query_id, term, count(*) AS df FROM tf_near GROUP BY query_id, term),
+scored_near AS (
+  SELECT query_id, chunk_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+  FROM tf_near JOIN asked_terms USING (query_id, term) JOIN df_near USING (query_id, term) JOIN totals_near USING (query_id) GROUP BY query_id, chunk_id),
+best_near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored_near) WHERE rank <= 10),
+{bm25_sql('SELECT query_id, text FROM asked_text')}
+SELECT query_id, chunk_id, score, rank, false AS fell_back FROM best_near
+UNION ALL SELECT query_id, doc_id, score, rank, true FROM bm25 WHERE query_id NOT IN (SELECT query_id FROM best_near)""",
+    "drift_report": """WITH runs AS (
+  SELECT CAST(user_id AS VARCHAR) AS workload, value * 10 AS ms, event_type AS signature, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS iteration FROM events),
+base AS (
+  SELECT workload, max(ms) FILTER (iteration = 1) AS b_ms, max(signature) FILTER (iteration = 1) AS b_sig, regr_slope(ms, iteration) AS slope FROM runs GROUP BY workload),
+later AS (SELECT r.*, b_ms, b_sig, slope FROM runs r JOIN base USING (workload) WHERE iteration > 1),
+slow AS (SELECT workload, iteration, b_ms, ms, slope, row_number() OVER (PARTITION BY workload ORDER BY iteration) AS k FROM later WHERE b_ms >= 100 AND ms > b_ms * 1.5)
+SELECT workload, 'time_drift' AS kind, iteration, round(b_ms, 6) AS baseline, round(ms, 6) AS value, round(slope, 6) AS slope FROM slow WHERE k = 1
+UNION ALL SELECT workload, 'signature_mismatch', min(iteration), NULL, NULL, NULL FROM later WHERE signature IS DISTINCT FROM b_sig GROUP BY workload""",
+    "path_overlaps": """WITH p AS (
+  SELECT l_orderkey || '-' || l_linenumber AS name,
+         CASE WHEN l_linenumber = 1 THEN l_partkey || '/' || l_orderkey ELSE l_partkey || '/' || l_orderkey || '/' || l_suppkey || '/' || l_linenumber END AS path,
+         l_partkey || '/' || l_orderkey AS top FROM lineitem),
+met AS (SELECT a.name, 'overlaps' AS kind FROM p a JOIN p b ON b.path = a.top AND a.path <> b.path
+  UNION ALL SELECT a.name, 'duplicates' FROM p a JOIN p b ON a.path = b.path AND b.name < a.name)
+SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM met GROUP BY kind""",
     "retrieval_metrics": f"WITH {_GOLD} SELECT * FROM scores",
     "category_weighted_total": f"""WITH {_GOLD}, total AS (SELECT round(sum(mean * w) / 1.0::DOUBLE, 6) AS total FROM means JOIN (VALUES {_W}) t(category, w) USING (category))
 SELECT round(total, 5) AS total, {', '.join(f'total >= {v} AS {k}' for k, v in E.PHASES.items())} FROM total""",
