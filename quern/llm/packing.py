@@ -16,8 +16,9 @@ from quern.llm.tokens import ByteEncoder, Encoder, public
 from quern.llm.words import mixed
 
 CAPACITY = 2048
-#: A configuration that fills less than this part is not rounded up from the program but solved again with the rest.
-FULL = 0.98
+#: What is tried in turn until a plan reaches the bound of all tokens: how full a configuration is that is rounded up from the program, one less
+#: full being solved again with the rest, and the part of all tokens, in the shortest pieces, that is held back to fill gaps with.
+TRIES = ((0.98, 0.003), (0.995, 0.0), (0.999, 0.003), (0.9995, 0.01), (0.98, 0.0))
 #: Above 1, so that of two full configurations the one of fewer, longer pieces is dearer and short ones are left to fill with.
 POWER = 1.1
 #: A configuration: (length, how many of it) pairs, and how many sequences are packed so.
@@ -75,9 +76,11 @@ def fractional(demand: np.ndarray, capacity: int, part: float, rate: float = 1.0
     return chosen
 
 
-def best_fit(demand: np.ndarray, capacity: int) -> Packed:
-    """Best-fit decreasing on counts: whole groups of like sequences take a length at a time."""
+def best_fit(demand: np.ndarray, capacity: int, begun: Packed = ()) -> Packed:
+    """Best-fit decreasing on counts, into the sequences ``begun`` first: whole groups of like sequences take a length at a time."""
     rooms: dict[int, list[list]] = {}
+    for config, sequences in begun:
+        rooms.setdefault(capacity - sum(n * k for n, k in config), []).append([config, sequences])
     for n in range(capacity, 0, -1):
         left = int(demand[n]) if n < len(demand) else 0
         while left:
@@ -103,11 +106,31 @@ def best_fit(demand: np.ndarray, capacity: int) -> Packed:
 def solve(demand: np.ndarray, capacity: int = CAPACITY, part: float = 0.25, phases: int = 12) -> tuple[Packed, int]:
     """(plan, sequences of it that the program gave) for ``demand[n]`` pieces of each length n.
 
+    A part of all tokens, in the shortest pieces, is held back from the program; best fit fills the gaps of its sequences with them
+    and packs what rounding left. Of ``TRIES`` the first with the fewest sequences counts; at the bound of all tokens no more
+    are made. Only counts of at most ``capacity`` lengths are used, however many pieces there are.
+    """
+    count = lambda plan: sum(n for _, n in plan)
+    tokens = np.arange(len(demand)) * demand
+    best = None
+    for full, part_held in TRIES:
+        held = np.where(np.cumsum(tokens) <= part_held * tokens.sum(), demand, 0)
+        packed, left = programmed(demand - held, capacity, full, part, phases)
+        plan = best_fit(left + held, capacity, packed), count(packed)
+        if best is None or count(plan[0]) < count(best[0]):
+            best = plan
+        if count(best[0]) <= -(-int(tokens.sum()) // capacity):
+            break
+    return best
+
+
+def programmed(demand: np.ndarray, capacity: int, fill: float, part: float, phases: int) -> tuple[Packed, np.ndarray]:
+    """(sequences that the program gives, pieces left).
+
     The program's solution is rounded down, then up where whole sequences still fit the demand, the largest fractions
-    first. What is left is a smaller program of its own, with whole steps, until a phase adds nothing; best fit packs the
-    residue. Only counts of at most ``capacity`` lengths are used, however many pieces there are.
+    first. What is left is a smaller program of its own, with whole steps, until a phase adds nothing.
     """
-    left, packed, given = demand.astype(np.int64).copy(), [], 0
+    left, packed = demand.astype(np.int64).copy(), []
 
     def take(config: tuple[tuple[int, int], ...], most: int) -> int:
         sequences = min([most, *(int(left[n]) // k for n, k in config)])
@@ -120,13 +143,12 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY, part: float = 0.25, phas
     for phase in range(phases):
         chosen = fractional(left, capacity, 1.0 if phase else part, slack=0.0 if phase else 0.01)
         by_fill = sorted(chosen.items(), key=lambda x: -sum(n * k for n, k in x[0]))
-        full = [(c, x) for c, x in by_fill if phase + 1 == phases or sum(n * k for n, k in c) >= FULL * capacity]
+        full = [(c, x) for c, x in by_fill if phase + 1 == phases or sum(n * k for n, k in c) >= fill * capacity]
         done = sum(take(config, int(x + 1e-9)) for config, x in full)
         done += sum(take(config, 1) for config, x in sorted(full, key=lambda x: -(x[1] % 1)) if x % 1 > 1e-9)
-        given += done
         if not done or not left.any():
             break
-    return packed + best_fit(left, capacity), given
+    return packed, left
 
 
 def places(packed: Packed, capacity: int) -> dict[int, np.ndarray]:

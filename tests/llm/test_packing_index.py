@@ -180,3 +180,19 @@ def test_perfect_hash_is_minimal(n):
     h = key_hash(np.arange(n) * 7919, np.zeros(n), np.zeros(n, bool))
     _, slots = build_index(h)
     assert sorted(slots.tolist()) == list(range(n))
+
+
+def test_no_more_sequences_than_best_fit(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    demand = np.zeros(CAPACITY + 1, np.int64)
+    for row in pieces(docs, ByteEncoder(public("byte_bpe_50k.json"))).groupBy("length").count().collect():
+        demand[row["length"]] = row["count"]
+    packed, given = solve(demand)
+    made = sum(n for _, n in packed)
+    assert made <= sum(n for _, n in best_fit(demand, CAPACITY)) and given >= 0.9 * made
+    filled = np.zeros_like(demand)
+    for config, n in packed:
+        assert sum(length * k for length, k in config) <= CAPACITY
+        for length, k in config:
+            filled[length] += k * n
+    assert (filled == demand).all()
