@@ -167,7 +167,7 @@ class Block:
     n: int
     features: frozenset[str]
     tags: list[tuple[str, int]]
-    holders: tuple[int, ...] = ()
+    holder: int = 0
     story: bool = False
     main: bool = False
 
@@ -178,7 +178,8 @@ class _Place:
 
     total: int
     features: Counter = field(default_factory=Counter)
-    holders: list[int] = field(default_factory=lambda: [0])  # the page itself is the first
+    holders: list[int] = field(default_factory=lambda: [0])  # those open; the page itself is the first
+    held: dict[int, tuple[int, int]] = field(default_factory=dict)  # the first and the end of each one's blocks
     links: int = 0
     stories: int = 0
     mains: int = 0
@@ -190,7 +191,7 @@ class _Place:
             found += [f"name {x}" for x in e.names]
         return found
 
-    def step(self, e: Element, by: int) -> None:
+    def step(self, e: Element, by: int, n_blocks: int) -> None:
         for f in self.of(e):
             self.features[f] += by
             if not self.features[f]:
@@ -202,12 +203,19 @@ class _Place:
             if by > 0:
                 self.seen += 1
                 self.holders.append(self.seen if e.tag not in _STORY else -self.seen)
+                self.held[self.holders[-1]] = (n_blocks, n_blocks)
             else:
-                self.holders.pop()
+                holder = self.holders.pop()
+                self.held[holder] = (self.held[holder][0], n_blocks)
 
 
 def blocks(items: list[tuple[str, object]]) -> list[Block]:
     """The page's blocks with the features of their place and shape, and the tags that stand before each."""
+    return placed(items)[0]
+
+
+def placed(items: list[tuple[str, object]]) -> tuple[list[Block], dict[int, tuple[int, int]]]:
+    """The page's blocks, and of each holder, known by its number (of a story below 0, of the page 0), the first block in it and the end of them."""
     found: list[Block] = []
     place = _Place(sum(len(x.split()) for kind, x in items if kind == "text"))
     parts: list[str] = []
@@ -219,13 +227,13 @@ def blocks(items: list[tuple[str, object]]) -> list[Block]:
         nonlocal parts, n, linked, tags, at
         joined = " ".join("".join(parts).split())
         if joined:
-            features, holders, story, main = at
+            features, holder, story, main = at
             shape = {"links most" if linked > 0.6 * n else "links few"}
             if n >= 8:  # fewer words, a heading or a short answer, tell nothing by their end
                 shape.add("sentences" if _SENTENCE.search(joined) else "no sentence")
             if _RIGHTS.match(joined):
                 shape.add("right to copy")
-            found.append(Block(joined, n, features | shape, tags, holders, story, main))
+            found.append(Block(joined, n, features | shape, tags, holder, story, main))
             tags = []
         parts, n, linked, at = [], 0, 0, None
 
@@ -233,7 +241,7 @@ def blocks(items: list[tuple[str, object]]) -> list[Block]:
         if kind == "text":
             words = len(value.split())
             if words and not n:
-                at = (frozenset(place.features), tuple(place.holders[-MOST_HOLDERS:]), place.stories > 0, place.mains > 0)
+                at = (frozenset(place.features), place.holders[-1], place.stories > 0, place.mains > 0)
             parts.append(value)
             n += words
             linked += words * (place.links > 0)
@@ -243,17 +251,15 @@ def blocks(items: list[tuple[str, object]]) -> list[Block]:
             close()
         tags.append((f"/{tag}" if kind == "close" else tag, 0 if kind == "mark" else value.words))
         if kind != "mark":
-            place.step(value, 1 if kind == "open" else -1)
+            place.step(value, 1 if kind == "open" else -1, len(found))
     close()
-    return found
+    return found, place.held | {0: (0, len(found))}
 
 
 #: Words that one unit of a tag's log odds weighs.
 TAG_WORDS = 1.5
 #: A holder belongs to the region if it holds at most so many times its words.
 WIDEN = 1.5
-#: Open holders that a block remembers, the innermost; deeper nests look no further out.
-MOST_HOLDERS = 64
 
 
 @dataclass
@@ -325,20 +331,21 @@ def main_text(html: str, weights: Weights) -> str:
     that holds the region, else to its innermost holder, if that holds little more, or to what stands in it directly, so
     that an end which an advert cuts off stays.
     """
-    found = blocks(parse(html))
+    found, held_by = placed(parse(html))
     words, costs, fine = scored(found, weights)
     start, end = best_region([x for w, c in zip(words, costs, strict=True) for x in (-c, w)])
     if not end:
         return ""
     start, end = start // 2, (end + 1) // 2  # a best run begins and ends with words
-    shared = set(found[start].holders).intersection(*(b.holders for b in found[start:end]))
+    shared = [h for h, (first, last) in held_by.items() if first <= start and end <= last]
     holder = max((h for h in shared if h < 0), default=max(shared, default=0))
+    first, last = held_by[holder]
     region = sum(b.n for b, ok in zip(found[start:end], fine[start:end], strict=True) if ok)
-    held = sum(b.n for b, ok in zip(found, fine, strict=True) if ok and holder in b.holders)
+    held = sum(b.n for b, ok in zip(found[first:last], fine[first:last], strict=True) if ok)
     deep = holder < 0 or (holder > 0 and held <= WIDEN * region)
     kept = []
     for k, b in enumerate(found):
-        own = holder in b.holders if deep else holder == b.holders[-1]
+        own = first <= k < last if deep else holder == b.holder
         inside = start <= k < end
         if (inside or own) and fine[k]:
             kept.append(b.text)

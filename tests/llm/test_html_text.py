@@ -101,3 +101,10 @@ def test_broken_pages_take_linear_time(unit):
     began = time.time()
     main_text(unit * (300_000 // len(unit)))
     assert time.time() - began < 8
+
+
+def test_deep_nests_keep_the_story_whole():
+    story = " ".join(f"The keeper of the light wrote the {k} of his letters to the town and waited for an answer." for k in range(12))
+    for n in (10, 70, 400):
+        page = f"<html><body><nav><a href=x>Home</a></nav><article><p>A first line opens the tale.</p><div class=ad>Buy now!</div>{'<div>' * n}<p>{story}</p>{'</div>' * n}<p>It ends here.</p></article><footer>Copyright</footer></body></html>"
+        assert main_text(page) == f"A first line opens the tale. {story} It ends here."
