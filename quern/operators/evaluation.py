@@ -210,7 +210,7 @@ def template_queries(titles: DataFrame, quotas: DataFrame, by: str) -> DataFrame
     asked = quotas.where(F.col("category").isin(list(TEMPLATES))).join(recall, by)
     skip = F.when(F.col("category") == "conceptual", F.col("_recall")).otherwise(0)
     words = F.create_map(*[F.lit(x) for pair in TEMPLATES.items() for x in pair])
-    met = titles.join(F.broadcast(asked), by).where((F.col("place") > skip) & (F.col("place") <= skip + F.col("quota")))
+    met = titles.join(small(asked), by).where((F.col("place") > skip) & (F.col("place") <= skip + F.col("quota")))
     return met.select(by, "category", (F.col("place") - skip).alias("number"), F.concat(words[F.col("category")], F.regexp_replace("title", "[-_]", " ")).alias("query"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluation as E
 from quern.operators import matching as M
 from quern.plans.tables import table
+from quern.shared import cut
 
 
 def _asked(spark, sf_dir):
@@ -107,8 +108,10 @@ def template_queries(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("the_title-"), F.col("doc_id").cast("string")).alias("title"), "doc_id")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    titles = docs.withColumn("place", place).where(F.col("place") <= 200)
-    return E.template_queries(titles, query_quotas(spark, sf_dir), "source")
+    quotas = cut(query_quotas(spark, sf_dir))
+    # a category takes its quota of titles, or the recall's and its own
+    most = 2 * (quotas.agg(F.max("quota")).first()[0] or 0)
+    return E.template_queries(docs.withColumn("place", place).where(F.col("place") <= most), quotas, "source")
 
 
 def contradictions(spark, sf_dir):
@@ -179,7 +182,7 @@ WHERE coalesce(mean, 0) < gate""",
     "bottlenecks": """WITH p AS (SELECT user_id, round(max(value), 1) AS p95, round(avg(value) / 10, 2) AS mc, count(*) FILTER (event_type = 'error' AND value > 95) AS throttled, user_id % 12 AS requested FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN throttled > 0 THEN 'rate_limit' WHEN requested >= 5 AND mc < requested * 0.6::DOUBLE THEN 'worker_contention' WHEN p95 > 80 AND requested <= 2 THEN 'deployment_or_network' WHEN p95 > 80 THEN 'pool_or_cache' END AS bottleneck FROM p""",
     "query_quotas": f"WITH {_QUOTAS} SELECT source, unnest(['recall', 'conceptual', 'procedural', 'temporal', 'entity', 'multi_hop']) AS category, unnest([recall, conceptual, procedural, temporal, entity, multi_hop]) AS quota FROM all_quotas",
-    "template_queries": f"""WITH {_QUOTAS}, titles AS (SELECT * FROM (SELECT source, 'the title ' || doc_id AS readable, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents) WHERE place <= 200),
+    "template_queries": f"""WITH {_QUOTAS}, titles AS (SELECT * FROM (SELECT source, 'the title ' || doc_id AS readable, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents)),
 each AS (
   SELECT source, place, 'recall' AS category, readable AS query, recall AS n, 0 AS skip FROM titles JOIN all_quotas USING (source)
   UNION ALL SELECT source, place, 'conceptual', 'explain the concept of ' || readable, conceptual, recall FROM titles JOIN all_quotas USING (source)
