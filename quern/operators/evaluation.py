@@ -90,10 +90,34 @@ def largest_remainder(groups: DataFrame, total: int, weight: str, key: str) -> D
     return exact.select(key, (F.col("_whole") + more.cast("long")).alias("share"))
 
 
+#: Rows of the same first digits of their hash that are ranked one by one at most.
+FEW = 10_000
+
+
 def stratified(rows: DataFrame, shares: DataFrame, by: str, key: str) -> DataFrame:
-    """So many rows of each group as its share, those with the smallest hash of their key; the same in every run."""
-    order = Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string")), key)
-    return rows.withColumn("_n", F.row_number().over(order)).join(shares, by).where(F.col("_n") <= F.col("share")).drop("_n", "share")
+    """So many rows of each group as its share, those with the smallest hash of their key; the same in every run.
+
+    No group is sorted. Rows are counted by the first three digits of their hash, and the digits are found within which the share
+    ends; only those are counted again by three digits more, until few rows are left, or no digits. All rows of smaller
+    digits are taken, and of those few the first.
+    """
+    hashed = rows.withColumn("_h", F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")))
+    edges = shares.where(F.col("share") > 0).select(by, F.lit("").alias("_prefix"), F.col("share").cast("long").alias("_rest"))
+    for digits in range(0, 32, 3):
+        inside = hashed.select(by, "_h").join(edges, by).where(F.startswith("_h", "_prefix"))
+        counts = inside.groupBy(by, "_prefix", "_rest", F.substring(F.col("_h"), F.lit(digits + 1), F.lit(3)).alias("_next")).agg(F.count("*").alias("_n"))
+        so_far = F.sum("_n").over(Window.partitionBy(by).orderBy("_next"))  # at most 4097 rows a group
+        ends = counts.withColumn("_to", so_far).where(F.col("_to") >= F.col("_rest"))
+        first = ends.groupBy(by).agg(F.min_by(F.struct(F.concat("_prefix", "_next").alias("_prefix"), (F.col("_rest") - F.col("_to") + F.col("_n")).alias("_rest"), "_n"), "_next").alias("_e"))
+        # a group that ends before its share is taken whole: no digit is larger than g
+        edges = cut(edges.select(by).join(first, by, "left").select(by, F.coalesce("_e._prefix", F.lit("g")).alias("_prefix"), F.coalesce("_e._rest", F.lit(0)).alias("_rest"), F.coalesce("_e._n", F.lit(0)).alias("_n")))
+        if (edges.agg(F.max("_n")).first()[0] or 0) <= FEW:
+            break
+        edges = edges.drop("_n")
+    placed = hashed.join(edges.select(by, "_prefix", "_rest"), by)
+    here = F.startswith("_h", "_prefix")
+    few = placed.where(here).withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy("_h", key))).where(F.col("_k") <= F.col("_rest"))
+    return placed.where(~here & (F.col("_h") < F.col("_prefix"))).select(*rows.columns).unionByName(few.select(*rows.columns))
 
 
 def majority(votes: DataFrame, by: list[str], grade: str = "grade") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import components
+from quern.shared import numbered
 
 #: Edits in 100 letters that similar slugs may differ in, and the letters from which slugs are compared by length alone.
 EDITS, LONG = 15, 200
@@ -225,13 +226,12 @@ def folder_entities(documents: DataFrame) -> DataFrame:
     each = documents.where(F.col("active") == 1).select("path", F.inline(F.filter(found, lambda x: x["stem"] != "")))
     each = each.withColumn("name", shown_name(F.col("stem"))).withColumn("_key", F.lower("name"))
     first = F.struct("path", "rule")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("path", "rule"))
-    shown = each.withColumn("_place", place)
-    out = shown.groupBy("_key").agg(
-        F.min_by("name", first).alias("name"), F.min_by("entity_type", first).alias("entity_type"), F.min_by("confidence", first).alias("confidence"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("_place") <= 5, F.col("path")))), "|").alias("source_docs"), F.count("*").alias("n_docs"),
-    ).drop("_key")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("confidence").desc(), "name")))
+    few = each.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("path", "rule"))).where(F.col("_place") <= 5)
+    shown = few.groupBy("_key").agg(F.array_join(F.sort_array(F.collect_list("path")), "|").alias("source_docs"))
+    out = each.groupBy("_key").agg(
+        F.min_by("name", first).alias("name"), F.min_by("entity_type", first).alias("entity_type"), F.min_by("confidence", first).alias("confidence"), F.count("*").alias("n_docs"),
+    ).join(shown, "_key").drop("_key")
+    return numbered(out.withColumn("_down", -F.col("confidence")), "_down", "name").drop("_down")
 
 
 def named_in(name: Column, surface: Column, text: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.shared import small
+
 SCOPES = "shared agent shared+agent all-agents everything".split()
 
 
@@ -18,21 +20,22 @@ def resolve_scopes(requests: DataFrame, agents: DataFrame, shared: Sequence[str]
     ``agents`` is (agent, collections): one narrow row an agent. An agent that isn't registered has the collection that the
     pattern names. An empty registry is an error for scopes that need all agents.
     """
-    every = [c for row in agents.orderBy("agent").select("collections").collect() for c in row[0]]
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("agent", "collections"))), lambda x: x["collections"]))
+    every = agents.agg(F.coalesce(listed, F.array().cast("array<string>")).alias("_every"))  # one row
     wide = requests.where(F.col("scope").isin("all-agents", "everything"))
-    if not every and not wide.isEmpty():
+    if every.where(F.size("_every") == 0).count() and not wide.isEmpty():
         raise ValueError("scopes of all agents need a registry with agents")
     none = F.array().cast("array<string>")
     lists = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else none
     before, after = pattern.split("{agent}")
-    joined = requests.join(F.broadcast(agents.select("agent", F.col("collections").alias("_own"))), "agent", "left")
+    joined = requests.join(small(agents.select("agent", F.col("collections").alias("_own"))), "agent", "left").join(F.broadcast(every))
     own = F.when(F.coalesce("agent", F.lit("")) == "", none).otherwise(F.coalesce("_own", F.array(F.concat(F.lit(before), "agent", F.lit(after)))))
     found = (
         F.when(F.col("scope") == "shared", lists(shared)).when(F.col("scope") == "agent", own).when(F.col("scope") == "shared+agent", F.concat(lists(shared), own))
-        .when(F.col("scope") == "all-agents", lists(every)).when(F.col("scope") == "everything", lists([*shared, *every]))
+        .when(F.col("scope") == "all-agents", F.col("_every")).when(F.col("scope") == "everything", F.concat(lists(shared), F.col("_every")))
     )
     once = F.array_distinct(found)
-    return joined.withColumn("collections", F.when(F.size(once) > 0, once)).drop("_own")
+    return joined.withColumn("collections", F.when(F.size(once) > 0, once)).drop("_own", "_every")
 
 
 def budget_of(intent: Column) -> Column:

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast; each has a few columns of bounded width.
@@ -70,3 +70,13 @@ def stored(df: DataFrame, name: str, build: Callable[[], str]) -> str:
         path = build()
         spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("ignore").parquet(pointer)
         return path
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank``, the number of each row from 1 in that order, of which no two rows are equal: ranges are sorted apart and their sizes summed."""
+    bits = 33  # below them is a row's place in its partition
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", bits), F.col("_at").bitwiseAND(F.lit((1 << bits) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    return placed.withColumn("_part", part).withColumn("_place", place).join(F.broadcast(sizes.withColumn("_before", before)), "_part").withColumn("rank", F.col("_before") + F.col("_place") + 1).drop("_at", "_part", "_place", "_n", "_before")

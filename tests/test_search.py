@@ -174,3 +174,28 @@ def test_edges_with_null_labels_are_not_valid(spark):
     rows = [("a", "Person", "b", "Concept", "KNOWS"), ("a", None, "b", "Concept", "KNOWS"), ("a", "Person", "b", "Concept", None), ("a", "Person", " ", "Concept", "KNOWS")]
     good, bad = G.valid_edges(spark.createDataFrame(rows, "from_id string, from_label string, to_id string, to_label string, kind string"), ["KNOWS"])
     assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["no to_id", "unknown kind", "unknown label"]
+
+
+def test_samples_need_no_sorted_group(spark, monkeypatch):
+    import hashlib
+
+    from quern.operators import evaluation as E
+
+    rows = [("ab"[k % 7 == 0], k) for k in range(5000)] + [("c", 1), ("c", None), ("d", 5), (None, 6)]
+    shares = [("a", 40), ("b", 700), ("c", 5), ("d", 0), ("e", 3)]
+    df, wanted = spark.createDataFrame(rows, "g string, k long"), spark.createDataFrame(shares, "g string, share long")
+    order = lambda k: ("" if k is None else hashlib.md5(str(k).encode()).hexdigest(), k or 0)
+    expected = sorted((g, k or -1) for g, n in shares for k in sorted((k for h, k in rows if h == g), key=order)[:n])
+    for few in (E.FEW, 1):
+        monkeypatch.setattr(E, "FEW", few)
+        assert sorted((r.g, r.k or -1) for r in E.stratified(df, wanted, "g", "k").collect()) == expected
+    same = spark.createDataFrame([("a", 3)] * 50, "g string, k long")
+    assert E.stratified(same, wanted, "g", "k").count() == 40
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from quern.shared import numbered
+
+    got = numbered(spark.range(1000).selectExpr("(id * 37) % 1000 AS x").repartition(7), "x").collect()
+    assert sorted((r.x, r["rank"]) for r in got) == [(k, k + 1) for k in range(1000)]
+    assert numbered(spark.range(0), "id").count() == 0
