@@ -140,19 +140,10 @@ def embed_report(done: DataFrame) -> DataFrame:
 def topic_sections(text: Column, topic: Column) -> Column:
     """Sections of level 2 and 3 whose heading holds the topic, else up to 30 lines that do, else the first 2000 characters."""
     low = F.lower(topic)
-    lines = F.split(text, "\n")
-    empty = F.array().cast("array<array<string>>")
-
-    def step(found: Column, line: Column) -> Column:
-        heading = line.startswith("## ") | line.startswith("### ")
-        opened = F.when(F.contains(F.lower(line), low), F.array(line)).otherwise(F.array().cast("array<string>"))
-        last = F.element_at(found, -1)
-        grown = F.when(F.size(found) == 0, found).when(F.size(last) == 0, found).otherwise(F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.concat(last, F.array(line)))))
-        return F.when(heading, F.concat(found, F.array(opened))).otherwise(grown)
-
-    sections = F.filter(F.aggregate(lines, empty, step), lambda s: F.size(s) > 0)
-    hits = F.slice(F.filter(lines, lambda x: F.contains(F.lower(x), low)), 1, 30)
-    return F.when(F.size(sections) > 0, F.array_join(F.transform(sections, lambda s: F.array_join(s, "\n")), "\n\n")).when(F.size(hits) > 0, F.array_join(hits, "\n")).otherwise(F.left(text, F.lit(2000)))
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n(?=#{2,3} )")  # what stands before the first heading is the first
+    sections = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda s: F.contains(F.lower(F.substring_index(s, "\n", 1)), low))
+    hits = F.slice(F.filter(F.split(text, "\n"), lambda x: F.contains(F.lower(x), low)), 1, 30)
+    return F.when(F.size(sections) > 0, F.array_join(sections, "\n\n")).when(F.size(hits) > 0, F.array_join(hits, "\n")).otherwise(F.left(text, F.lit(2000)))
 
 
 def confidence(answer: Column) -> Column:
