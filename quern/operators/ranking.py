@@ -182,7 +182,7 @@ def overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(F.array_distinct(tokens(query)), F.array_distinct(tokens(text))))
 
 
-def within_budget(ranked: DataFrame, size: str, budget: int, by: str = "query_id") -> DataFrame:
+def within_budget(ranked: DataFrame, size: str, budget: int | Column, by: str = "query_id") -> DataFrame:
     """Rows whose sizes, added up in order of rank, stay within the budget; ``used`` is the sum so far."""
     order = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.withColumn("used", F.sum(size).over(order)).where(F.col("used") <= budget)
