@@ -245,7 +245,7 @@ def contradictions(scored: DataFrame, least: float = 0.45, scores: tuple[str, ..
     largest score, the first of equals; none where all are 0.
     """
     first = scored.withColumn("_n", F.row_number().over(Window.partitionBy("doc", "path").orderBy("claim", *scores))).where(F.col("_n") == 1)
-    best = F.greatest(*scores)
+    best = F.greatest(*scores) if len(scores) > 1 else F.col(scores[0])
     category = F.when(best <= 0, "")
     for c in scores:
         category = category.when(F.col(c) == best, c)

@@ -7,12 +7,13 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from quern.functions.stemming import stems
-from quern.functions.text import token_estimate, tokens
+from quern.functions.text import first_words, token_estimate, tokens
 from quern.operators import corpus as C
+from quern.operators import hybrid as H
 from quern.operators import ranking as R
 from quern.operators import search as S
 from quern.plans.paths import _FILES, files
-from quern.plans.tables import DOCS, documents, queries, table
+from quern.plans.tables import DOCS, document_index, documents, queries, table
 
 AGENTS = [("a0", ["c0", "x"]), ("a1", ["c1"]), ("a2", ["c2", "x"])]
 
@@ -167,7 +168,36 @@ def scanned_paths(spark, sf_dir):
     return files(spark, sf_dir).where(F.col("id") % 4 != 0).select("path", "id").orderBy("path", "id").limit(250)
 
 
+def _as_vectors(texts):
+    """64 components that only the text decides; one in seven texts is refused, by its length."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError("refused")
+    return [S.offline_vector(t, 32) + S.offline_vector(t[::-1], 32) for t in texts]
+
+
+def hybrid_topk(spark, sf_dir):
+    """Passages' first six words asked for in one call: a fifth in one collection only, vectors by the offline provider."""
+    docs, index = documents(spark, sf_dir), document_index(spark, sf_dir)
+    day = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.to_date("ts").alias("chunk_date"))
+    degree = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("doc_id")).agg(F.count("*").alias("degree"))
+    held = docs.select("doc_id", "path", "collection").join(day, "doc_id", "left").join(degree, "doc_id", "left").join(index.docs, "doc_id")
+    one = F.when(F.col("query_id") % 5 == 0, F.array(F.lit("src1")))
+    asked = queries(spark, sf_dir).select("query_id", first_words(F.col("text"), 6).alias("text"), F.lit("2024-04-10").cast("date").alias("as_of"), one.alias("collections"))
+    vectors = table(spark, sf_dir, "embeddings")
+    return H.hybrid_search(asked, held, index.search, lambda q, k: R.vector_top(vectors, q, k), _as_vectors, 64)
+
+
+def claims_contradicted(spark, sf_dir):
+    """Answers' claims against documents, scored by the part of a claim's words that a document's beginning has."""
+    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    notes = turns.select(F.concat_ws("-", "conv_id", "turn").alias("doc"), "text")
+    shared = lambda claim, text: {"direct": F.round(F.size(F.array_intersect(F.array_distinct(tokens(claim)), tokens(text))) / F.greatest(F.size(F.array_distinct(tokens(claim))), F.lit(1)), 6)}
+    docs = documents(spark, sf_dir).select("doc_id", "path", "text")
+    return H.contradicted(notes, docs, document_index(spark, sf_dir).search, shared, least=0.3).select("doc", "claim", "path", "score", "category", "rank")
+
+
 QUERIES = {
+    "hybrid_topk": hybrid_topk, "claims_contradicted": claims_contradicted,
     "scope_resolution": scope_resolution, "intent_budgets": intent_budgets, "cache_keys": cache_keys, "document_by_path": document_by_path, "staged_chunks": staged_chunks,
     "hits_resolved": hits_resolved, "merged_paths": merged_paths, "prep_context": prep_context, "briefing_trim": briefing_trim, "embed_run": embed_run, "embed_report": embed_report,
     "guide_topics": guide_topics, "stated_confidence": stated_confidence, "heading_parts": heading_parts, "run_deltas": run_deltas, "corpus_settings": corpus_settings,
