@@ -103,6 +103,44 @@ def frontmatter_map(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def with_frontmatter(text: Column, fields: dict[str, Column]) -> Column:
+    """The text under a block of these fields, in their order, in place of any that it has; the title stands in quotes, a null value is empty.
+
+    Quotes in a title are marked, line feeds in values become spaces, and blank lines before the body go. A null text is empty.
+    """
+    flat = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
+    shown = lambda name, c: F.concat(F.lit(f'{name}: "'), F.replace(flat(c), F.lit('"'), F.lit('\\"')), F.lit('"')) if name == "title" else F.concat(F.lit(f"{name}: "), flat(c))
+    body = F.ltrim(without_frontmatter(F.coalesce(text, F.lit(""))), F.lit(" \t\r\n"))
+    return F.concat(F.lit("---\n"), *[F.concat(shown(name, c), F.lit("\n")) for name, c in fields.items()], F.lit("---\n\n"), body)
+
+
+#: Marks around the body of an e-book of Project Gutenberg (fixed patterns).
+BOOK_STARTS, BOOK_ENDS = r"(?i)\*\*\*\s*START OF (?:THE |THIS )?PROJECT GUTENBERG.*?\*\*\*", r"(?i)\*\*\*\s*END OF (?:THE |THIS )?PROJECT GUTENBERG.*?\*\*\*"
+
+
+def book_body(text: Column) -> Column:
+    """What stands between the first marks of an e-book's start and, behind it, end; all of a text without them, and to its bounds where one lacks."""
+    after = F.when(text.rlike(BOOK_STARTS), F.array_join(F.slice(F.split(text, BOOK_STARTS, 2), F.lit(2), F.lit(1)), "")).otherwise(text)
+    return F.btrim(F.get(F.split(after, BOOK_ENDS, 2), F.lit(0)), F.lit(" \t\r\n"))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Latin letters with marks, and those without, by what Unicode makes of them."""
+    import unicodedata
+
+    pairs = [(chr(k), unicodedata.normalize("NFD", chr(k))) for k in range(0xC0, 0x250)]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
+
+
+def folded(text: Column) -> Column:
+    """Letters without their marks, so that a word is one with and without accents; combining marks go."""
+    return F.regexp_replace(F.translate(text, MARKED, UNMARKED), "[\u0300-\u036f]", "")
+
+
 def without_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\r?\n.*?\r?\n---[ \t]*(\r?\n|\z)", "")
 

@@ -315,3 +315,9 @@ def overlapping_paths(given: DataFrame) -> DataFrame:
     same = F.col("_own") == F.col("_bare")
     kept = met.where((~same & (F.col("name") != F.col("other_name"))) | (same & (F.col("other_name") < F.col("name"))))
     return kept.select("name", "path", "other_name", "other_path", F.when(same, "duplicates").otherwise("overlaps").alias("kind"))
+
+
+def active_texts(documents: DataFrame, contents: DataFrame) -> DataFrame:
+    """(doc_id, path, collection, text) of active ``documents`` whose hash ``contents`` (hash, text) has; a content may serve many documents."""
+    live = documents.where(F.col("active") == 1).select("doc_id", "path", "collection", "hash")
+    return live.join(contents.groupBy("hash").agg(F.min("text").alias("text")), "hash").select("doc_id", "path", "collection", "text")

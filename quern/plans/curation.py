@@ -249,6 +249,14 @@ for _p, _to in [
 _RUNS8 = "list_distinct(list_transform(range(1, greatest(len(words) - 7, 1) + 1), lambda i: array_to_string(words[i:i + 7], ' ')))"
 _LOW = "regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')"
 
+def notes_with_fields(spark, sf_dir):
+    """Documents under a block of fields, a third of which had another one."""
+    docs = documents(spark, sf_dir)
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntitle: old\n---\n"), "text")).otherwise(F.col("text"))
+    new = X.with_frontmatter(given, {"title": F.concat(F.lit('The "'), "path", F.lit('"')), "source": F.col("source"), "domain": F.col("lang")})
+    return docs.select("doc_id", F.sha2(new, 256).alias("note_hash"))
+
+
 def order_store(spark, sf_dir):
     """Orders upserted into a store: all, then a batch of other prices and deletions, and that batch again."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -264,7 +272,7 @@ def store_upserts(spark, sf_dir):
 
 
 QUERIES = {
-    "store_upserts": store_upserts,
+    "store_upserts": store_upserts, "notes_with_fields": notes_with_fields,
     "scan_diff": scan_diff, "scan_report": scan_report, "upsert_documents": upsert_documents, "soft_delete": soft_delete,
     "pending_chunks": pending_chunks, "latest_chunk_date": latest_chunk_date, "temporal_window_paths": temporal_window_paths,
     "exact_duplicates": exact_duplicates, "canonical_documents": canonical_documents, "near_duplicates_blocked": near_duplicates_blocked,
@@ -274,6 +282,8 @@ QUERIES = {
     "marker_sections": marker_sections, "keep_last_n": keep_last_n, "json_score_extract": json_fields,
 }
 ORACLE_SQL = {
+    "notes_with_fields": f"""WITH {DOCS} SELECT doc_id, sha256('---' || chr(10) || 'title: "The \\"' || path || '\\""' || chr(10) || 'source: ' || source || chr(10) || 'domain: ' || lang || chr(10) || '---' || chr(10) || chr(10)
+  || ltrim(text, ' ' || chr(9) || chr(10) || chr(13))) AS note_hash FROM docs""",
     "store_upserts": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
   CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 17 <> 0""",
     "scan_diff": f"{_SNAP} SELECT * FROM diff",

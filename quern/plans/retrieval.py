@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import STOP_WORDS, first_words, token_estimate
+from quern.functions.text import STOP_WORDS, first_words, folded, token_estimate
 from quern.operators import ranking as R
 from quern.operators.cells import stored_cells
+from quern.operators.corpus import active_texts
 from quern.plans.tables import DOCS, INTENTS, document_index, documents, queries, table
 from quern.shared import small
 
@@ -78,6 +79,19 @@ def bm25_postings_read(spark, sf_dir):
     return document_index(spark, sf_dir).postings_read(_first(spark, sf_dir, 3))
 
 
+def bm25_active(spark, sf_dir):
+    """Active documents joined with the contents that their hashes name, and searched."""
+    docs = documents(spark, sf_dir).withColumn("active", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1))
+    contents = docs.where(F.col("doc_id") % 11 != 0).select("hash", "text")
+    return R.bm25(active_texts(docs, contents).select("doc_id", "text"), queries(spark, sf_dir))
+
+
+def bm25_folded(spark, sf_dir):
+    """Words with and without accents are one, in documents and queries."""
+    docs, asked = documents(spark, sf_dir), queries(spark, sf_dir)
+    return R.bm25(docs.select("doc_id", folded(F.col("text")).alias("text")), asked.select("query_id", folded(F.col("text")).alias("text")))
+
+
 def keyword_overlap_topk(spark, sf_dir):
     return R.keyword_overlap(documents(spark, sf_dir).select("doc_id", "text"), queries(spark, sf_dir))
 
@@ -271,7 +285,7 @@ QUERIES = {
     "rrf_fusion": rrf_fusion, "bm25_primary_fusion": bm25_primary_fusion, "nway_rrf": nway_rrf, "boost_entity": boost_entity,
     "boost_procedural": boost_procedural, "boost_chunk_date": boost_chunk_date, "boost_date_path": boost_date_path, "boost_chain": boost_chain,
     "rerank_overlap": rerank_overlap, "budget_pack": budget_pack, "token_estimates": token_estimates, "tier_router": tier_router,
-    "usable_context": usable_context, "bm25_first_words": bm25_first_words, "bm25_postings_read": bm25_postings_read,
+    "usable_context": usable_context, "bm25_first_words": bm25_first_words, "bm25_active": bm25_active, "bm25_folded": bm25_folded, "bm25_postings_read": bm25_postings_read,
 }
 _TOKENS = f"CASE WHEN len({_WORDS}) = 0 THEN 0 ELSE greatest(1, floor(len({_WORDS}) * 1.3::DOUBLE)::BIGINT) END"
 _HALVES = [f"SELECT item_id AS query_id, array_to_string({_WORDS}{cut}, ' ') AS text FROM benchmark" for cut in ("[1:12]", "[13:]")]
@@ -280,6 +294,8 @@ ORACLE_SQL = {
     "bm25_collection_filter": f"WITH {bm25_sql(_Q, 'SELECT doc_id, text FROM documents WHERE source = ' + chr(39) + 'src1' + chr(39))} SELECT * FROM bm25",
     "bm25_all_terms": f"WITH {bm25_sql(_Q, every=True)} SELECT * FROM bm25",
     "bm25_prefix": f"WITH {bm25_sql(_Q, every=True, prefix=True)} SELECT * FROM bm25",
+    "bm25_active": f"WITH {bm25_sql(_Q, 'SELECT doc_id, text FROM documents WHERE doc_id % 9 <> 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 11 <> 0)')} SELECT * FROM bm25",
+    "bm25_folded": f"WITH {bm25_sql('SELECT item_id AS query_id, strip_accents(text) AS text FROM benchmark', 'SELECT doc_id, strip_accents(text) AS text FROM documents')} SELECT * FROM bm25",
     "bm25_first_words": f"WITH {bm25_sql(f'SELECT item_id AS query_id, array_to_string({_WORDS}[1:3], {chr(39)} {chr(39)}) AS text FROM benchmark')} SELECT * FROM bm25",
     "keyword_overlap_topk": f"WITH {KEYWORD} SELECT * FROM keyword",
     "vector_topk": _vector_sql(""),

@@ -199,3 +199,15 @@ def test_rows_are_numbered_over_ranges(spark):
     got = numbered(spark.range(1000).selectExpr("(id * 37) % 1000 AS x").repartition(7), "x").collect()
     assert sorted((r.x, r["rank"]) for r in got) == [(k, k + 1) for k in range(1000)]
     assert numbered(spark.range(0), "id").count() == 0
+
+
+def test_fields_books_and_accents(spark):
+    from quern.functions.text import book_body, folded, with_frontmatter
+
+    rows = [("---\ntitle: x\nother: y\n---\n\n\n body\n",), ("plain",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").select(with_frontmatter(F.col("t"), {"title": F.lit('A "b"\nc'), "source": F.lit(None)}).alias("r"))
+    head = '---\ntitle: "A \\"b\\" c"\nsource: \n---\n\n'
+    assert [r.r for r in df.collect()] == [head + "body\n", head + "plain", head, head]
+    books = [("front *** START OF THE PROJECT GUTENBERG EBOOK X ***\n tale *** END OF THIS PROJECT GUTENBERG EBOOK *** licence", "tale"), ("a ***start of project gutenberg*** b", "b"), ("b *** END OF PROJECT GUTENBERG *** c", "b"), (" no marks ", "no marks"), (None, None), ("", "")]
+    assert [(r.a, r.b) for r in spark.createDataFrame(books, "t string, b string").select(book_body(F.col("t")).alias("a"), "b").collect()] == [(b, b) for _, b in books]
+    assert [r[0] for r in spark.createDataFrame([("Crème brûlée Ñandú é ß ø",), (None,)], "t string").select(folded(F.col("t"))).collect()] == ["Creme brulee Nandu e ß ø", None]
