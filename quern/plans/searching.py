@@ -12,6 +12,7 @@ from quern.operators import corpus as C
 from quern.operators import hybrid as H
 from quern.operators import ranking as R
 from quern.operators import search as S
+from quern.operators import suggesting as N
 from quern.plans.paths import _FILES, files
 from quern.plans.tables import DOCS, document_index, documents, queries, table
 
@@ -168,6 +169,27 @@ def scanned_paths(spark, sf_dir):
     return files(spark, sf_dir).where(F.col("id") % 4 != 0).select("path", "id").orderBy("path", "id").limit(250)
 
 
+def label_grades(spark, sf_dir):
+    """Second words of parts' names as names, and the names of the same type's other parts as candidates."""
+    p = table(spark, sf_dir, "part")
+    name = F.split_part("p_name", F.lit(" "), F.lit(2))
+    names, labels = p.select("p_type", name.alias("name")).distinct(), p.select("p_type", F.upper("p_name").alias("label")).distinct()
+    return names.join(labels, "p_type").groupBy(N.match_grade(F.col("name"), F.col("label")).alias("grade")).agg(F.count("*").alias("n"))
+
+
+def _beginning(path, text, bound):
+    """An offline provider: a text's first words; texts of a number of characters that seven divides are refused."""
+    if len(text) % 7 == 0:
+        raise ValueError("refused")
+    return " ".join(text.split(" ")[: bound // 15])
+
+
+def summary_run(spark, sf_dir):
+    """Summaries of all documents by the offline provider, in two lengths."""
+    done = N.summaries(documents(spark, sf_dir).select("path", "text"), _beginning)
+    return done.select("path", "level", F.sha2("summary", 256).alias("summary_hash"), F.when(~F.col("failed"), F.col("tokens")).alias("tokens"), "failed")
+
+
 def _as_vectors(texts):
     """64 components that only the text decides; one in seven texts is refused, by its length."""
     if any(len(t) % 7 == 0 for t in texts):
@@ -197,6 +219,7 @@ def claims_contradicted(spark, sf_dir):
 
 
 QUERIES = {
+    "label_grades": label_grades, "summary_run": summary_run,
     "hybrid_topk": hybrid_topk, "claims_contradicted": claims_contradicted,
     "scope_resolution": scope_resolution, "intent_budgets": intent_budgets, "cache_keys": cache_keys, "document_by_path": document_by_path, "staged_chunks": staged_chunks,
     "hits_resolved": hits_resolved, "merged_paths": merged_paths, "prep_context": prep_context, "briefing_trim": briefing_trim, "embed_run": embed_run, "embed_report": embed_report,
