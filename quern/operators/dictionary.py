@@ -90,3 +90,15 @@ def linked_notes(notes: DataFrame, entities: DataFrame) -> DataFrame:
     last = F.element_at("_m", -1)
     new = F.concat(head, F.array_join(F.transform("_m", linked), ""), part(last["at"] + last["n"], F.size("_pieces")))
     return cut_up.select(*[F.when(F.col("_m").isNull(), F.col("text")).otherwise(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in notes.columns], F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+
+
+#: Nodes with a page that a graph must have to be asked for names (fixed value).
+ENOUGH = 5
+
+
+def entities_to_link(nodes: DataFrame, rows: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(id, name, aliases, vault_path): organisations and persons of the graph (id, label, name, aliases, vault_path) that have a page, or if there are fewer than ``enough`` those of entity tables (name, aliases, page, fault)."""
+    paged = nodes.where(F.col("label").isin("Organisation", "Person") & (F.coalesce("vault_path", F.lit("")) != ""))
+    if paged.limit(enough).count() == enough:
+        return paged.select("id", "name", "aliases", "vault_path")
+    return rows.where("fault IS NULL").select(F.col("name").alias("id"), "name", "aliases", F.col("page").alias("vault_path"))

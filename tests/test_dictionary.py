@@ -1,7 +1,7 @@
 import random
 import re
 
-from quern.operators.dictionary import dictionary, first_mentions, linked_notes, name_mentions
+from quern.operators.dictionary import dictionary, entities_to_link, first_mentions, linked_notes, name_mentions
 from quern.plans.registry import QUERIES
 
 ENTITY = "id string, name string, aliases array<string>, vault_path string"
@@ -79,3 +79,11 @@ def test_note_links(spark, sf_dir):
         shown = re.sub(r"\[\[[^\]]*\]\]", lambda m: "_" * 3, note.text)
         expected = {names[m[2]].id for m in plain_mentions(shown, list(names)) if m[2] not in linked and names[m[2]].vault_path != note.path}
         assert set(r.links) == (set() if "/archive/" in note.path else expected)
+
+
+def test_names_of_a_small_graph_come_from_tables(spark):
+    graph = [(f"n{k}", "Person" if k % 2 else "Organisation", f"N{k}", None, f"p/{k}.md") for k in range(5)] + [("x", "Concept", "X", None, "x.md"), ("y", "Person", "Y", None, "")]
+    nodes = spark.createDataFrame(graph, "id string, label string, name string, aliases array<string>, vault_path string")
+    rows = spark.createDataFrame([("T", ["Tee"], "t.md", None), (None, None, None, "no page")], "name string, aliases array<string>, page string, fault string")
+    assert sorted(r.id for r in entities_to_link(nodes, rows).collect()) == [f"n{k}" for k in range(5)]
+    assert [(r.id, r.aliases, r.vault_path) for r in entities_to_link(nodes.where("id <> 'n1'"), rows).collect()] == [("T", ["Tee"], "t.md")]
