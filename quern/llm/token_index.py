@@ -18,22 +18,25 @@ from quern.llm.shared import new_path
 from quern.llm.tokens import Encoder, WordEncoder, public
 from quern.llm.words import mixed
 
-#: A shard file: this, four counts (documents, buckets, ids, bytes of an id), the bucket displacements, then by slot the
+#: A shard file: this, five numbers (documents, buckets, ids, bytes of an id, the seed of its hashes), the bucket displacements, then by slot the
 #: fingerprints, offsets and lengths, then the keys in order (doc_ids, and which are null), then the ids as they are. All
 #: numbers are little-endian.
-MAGIC = b"QUERNTK2"
+MAGIC = b"QUERNTK3"
 #: A shard is closed at this many ids or documents.
 SHARD_IDS, SHARD_DOCS = 8_000_000, 65_536
 #: Seeds that a bucket tries before the build fails; a bucket of distinct keys needs a few thousand at most.
 MOST_SEEDS = 1 << 22
+#: Seeds of a shard's hashes that are tried.
+SEEDS = 16
 #: Tasks that read an index back at most (about); each reads whole shards.
 READ_TASKS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def key_hash(ids: np.ndarray, repeats: np.ndarray, absent: np.ndarray) -> np.ndarray:
-    """64 bits of a key: the doc_id, whether it is null, and how many rows of that doc_id came before."""
-    return mixed(mixed(ids.astype(np.int64).view(np.uint64) * _ODD + absent.astype(np.uint64)) + repeats.astype(np.uint64) * _ODD)
+def key_hash(ids: np.ndarray, repeats: np.ndarray, absent: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of a key: the doc_id, whether it is null, and how many rows of that doc_id came before; other ones for another seed."""
+    first = mixed(ids.astype(np.int64).view(np.uint64) * _ODD + absent.astype(np.uint64) + np.uint64(2 * seed))
+    return mixed(first + repeats.astype(np.uint64) * _ODD + mixed(np.array([seed], np.uint64)))
 
 
 def _slot(h: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
@@ -81,16 +84,20 @@ class Shard:
     def __init__(self, path: str):
         system, name = fs.FileSystem.from_uri(path)
         self.file = system.open_input_file(name)
-        head = self.file.read(40)
+        head = self.file.read(48)
         if head[:8] != MAGIC:
             raise ValueError(f"{path} is no token shard")
-        self.n, self.n_buckets, self.n_ids, self.width = (int(x) for x in np.frombuffer(head[8:], "<u8"))
+        self.n, self.n_buckets, self.n_ids, self.width, self.seed = (int(x) for x in np.frombuffer(head[8:], "<u8"))
         read = lambda kind, n: np.frombuffer(self.file.read(np.dtype(kind).itemsize * n), kind)
         self.shift, self.print = read("<i4", self.n_buckets), read("<u4", self.n)
         self.offset, self.length = read("<u8", self.n), read("<u4", self.n)
         self.doc_ids, self.absent = read("<i8", self.n), read("u1", self.n).astype(bool)
         self.payload = self.file.tell()
 
+    def find(self, ids: np.ndarray, repeats: np.ndarray, absent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`locate` of keys, hashed with the shard's own seed."""
+        return self.locate(key_hash(ids, repeats, absent, self.seed))
+
     def locate(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, offset, length); a key that wasn't indexed fails the fingerprint but for one in 2^32."""
         if not self.n:
@@ -114,15 +121,22 @@ def repeats_of(ids: np.ndarray, absent: np.ndarray) -> np.ndarray:
 
 
 def _write(folder: str, ids: np.ndarray, absent: np.ndarray, length: np.ndarray, payload: list[np.ndarray]) -> str:
-    h = key_hash(ids, repeats_of(ids, absent), absent)
-    shift, slots = build_index(h)
+    repeats = repeats_of(ids, absent)
+    for seed in range(SEEDS):  # two keys of one hash are as rare as a pair in 2^64; another seed parts them
+        try:
+            h = key_hash(ids, repeats, absent, seed)
+            shift, slots = build_index(h)
+            break
+        except ValueError:
+            if seed == SEEDS - 1:
+                raise
     offset = np.cumsum(length) - length
     put = lambda x, kind: (out := np.zeros(len(h), kind), out.__setitem__(slots, x))[0]
     width = 2 if max((int(x.max()) for x in payload if len(x)), default=0) < 1 << 16 else 4
     path = f"{folder}/{uuid.uuid4().hex}.tokens"
     system, name = fs.FileSystem.from_uri(path)
     with system.open_output_stream(name) as out:
-        out.write(MAGIC + np.array([len(h), len(shift), length.sum(), width], "<u8").tobytes() + shift.astype("<i4").tobytes())
+        out.write(MAGIC + np.array([len(h), len(shift), length.sum(), width, seed], "<u8").tobytes() + shift.astype("<i4").tobytes())
         for x, kind in ((h >> np.uint64(32), "<u4"), (offset, "<u8"), (length, "<u4")):
             out.write(put(x, kind).tobytes())
         out.write(ids.astype("<i8").tobytes() + absent.astype("u1").tobytes())
@@ -211,7 +225,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 shard = Shard(path)
                 ids, absent = shard.doc_ids, shard.absent
-                known, offset, length = shard.locate(key_hash(ids, repeats_of(ids, absent), absent))
+                known, offset, length = shard.find(ids, repeats_of(ids, absent), absent)
                 if not known.all():
                     raise ValueError(f"{path} is damaged: {int((~known).sum())} of its keys aren't found")
                 payload = memoryview(shard.ids(0, shard.n_ids)).cast("B")

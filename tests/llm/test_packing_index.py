@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from quern.llm.packing import CAPACITY, best_fit, op5_packing, pack, pieces, places, solve
 from quern.llm.shared import new_path
 from quern.llm.token_index import Shard, build_index, key_hash, op9_token_index, read_index, write_index
-from quern.llm import tokens
+from quern.llm import token_index, tokens
 from quern.llm.tokens import ByteEncoder, WordEncoder, public
 from quern.llm.words import unit_keys
 
@@ -196,3 +196,17 @@ def test_no_more_sequences_than_best_fit(spark, sf_dir):
         for length, k in config:
             filled[length] += k * n
     assert (filled == demand).all()
+
+
+def test_keys_of_one_hash_are_parted_by_another_seed(spark, tmp_path, monkeypatch):
+    plain = token_index.key_hash
+    clash = lambda ids, repeats, absent, seed=0: plain(ids, repeats, absent, seed) if seed else np.where(ids < 2, np.uint64(7), plain(ids, repeats, absent, 0))
+    monkeypatch.setattr(token_index, "key_hash", clash)
+    ids, absent = np.arange(40), np.zeros(40, bool)
+    length = np.arange(40) % 3 + 1
+    payload = [np.arange(int(length.sum()), dtype=np.uint32)]
+    shard = Shard(token_index._write(f"file://{tmp_path}", ids, absent, length, payload))
+    assert shard.seed == 1
+    known, offset, size = shard.find(ids, np.zeros(40, np.int64), absent)
+    assert known.all() and (size == length).all() and (offset == np.cumsum(length) - length).all()
+    assert not shard.find(np.arange(1000, 1050), np.zeros(50, np.int64), np.zeros(50, bool))[0].any()
