@@ -205,8 +205,8 @@ def hybrid_topk(spark, sf_dir):
     held = docs.select("doc_id", "path", "collection").join(day, "doc_id", "left").join(degree, "doc_id", "left").join(index.docs, "doc_id")
     one = F.when(F.col("query_id") % 5 == 0, F.array(F.lit("src1")))
     asked = queries(spark, sf_dir).select("query_id", first_words(F.col("text"), 6).alias("text"), F.lit("2024-04-10").cast("date").alias("as_of"), one.alias("collections"))
-    vectors = table(spark, sf_dir, "embeddings")
-    return H.hybrid_search(asked, held, index.search, lambda q, k: R.vector_top(vectors, q, k), _as_vectors, 64)
+    vectors = table(spark, sf_dir, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), "collection"), "vec_id")
+    return H.hybrid_search(asked, held, index.search, H.exact_near(vectors), _as_vectors, 64)
 
 
 def claims_contradicted(spark, sf_dir):
