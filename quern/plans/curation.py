@@ -124,21 +124,24 @@ def chunks(spark, sf_dir):
     return made.select("doc_id", F.col("seq").cast("long"), F.col("pos").cast("long"), F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("chunk_hash"))
 
 
-def notes_with_fields(spark, sf_dir):
-    """Turns of conversations as notes: a block of fields, a heading, the text; read back as title, date and snippet."""
+def _notes(spark, sf_dir):
+    """Turns of conversations as notes: a block of fields, a heading, the text; read back as title, date and snippet. What is null of them is empty."""
     turns = table(spark, sf_dir, "conversations")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conv_id"), F.to_date("o_orderdate").alias("day"))
     rows = turns.join(orders, "conv_id", "left")
     note = F.concat(
-        F.lit("---\nowner: "), F.col("role"), F.lit("\ntitle: Note "), F.col("conv_id").cast("string"),
-        F.coalesce(F.concat(F.lit("\ndate: "), F.col("day").cast("string")), F.lit("")), F.lit("\n---\n# Heading\n\n"), F.col("text"))
+        F.lit("---\nowner: "), F.coalesce("role", F.lit("")), F.lit("\ntitle: Note "), F.coalesce(F.col("conv_id").cast("string"), F.lit("")),
+        F.coalesce(F.concat(F.lit("\ndate: "), F.col("day").cast("string")), F.lit("")), F.lit("\n---\n# Heading\n\n"), F.coalesce("text", F.lit("")))
     return rows.withColumn("note", note).withColumn("file", F.concat(F.lit("notes/2024-02-0"), (F.col("conv_id") % 9 + 1).cast("string"), F.lit(".md")))
 
 
 def extracted_dates(spark, sf_dir):
-    rows = notes_with_fields(spark, sf_dir)
-    day = C.document_date(F.col("note"), F.col("file"), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-06-30").cast("date"))
-    return rows.select("conv_id", "turn", X.extract_title(F.col("note"), F.lit("some-note")).alias("title"), day.alias("day"), F.sha2(X.snippet(F.col("note")), 256).alias("snippet_hash"))
+    """Titles, dates and snippets of notes. Only the fields date a note, not its text; without a number it has no title or date, without a text no snippet."""
+    rows, known = _notes(spark, sf_dir), F.col("conv_id").isNotNull()
+    day = C.document_date(X.frontmatter(F.col("note")), F.col("file"), F.lit("2024-01-01").cast("timestamp"), F.lit("2024-06-30").cast("date"))
+    title = X.extract_title(F.col("note"), F.lit("some-note"))
+    snippet = F.when(F.col("text").isNotNull(), X.snippet(F.col("note")))
+    return rows.select("conv_id", "turn", F.when(known, title).alias("title"), F.when(known, day).alias("day"), F.sha2(snippet, 256).alias("snippet_hash"))
 
 
 _NOTES = r"""WITH notes AS (
