@@ -152,9 +152,9 @@ _NOTES = r"""WITH notes AS (
 
 
 def date_formats(spark, sf_dir):
-    """How dates are written, by role."""
-    rows = notes_with_fields(spark, sf_dir)
-    value = F.element_at(F.array(F.col("day").cast("string"), F.date_format("day", "dd/MM/yyyy"), F.concat(F.col("day").cast("string"), F.lit("T10:00")), F.lit("")), (F.col("conv_id") % 4 + 1).cast("int"))
+    """How dates are written, by role; numbers below zero too have one of the forms."""
+    rows, form, day = _notes(spark, sf_dir), F.col("conv_id") % 4, F.col("day").cast("string")
+    value = F.when(form == 0, day).when(form == 1, F.date_format("day", "dd/MM/yyyy")).when(form == 3, "").otherwise(F.concat(day, F.lit("T10:00")))
     classes = rows.withColumn("class", C.date_class(value)).groupBy("role")
     return classes.agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("absent", "datetime", "iso", "non_iso")])
 
