@@ -56,7 +56,9 @@ def truncate_tokens(text: Column, most: int) -> Column:
 
 
 def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(split_words(text), 1, n), " ")
+    """The first ``n`` words with single spaces between; what is behind them isn't read."""
+    head = F.regexp_extract(F.coalesce(text, F.lit("")), rf"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{0,{n}}}+)", 1)
+    return F.array_join(F.slice(split_words(head), 1, n), " ")
 
 
 def slugify(text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import jaccard, shingles
+from quern.shared import cut, small
 
 
 def scan_diff(known: DataFrame, seen: DataFrame, keys: Sequence[str] = ("collection", "path"), faithful: bool = False) -> DataFrame:
@@ -154,31 +157,105 @@ def canonical(documents: DataFrame, by: str = "hash") -> DataFrame:
     return documents.groupBy(by).agg(F.min_by("doc_id", longest).alias("doc_id"), F.min_by("path", longest).alias("path"), F.count("*").alias("n"))
 
 
+#: Texts, and characters of texts, that one side of a comparison holds about at most.
+TILE, TILE_CHARS = 2_048, 8_000_000
+
+
+def _run_codes(text: str, n: int = 3) -> np.ndarray:
+    """The distinct runs of ``n`` characters of a text as numbers, none of a shorter one."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(points) < n:
+        return np.zeros(0, np.int64)
+    return np.unique(sum(points[i : len(points) - n + 1 + i] << (21 * i) for i in range(n)))
+
+
+def _with_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of runs of their ``text``; those without any go."""
+    for batch in batches:
+        sizes = np.array([len(_run_codes(t)) if t else 0 for t in batch.column("text").to_pylist()], np.int32)
+        kept = pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes)], [*batch.schema.names, "n"])
+        yield kept.filter(pa.array(sizes > 0))
+
+
+def _shared_runs(ids: np.ndarray, texts: list[str], side: np.ndarray, alone: bool, least: float) -> list[np.ndarray]:
+    """(a, b, shared, n, m) of the pairs, of texts of sides 0 and 1 or ``alone`` of side 0, that may be alike; a < b."""
+    runs = [_run_codes(t) for t in texts]
+    sizes = np.array([len(x) for x in runs], np.int64)
+    run, of = np.unique(np.concatenate(runs), return_inverse=True)
+    doc = np.repeat(np.arange(len(runs)), sizes)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if alone else 1))
+    place = np.zeros(len(runs), np.int64)
+    lists = []  # of each side: its texts by run, and where those of a run begin
+    for rows in (one, two):
+        place[rows] = np.arange(len(rows))
+        mine = np.zeros(len(runs), bool)
+        mine[rows] = True
+        mine = mine[doc]
+        order = np.argsort(of[mine], kind="stable")
+        lists.append((place[doc[mine]][order], np.concatenate([[0], np.cumsum(np.bincount(of[mine], minlength=len(run)))])))
+        if alone:
+            lists *= 2
+            break
+    (rows_a, at_a), (rows_b, at_b) = lists
+    met = np.diff(at_a) * np.diff(at_b)
+    common = met * 256 > len(one) * len(two)
+    shared = np.zeros((len(one), len(two)), np.float32)
+    for r in np.flatnonzero(~common & (met > alone)).tolist():  # rare runs: the pairs that have them
+        shared[rows_a[at_a[r] : at_a[r + 1], None], rows_b[at_b[r] : at_b[r + 1]]] += 1
+    frequent = np.flatnonzero(common)
+    for start in range(0, len(frequent), 4_096):  # the others: products of matrices
+        some, made = frequent[start : start + 4_096], []
+        for rows, at, height in ((rows_a, at_a, len(one)), (rows_b, at_b, len(two))):
+            held = np.zeros((height, len(some)), np.float32)
+            for k, r in enumerate(some.tolist()):
+                held[rows[at[r] : at[r + 1]], k] = 1
+            made.append(held)
+        shared += made[0] @ made[1].T
+    every = sizes[one][:, None] + sizes[two][None, :] - shared
+    near = (shared > 0) & (shared >= (least - 1e-5) * every)
+    if alone:
+        near &= ids[one][:, None] < ids[two][None, :]
+    x, y = np.nonzero(near)
+    a, b = one[x], two[y]
+    a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+    return [ids[a], ids[b], shared[x, y].astype(np.int64), sizes[a], sizes[b]]
+
+
 def near_duplicates(documents: DataFrame, block: str, least: float = 0.9, id_col: str = "doc_id") -> DataFrame:
-    """(a, b, likeness) of pairs in a block whose sets of three-character runs are alike.
+    """(a, b, likeness) of pairs in a block whose sets of three-character runs are alike. Ids are whole numbers; equal texts count once.
 
-    Pairs meet by shared runs that are rare in the block: a pair this alike shares one of the ``n - ceil(least * n) + 1``
-    first runs of both, in the order of how rare they are, so blocks are never paired whole. Equal texts count once.
+    Only texts of blocks that hold several rows are moved. A block of up to ``TILE`` texts is compared in one task. A larger one is
+    dealt into classes by the number of runs, so wide that texts this alike lie in one class or in two next to each other, and classes
+    into tiles: each pair of tiles is compared in a task of its own, which counts the runs that all pairs share and
+    gives only the pairs that are alike.
     """
-    one = documents.groupBy(block, F.lower("text").alias("text")).agg(F.min(id_col).alias("id"))
-    sets = one.select(block, "id", shingles(F.col("text")).alias("runs"))
-    each = sets.select(block, "id", F.size("runs").alias("n"), F.explode("runs").alias("run"))
-    rare = each.groupBy(block, "run").agg(F.count("*").alias("df"))
-    order = Window.partitionBy(block, "id").orderBy("df", "run")
-    heads = (
-        each.join(rare, [block, "run"]).withColumn("_k", F.row_number().over(order))
-        .where(F.col("_k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(block, "run", "id", "n")
-    )
-    b = heads.select(block, "run", F.col("id").alias("b"), F.col("n").alias("m"))
-    met = heads.join(b, [block, "run"]).where((F.col("id") < F.col("b")) & (F.least("n", "m") >= F.greatest("n", "m") * least))
-    pairs = met.select(F.col("id").alias("a"), "b").distinct()
-    runs = sets.select("id", "runs")
-    scored = (
-        pairs.join(runs.withColumnRenamed("runs", "x"), pairs["a"] == runs["id"]).drop("id")
-        .join(runs.withColumnRenamed("runs", "y"), F.col("b") == F.col("id")).drop("id")
-        .select("a", "b", F.round(jaccard(F.col("x"), F.col("y")), 6).alias("likeness"))
-    )
-    return scored.where(F.col("likeness") >= least)
+    given = documents.select(F.col(block).alias("block"), F.lower("text").alias("text"), F.col(id_col).cast("long").alias("id")).where("text IS NOT NULL")
+    several = cut(given.groupBy("block").agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & F.col("block").isNotNull()).select("block"))
+    one = given.join(small(several), "block").groupBy("block", "text").agg(F.min("id").alias("id"))
+    sized = cut(one.mapInArrow(_with_sizes, "block string, text string, id long, n int"))
+    tiles = lambda: F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("text")) / TILE_CHARS)).cast("int")
+    blocks = sized.groupBy("block").agg(tiles().alias("_tiles"), F.count("*").alias("_n")).where(F.col("_n") > 1)
+    step = -math.log(min(max(least, 0.01), 0.999)) * 1.001  # a little wider, as likenesses are rounded
+    held = sized.join(small(blocks), "block").withColumn("class", F.when(F.col("_tiles") > 1, F.floor(F.log("n") / step)).otherwise(0).cast("int"))
+    parts = cut(held.groupBy("block", "class").agg(tiles().alias("parts")))
+    beside = lambda by, name: small(parts.select("block", (F.col("class") + by).alias("class"), F.col("parts").alias(name)))
+    dealt = held.join(small(parts), ["block", "class"]).join(beside(1, "below"), ["block", "class"], "left").join(beside(-1, "above"), ["block", "class"], "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own, numbers = F.col("part"), lambda n: F.sequence(F.lit(0), n - 1)
+    tile = lambda cls, p, q, side: F.struct(cls.alias("class"), p.alias("p"), q.alias("q"), side.cast("int").alias("side"))
+    same = F.transform(numbers(F.col("parts")), lambda q: tile(F.col("class") * 2, F.least(q, own), F.greatest(q, own), q < own))
+    down = F.transform(numbers(F.col("below")), lambda q: tile(F.col("class") * 2 - 1, q, own, F.lit(1)))
+    up = F.transform(numbers(F.col("above")), lambda q: tile(F.col("class") * 2 + 1, own, q, F.lit(0)))
+    none = F.array().cast("array<struct<class:int,p:int,q:int,side:int>>")
+    sent = dealt.select("block", "id", "text", F.inline(F.concat(same, F.coalesce(down, none), F.coalesce(up, none))))
+
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found = _shared_runs(group["id"].to_numpy(), group["text"].to_pylist(), group["side"].to_numpy(), key[1].as_py() % 2 == 0 and key[2] == key[3], least)
+        return pa.table([pa.array(x) for x in found], ["a", "b", "shared", "n", "m"])
+
+    pairs = sent.groupBy("block", "class", "p", "q").applyInArrow(meet, "a long, b long, shared long, n long, m long")
+    likeness = F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6)
+    return pairs.select("a", "b", likeness.alias("likeness")).where(F.col("likeness") >= least)
 
 
 #: Fields whose dates count (fixed values).

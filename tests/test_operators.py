@@ -163,3 +163,29 @@ def test_files_and_streams(spark):
     query = tumbling(read_events(spark, f"{work}/log"), "15 minutes", late="1 minute").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.n, r.total) for r in spark.table("windows").collect()] == [(2, 4.0)]
+
+
+@pytest.mark.parametrize("tile", [2_048, 8])
+def test_near_copies_of_a_large_block_by_brute_force(spark, monkeypatch, tile):
+    from quern.operators import corpus
+
+    monkeypatch.setattr(corpus, "TILE", tile)
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("an the of Übung ster ing tion re ſed 東京 ed 𝕏y".split()) for _ in range(n))
+    kept = [say(n) for n in [3, 5, 8, 20, 40, 60, 61, 62, 63, 64, 65, 90, 200, 400] * 5]
+    texts = kept + [t + rng.choice([" x", " re", "q"]) for t in kept] + [t.upper() for t in kept[:9]] + ["", "a", "ab", "abc", "abcd", None]
+    rows = [(k * 3 + 1, "one", t) for k, t in enumerate(texts)] + [(9000 + k, "two", t) for k, t in enumerate(kept[:4] + [kept[0] + "q"])] + [(9100 + k, None, kept[30]) for k in range(2)] + [(9200, "alone", kept[0])]
+    got = corpus.near_duplicates(spark.createDataFrame(rows, "doc_id long, stem string, text string"), "stem")
+    assert "explode(runs" not in got._jdf.queryExecution().toString()  # runs of whole texts aren't rows
+    first = {}
+    for k, stem, t in rows:
+        if stem and t is not None:
+            first.setdefault((stem, t.lower()), k)
+    sets = {(s, k): {t[i : i + 3] for i in range(max(1, len(t) - 2))} for (s, t), k in first.items()}
+    expected = {}
+    for (s, a), x in sets.items():
+        for (r, b), y in sets.items():
+            if s == r and a < b and (like := round(len(x & y) / len(x | y), 6)) >= 0.9:
+                expected[a, b] = like
+    found = got.collect()
+    assert len(expected) > 60 and {(r.a, r.b): r.likeness for r in found} == expected and len(found) == len(expected)
