@@ -151,9 +151,9 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
     return documents.groupBy("hash").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).where(F.col("n") > 1)
 
 
-def canonical(documents: DataFrame, by: str = "hash") -> DataFrame:
-    """(by, doc_id, path, n): of each group of duplicates the document with the longest body, then the smallest path."""
-    longest = F.struct(-F.length("text"), F.col("path"))
+def canonical(documents: DataFrame, by: str = "hash", length: Column | None = None) -> DataFrame:
+    """(by, doc_id, path, n): of each group of duplicates the document with the longest body (``text``, or its ``length`` where that is known), then the smallest path."""
+    longest = F.struct(-(F.length("text") if length is None else length), F.col("path"))
     return documents.groupBy(by).agg(F.min_by("doc_id", longest).alias("doc_id"), F.min_by("path", longest).alias("path"), F.count("*").alias("n"))
 
 

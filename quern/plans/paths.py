@@ -167,8 +167,9 @@ def canonical_of_near_copies(spark, sf_dir):
     from quern.plans.curation import near_duplicates_blocked
 
     roots = components(near_duplicates_blocked(spark, sf_dir).select("a", "b"))
-    docs = documents(spark, sf_dir).join(roots.withColumnRenamed("id", "doc_id").withColumnRenamed("root", "class"), "doc_id")
-    return C.canonical(docs, "class")
+    docs = documents(spark, sf_dir).select("doc_id", "path", F.length("text").alias("length"))  # texts don't go to the join
+    docs = docs.join(roots.withColumnRenamed("id", "doc_id").withColumnRenamed("root", "class"), "doc_id")
+    return C.canonical(docs, "class", F.col("length"))
 
 
 QUERIES = {

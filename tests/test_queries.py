@@ -62,3 +62,9 @@ def test_no_function_hides_another():
     for file in Path(quern.__file__).parent.rglob("*.py"):
         names = [x.name for x in ast.parse(file.read_text()).body if isinstance(x, ast.FunctionDef)]
         assert len(names) == len(set(names)), file
+
+
+def test_texts_of_near_copies_are_not_joined(spark, sf_dir):
+    plan = QUERIES["canonical_of_near_copies"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :].splitlines()
+    assert not any("Project" in x and "text#" in x.replace("length(text#", "") for x in joined)
