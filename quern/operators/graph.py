@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import components
-from quern.shared import numbered
+from quern.shared import cut, numbered, small
 
 #: Edits in 100 letters that similar slugs may differ in, and the letters from which slugs are compared by length alone.
 EDITS, LONG = 15, 200
@@ -188,6 +188,21 @@ def mentions(notes: DataFrame, entities: DataFrame) -> DataFrame:
     return found.join(known, F.lower(F.btrim("name")) == F.col("_name")).select("doc_id", "entity_id").distinct()
 
 
+def mention_counts(notes: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, n): how many notes link to each known entity that one links to; the count of :func:`mentions` without its rows.
+
+    Many entities may share a name, so notes are counted by name (or by the set of names, of an entity with several) and only
+    those counts meet the entities.
+    """
+    named = cut(entities.where("name IS NOT NULL").groupBy(F.col("id").alias("entity_id")).agg(F.sort_array(F.collect_set(F.lower("name"))).alias("_names")))
+    sets = cut(named.select("_names").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    name_of = small(sets.select("_set", F.explode("_names").alias("_name")))
+    found = notes.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WIKILINK), F.lit(1))).alias("name"))
+    met = found.select("doc_id", F.lower(F.btrim("name")).alias("_name")).join(name_of, "_name")
+    counts = cut(met.select("_set", "doc_id").distinct().groupBy("_set").agg(F.count("doc_id").alias("n")))
+    return named.join(small(sets.join(small(counts), "_set")), "_names").select("entity_id", "n")
+
+
 def inject_links(text: Column, names: Column) -> Column:
     """The first mention of each name as a ``[[link]]``, unless the text links to it already or has no such word."""
 

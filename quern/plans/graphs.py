@@ -90,7 +90,7 @@ def wikilink_mentions(spark, sf_dir):
     p, l = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     note = F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("see [["), "p_name", F.lit("]] and [[Nothing]]"))).otherwise(F.concat(F.lit("see [["), F.upper("p_name"), F.lit("|this]]")))
     notes = l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("doc_id"), note.alias("text"))
-    return G.mentions(notes, nodes(spark, sf_dir).where(F.col("label") == "Technology")).groupBy("entity_id").agg(F.count("*").alias("n"))
+    return G.mention_counts(notes, nodes(spark, sf_dir).where(F.col("label") == "Technology"))
 
 
 def wikilink_injection(spark, sf_dir):

@@ -189,3 +189,13 @@ def test_near_copies_of_a_large_block_by_brute_force(spark, monkeypatch, tile):
                 expected[a, b] = like
     found = got.collect()
     assert len(expected) > 60 and {(r.a, r.b): r.likeness for r in found} == expected and len(found) == len(expected)
+
+
+def test_links_to_names_that_many_share_are_counted_by_name(spark):
+    notes = [(1, "see [[Bolt]] and [[bolt|this]]"), (1, "[[ BOLT ]] [[Nut]]"), (2, "[[nut]] [[Nothing]]"), (3, "[[Ring]] [[bolt]]"), (4, None), (5, "bolt"), (None, "[[bolt]]"), (None, "[[Gear]]")]
+    notes = spark.createDataFrame(notes, "doc_id long, text string")
+    names = [(f"p{k}", "bolt" if k % 2 else "Bolt") for k in range(300)] + [("q", "nut"), ("q", "bolt"), ("q", "Nut"), ("r", "ring"), ("s", None), ("t", "absent"), ("g", "gear")]
+    entities = spark.createDataFrame(names, "id string, name string")
+    got = {r.entity_id: r.n for r in G.mention_counts(notes, entities).collect()}
+    pairs = G.mentions(notes, entities).groupBy("entity_id").agg(F.count("doc_id").alias("n")).collect()
+    assert got == {r.entity_id: r.n for r in pairs} == {**{f"p{k}": 2 for k in range(300)}, "q": 3, "r": 1, "g": 0}
