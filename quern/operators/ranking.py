@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions.stemming import stems
-from quern.functions.text import exploded_tokens, finite, split_words, tokens
+from quern.functions.text import STOP_WORDS, exploded_tokens, finite, split_words, tokens
 from quern.shared import cut, small, spread
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -69,6 +73,80 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
     return top(scored, k, "score", "doc_id") if k else scored
 
 
+#: Documents that one task reads about, and queries that it asks at most, in a search by beginnings.
+SCAN_DOCS, SCAN_QUERIES = 2_048, 4_096
+_STOP = frozenset(STOP_WORDS)
+
+
+def _begun(asked: pa.Table, docs: pa.Table, counts: bool, others: bool) -> list[list]:
+    """Columns query_id, doc_id, term, weight, tf, dl of the documents that hold, for every word of a query, a term that begins with it.
+
+    ``weight`` is the number of the query's words that the term begins with. With ``counts`` follow, without a query, the documents of each term as ``tf`` (with
+    ``others`` of those too that no word begins) and all words as ``dl``.
+    """
+    asked = asked.sort_by([("query_id", "ascending"), ("asked", "ascending")])
+    given = asked["query_id"].to_pylist()
+    words = {w: k for k, w in enumerate(dict.fromkeys(asked["asked"].to_pylist()))}
+    at = np.array([words[w] for w in asked["asked"].to_pylist()], np.int64)
+    starts = np.array([k for k in range(len(given)) if not k or given[k] != given[k - 1]], np.int64)
+    ends = np.append(starts[1:], len(given))
+    begins: dict[str, list[int]] = {}
+    held: Counter = Counter()
+    out: list[list] = [[], [], [], [], [], []]
+    total = 0
+    for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        found = Counter(t for t in re.findall("[a-z0-9]+", text or "") if len(t) >= 2 and t not in _STOP)
+        size = found.total()
+        total += size
+        held.update(found.keys())
+        here = np.zeros(len(words), bool)
+        for t in found:
+            if t not in begins:
+                begins[t] = [words[t[:n]] for n in range(2, len(t) + 1) if t[:n] in words]
+            here[begins[t]] = True
+        for q in np.flatnonzero(np.logical_and.reduceat(here[at], starts)).tolist() if len(starts) else []:
+            own = set(at[starts[q] : ends[q]].tolist())
+            for t, tf in found.items():
+                if weight := sum(w in own for w in begins[t]):
+                    for column, value in zip(out, (given[starts[q]], doc_id, t, weight, tf, size), strict=True):
+                        column.append(value)
+    if counts:
+        every = [(None, None, t, 0, n, 0) for t, n in held.items() if others or begins[t]] + [(None, None, None, 0, 0, total)]
+        for column, values in zip(out, zip(*every, strict=True), strict=True):
+            column.extend(values)
+    return out
+
+
+def begins_with_all(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best documents by BM25 of those that hold, for each of a query's words, a term that begins with it.
+
+    The same rows as of :func:`bm25` with ``every_term`` and ``prefix``, for long queries. A short word begins a great part of the vocabulary, so neither
+    words and terms nor words and postings are paired: a task reads some documents once and keeps only those that hold all words of a
+    query, with their terms, and how many documents hold each term.
+    """
+    asked = cut(queries.select("query_id", F.explode(tokens(F.col("text"))).alias("asked")).distinct())
+    n, m = docs.count(), asked.select("query_id").distinct().count()
+    parts, query_parts = max(1, -(-n // SCAN_DOCS)), max(1, -(-m // SCAN_QUERIES))
+    asked = asked.withColumn("query_part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int"))
+    sent = asked.crossJoin(docs.sparkSession.range(parts).select(F.col("id").cast("int").alias("part")))
+    read = spread(docs.select("doc_id", "text")).select("doc_id", F.lower("text").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
+    read = read.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    found_schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("doc_id", docs.schema["doc_id"].dataType), StructField("term", StringType()), *(StructField(c, LongType()) for c in ("weight", "tf", "dl"))])
+    made = to_arrow_schema(found_schema)
+
+    def meet(key: tuple[pa.Scalar, ...], docs: pa.Table, asked: pa.Table) -> pa.Table:
+        return pa.table([pa.array(x, t) for x, t in zip(_begun(asked, docs, key[1].as_py() == 0, query_parts > 1), made.types, strict=True)], made)
+
+    found = cut(read.groupBy("part", "query_part").cogroup(sent.groupBy("part", "query_part")).applyInArrow(meet, found_schema))
+    mean = ((found.where("query_id IS NULL AND term IS NULL").agg(F.sum("dl")).first()[0] or 0) / n if n else 1.0) or 1.0
+    hits = found.where("query_id IS NOT NULL")
+    df = found.where("query_id IS NULL AND term IS NOT NULL").join(small(cut(hits.select("term").distinct())), "term").groupBy("term").agg(F.sum("tf").alias("df"))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / float(mean)))
+    scored = hits.join(small(cut(df)), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return top(scored, k, "score", "doc_id")
+
+
 def normalised(score: Column) -> Column:
     return F.abs(score) / (1 + F.abs(score))
 

@@ -88,3 +88,16 @@ def test_an_index_is_kept_until_its_files_change(spark, tmp_path):
     again = stored_index(read(), "t", ["lang"], {"n": F.length("text")})
     assert again.path != first.path and again.n == first.n + 1
     assert np.isfinite(again.mean)
+
+
+@pytest.mark.parametrize("sizes", [(2_048, 4_096), (40, 9)])
+def test_documents_that_hold_all_beginnings(spark, monkeypatch, sizes):
+    monkeypatch.setattr(R, "SCAN_DOCS", sizes[0])
+    monkeypatch.setattr(R, "SCAN_QUERIES", sizes[1])
+    docs, asked = corpus(spark)
+    asked = asked.unionByName(spark.createDataFrame([(95, "en1 en12 en"), (96, "DE de1 de"), (97, "es1 zzz"), (98, "a e")], asked.schema))
+    expected = rows(R.bm25(docs.select("doc_id", "text"), asked, every_term=True, prefix=True))
+    assert len(expected) > 60
+    assert rows(R.begins_with_all(docs.select("doc_id", "text"), asked)) == expected
+    assert R.begins_with_all(docs.limit(0), asked).count() == 0
+    assert R.begins_with_all(docs, asked.limit(0)).count() == 0
