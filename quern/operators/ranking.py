@@ -166,7 +166,21 @@ def keyword_overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFra
     return top(met, k, "score", "doc_id")
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, block: int = 50_000, query_block: int = 4_096) -> DataFrame:
+def nearest_rows(distance: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` smallest finite distances of each row, ties to smaller ids; only what reaches the k-th is sorted."""
+    distance[np.isnan(distance)] = np.inf
+    k = min(k, distance.shape[1])
+    if not k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    row, column = np.nonzero((distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k]) & np.isfinite(distance))
+    order = np.lexsort((ids[column], distance[row, column], row))
+    row, column = row[order], column[order]
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    kept = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))) < k
+    return row[kept], column[kept]
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str | None = None, block: int = 50_000, query_block: int = 32_768) -> DataFrame:
     """(query_id, vec_id, distance, rank): exact nearest rows by cosine distance, in blocks of vectors and of queries.
 
     ``same`` names a column that query and row must share (a filter before the search). Each pair of blocks
@@ -191,12 +205,9 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, same: str |
             some = q[start : start + 256]
             distance = np.round(1 - unit[some] @ unit[v].T, 6) + 0.0  # no negative zero
             distance[kinds[some][:, None] != kinds[v][None, :]] = np.inf
-            for i in range(len(some)):
-                near = np.lexsort((ids[v], distance[i]))[:k]
-                near = near[np.isfinite(distance[i][near])]
-                out[0].append(np.full(len(near), ids[some[i]]))
-                out[1].append(ids[v[near]])
-                out[2].append(distance[i][near])
+            row, near = nearest_rows(distance, ids[v], k)
+            for column, values in zip(out, (ids[some[row]], ids[v[near]], distance[row, near]), strict=True):
+                column.append(values)
         columns = [np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table([pa.array(x) for x in columns], ["query_id", "vec_id", "distance"])
 

@@ -63,3 +63,25 @@ def test_query_finds_what_the_exact_one_does(spark, sf_dir):
     assert len(exact & got) >= 0.9 * len(exact)
     report = QUERIES["cells_report"](spark, sf_dir).first()
     assert abs(report.recall - len(exact & got) / len(exact)) < 1e-9 and 0 < report.part_read <= 1
+
+
+def test_tiles_of_cells_and_blocks_of_queries(spark, monkeypatch):
+    vectors = clustered(spark, 600)
+    cells = build_cells(vectors, cells=12)
+    asked = vectors.where("vec_id % 7 = 0")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in df.collect())
+    whole = rows(cells.search(asked, 5, probes=3))
+    monkeypatch.setattr("quern.operators.cells.BLOCK", 40)  # the cell of a third of all rows takes five tiles, others share one
+    monkeypatch.setattr("quern.operators.cells.QUERY_BLOCK", 16)
+    assert max(n for _, n in cells._tiles().values()) >= 5 and len(set(cells._tiles().values())) < 12
+    assert rows(cells.search(asked, 5, probes=3)) == whole
+    members = {r.vec_id: (r.cell, np.array(r.embedding, np.float64)) for r in cells.members.collect()}
+    own = {}
+    for r in cells.ordered(asked, 3).collect():
+        own.setdefault(r.query_id, set()).add(r.cell)
+    unit = lambda v: v / np.linalg.norm(v)
+    for q, near in own.items():
+        best = sorted((round(1 - unit(members[q][1]) @ unit(v), 6) + 0.0, i) for i, (cell, v) in members.items() if cell in near)[:5]
+        assert [(d, i) for x, _, i, d in whole if x == q] == best
+    sent = cells.search(asked, 5, probes=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cells#" in sent  # a query's cells are a list in a row of each tile
